@@ -70,10 +70,10 @@ def normalise_short(text: Column, char_map: Sequence[tuple[str, str]]) -> Column
     return zhu_to_zhe(map_characters(text, char_map))
 
 
-def clean(text: Column) -> Column:
+def clean(text: Column, marks: str = CLAUSE_MARKS) -> Column:
     """No white space, no leading clause marks, no repeated comma or full stop."""
     text = F.regexp_replace(text, r"(?U)\s+", "")
-    text = F.regexp_replace(text, r"^[，。！？、；：]+", "")
+    text = F.regexp_replace(text, f"^{char_class(marks)}+", "")
     text = F.regexp_replace(text, "，{2,}", "，")
     return F.regexp_replace(text, "。{2,}", "。")
 
@@ -116,16 +116,16 @@ def smart_punctuation(
     return F.when(closed, text).otherwise(F.concat(text, mark))
 
 
-def fit_line(text: Column, max_chars: Column | int) -> Column:
+def fit_line(text: Column, max_chars: Column | int, marks: str = CLAUSE_MARKS) -> Column:
     """Cut to one line: after the last clause mark near the limit, else at the limit.
 
     The last mark within ``max_chars + 3`` characters decides; when it lies
     past the limit the line is cut hard at the limit.
     """
     limit = max_chars if isinstance(max_chars, Column) else F.lit(max_chars)
-    text = clean(single_line(text))
+    text = clean(single_line(text), marks)
     head = F.substring(text, F.lit(1), limit + 3)
-    upto = F.length(F.regexp_extract(head, f"(?s)^(.*{char_class(CLAUSE_MARKS)})", 1))
+    upto = F.length(F.regexp_extract(head, f"(?s)^(.*{char_class(marks)})", 1))
     return (
         F.when(F.length(text) <= limit, text)
         .when((upto > 0) & (upto <= limit), F.substring(text, F.lit(1), upto))
@@ -153,8 +153,8 @@ def display_text(
     strip_punctuation: bool = True,
 ) -> Column:
     """From corrected text to the line shown: clean, punctuate, fit, strip."""
-    text = smart_punctuation(clean(text), next_text, duration_s, gap_s, is_last, params)
-    text = fit_line(single_line(text), line_limit(duration_s, params.max_chars))
+    text = smart_punctuation(clean(text, params.clause_marks), next_text, duration_s, gap_s, is_last, params)
+    text = fit_line(text, line_limit(duration_s, params.max_chars), params.clause_marks)
     return strip_display_punctuation(text) if strip_punctuation else text
 
 

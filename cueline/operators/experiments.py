@@ -103,7 +103,7 @@ def _flags(score, critical, fragments, passed, prefix: str = "_before_") -> dict
     fewer = F.col(critical) < before(critical)
     return {
         "improved": newly | (delta >= IMPROVEMENT) | ((F.abs(delta) < IMPROVEMENT) & fewer)
-        | ((F.col(fragments) < before(fragments)) & (delta >= -0.1)),
+        | ((F.col(fragments) < before(fragments)) & (F.col(score) >= before(score) - 0.1)),
         "regressed": (before(passed) & ~F.col(passed)) | (delta < 0),
     }
 
@@ -306,5 +306,5 @@ def improves(before: dict, after: dict) -> bool:
         (after["passed"] and not before["passed"])
         or delta >= IMPROVEMENT
         or (abs(delta) < IMPROVEMENT and fewer("critical_issue_count"))
-        or (delta >= -0.1 and fewer("subtitle_fragment_count"))
+        or (after["overall_score"] >= before["overall_score"] - 0.1 and fewer("subtitle_fragment_count"))
     )

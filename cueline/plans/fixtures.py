@@ -139,3 +139,29 @@ def ordered_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return time_position(rows, ["series_id"], "_at", "experiment_id", "pos", "n_rows", bucket=30 * 86_400_000_000).drop("_at")
 
     return _once(spark, sf_dir, "experiments", make)
+
+
+# -- Fixed values: small rule tables for the given (Latin) text ------------------------
+
+LITERAL_RULES = (
+    ("authors", "thth", "th"), ("works", "erer", "er"), ("idioms", "anan", "an"), ("common", "ouou", "ou"),
+    ("common", "enen", "en"), ("variants", "eaueau", "eau"), ("asr_phonetic", "schsch", "sch"), ("asr_noise", "zz", ""),
+    ("asr_noise", "thth", "the"),
+)
+REGEX_RULES = (("tion(tion)+", "tion"), ("([aeiou])q", "\\1k"), ("ment(er|en)", "ment"))
+SEMANTIC_RULES = (("qui[a-z]*e", "que", "odd ending"), ("th[a-z]*sh", "the", "odd cluster"), ("zu[a-z]+zu", None, "no correction"))
+SUSPICIOUS = (("ung[a-z]*ung", "check the noun"), ("eaux[a-z]*eaux", "check the plural"))
+KEYWORDS = (("literature", ("letre", "auf", "the of")), ("place", ("paris", "chan", "und")))
+DISAMBIGUATION = ((("que", "der", "and"), (("anan", "an"), ("erth", "earth"))), (("chez", "von"), (("enst", "dienst"),)))
+DICTIONARY = ("tion", "ment", "elle", "schein", "the", "and", "ung", "eau", "que", "there")
+ACCENTS = (
+    ("é", "e"), ("è", "e"), ("ê", "e"), ("ç", "c"), ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ß", "s"), ("ñ", "n"),
+    ("á", "a"), ("í", "i"), ("ó", "o"), ("ú", "u"),
+)
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(c, i, w, r) for i, (c, w, r) in enumerate(LITERAL_RULES)],
+        "category string, rule_order int, wrong string, correct string",
+    )
