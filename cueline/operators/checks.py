@@ -208,15 +208,13 @@ def match_positions(text: Column, matches: Column) -> Column:
 
 def word_patterns(params: SubtitleParams) -> Column:
     """Stutters, filler sounds and confusable phrases; the value is the position."""
-    parts = []
-    for pattern, name in params.word_checks:
+
+    def hits(pattern: str, name: str) -> Column:
         found = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-        parts.append(
-            F.zip_with(
-                found, match_positions(F.col("text"), found),
-                lambda m, at, name=name: issue(f"word_level_{name}", "warning", at, m),
-            )
-        )
+        places = match_positions(F.col("text"), found)
+        return F.zip_with(found, places, lambda m, at: issue(f"word_level_{name}", "warning", at, m))
+
+    parts = [hits(pattern, name) for pattern, name in params.word_checks]
     return F.concat(*parts) if parts else no_issues()
 
 

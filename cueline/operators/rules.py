@@ -222,17 +222,13 @@ def rule_hits_by_join(
     if not lengths:
         return df.withColumns({"wrong": F.lit(""), "correct": F.lit("")}).where(F.lit(False))
     body = F.col(text)
-    grams = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.length(body) >= n,
-                    F.transform(F.sequence(F.lit(1), F.length(body) - (n - 1)), lambda i, n=n: F.substring(body, i, F.lit(n))),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in lengths
-            ]
-        )
-    )
+
+    def substrings(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
+        found = F.transform(starts, lambda i: F.substring(body, i, F.lit(n)))
+        return F.when(F.length(body) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(substrings, lengths)))
     hits = df.withColumn("wrong", F.explode(F.array_distinct(grams))).join(active, "wrong")
     return hits.where(~body.contains(F.col("correct"))) if unless_corrected else hits
 

@@ -211,7 +211,7 @@ def _two_lines(cap: int) -> str:
       then length(regexp_extract(substr({t}, 1, {cap + 5}), '(?s)^(.*{_MARK})', 1)) else {cap} end)"""
     return f""",
 m as (select *, length(text) // 2 as mid, list_filter(range(length(text)), lambda i: regexp_matches(substr(text, i + 1, 1), '{_MARK}')) as marks from segments),
-cuts as (select *, list_reduce(marks, lambda best, at: case when abs(at - mid) < abs(best - mid) then at + 1 else best end, mid) as cut,
+cuts as (select *, list_reduce(marks, lambda best, p: case when abs(p - mid) < abs(best - mid) then p + 1 else best end, mid) as cut,
   substr(text, 1, {size('text')}) as l1, substr(text, {size('text')} + 1) as rest from m)
 select transcript_id, seg_idx, case when length(text) <= {cap} then text
   when length(text) <= {2 * cap} then substr(text, 1, cut) || '|' || substr(text, cut + 1)
