@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueline.functions.text import counted, speed
 from cueline.operators.ordered import dense_position, over_neighbours, time_position
 from cueline.params import SubtitleParams
 
@@ -210,32 +211,48 @@ def adjust_timing(
     ).drop("_prev_end")
 
 
+def limit(params: SubtitleParams | Mapping[str, SubtitleParams], name: str) -> Column:
+    """A limit as a Column: one value, or one per setting looked up by ``param_id``."""
+    if isinstance(params, SubtitleParams):
+        return F.lit(getattr(params, name))
+    table = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, getattr(p, name))])
+    return F.element_at(table, F.col("param_id"))
+
+
 def insert_gaps(
-    df: DataFrame, keys: Sequence[str], pos: str = "pos", params: SubtitleParams = SubtitleParams(), **options
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str = "pos",
+    params: SubtitleParams | Mapping[str, SubtitleParams] = SubtitleParams(),
+    **options,
 ) -> DataFrame:
     """Trim the end of an entry that leaves less than the minimum gap, by at most
     half the gap and half of what it shows beyond the minimum."""
-    if params.min_gap_ms <= 0:
-        return df
+    gap = limit(params, "min_gap_ms")
     rows = over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
-    spare = F.col("end_ms") - F.col("start_ms") - params.min_display_ms
+    spare = F.col("end_ms") - F.col("start_ms") - limit(params, "min_display_ms")
     trim = F.when(
-        (F.col("_next") - F.col("end_ms") < params.min_gap_ms) & (spare > 0),
-        F.least(F.lit(params.min_gap_ms // 2), F.floor(spare / 2)),
+        (gap > 0) & (F.col("_next") - F.col("end_ms") < gap) & (spare > 0),
+        F.least(F.floor(gap / 2), F.floor(spare / 2)),
     ).otherwise(F.lit(0))
     return rows.withColumn("end_ms", (F.col("end_ms") - trim).cast("long")).drop("_next")
 
 
 def extend_for_readability(
-    df: DataFrame, keys: Sequence[str], pos: str = "pos", params: SubtitleParams = SubtitleParams(), guard_ms: int = 67, **options
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str = "pos",
+    params: SubtitleParams | Mapping[str, SubtitleParams] = SubtitleParams(),
+    guard_ms: int = 67,
+    **options,
 ) -> DataFrame:
     """Show an entry longer when it reads too fast, up to shortly before the next."""
-    from cueline.functions.text import counted, speed
-
+    count_class = (params if isinstance(params, SubtitleParams) else next(iter(params.values()))).count_class
+    fastest = limit(params, "max_speed")
     rows = over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
-    chars = counted(F.col("text"), params.count_class)
-    fast = (chars > 0) & (speed(chars, F.col("end_ms") - F.col("start_ms")) > params.max_speed)
-    needed = F.greatest((chars / F.lit(params.max_speed) * 1000).cast("long"), F.lit(params.min_display_ms))
+    chars = counted(F.col("text"), count_class)
+    fast = (chars > 0) & (speed(chars, F.col("end_ms") - F.col("start_ms")) > fastest)
+    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
     wanted = F.least(F.col("start_ms") + needed, F.col("_next") - guard_ms)
     return rows.withColumn(
         "end_ms", F.when(fast & (wanted > F.col("end_ms")), wanted).otherwise(F.col("end_ms"))

@@ -46,10 +46,17 @@ DURATION = union(
     rows("duration_too_short", "warning", "dur", "null", "dur < 1.0"),
     rows("duration_too_long", "warning", "dur", "null", "dur > 7.0"),
 )
-SPEED = union(
-    rows("reading_speed_too_fast", "critical", RATE, "null", f"{N} > 0 and {RATE} > 36"),
-    rows("reading_speed_fast", "warning", RATE, "null", f"{N} > 0 and {RATE} > 27 and {RATE} <= 36"),
-)
+
+
+def speed_rows(standard: float) -> str:
+    fast, slow = standard * 2, standard * 1.5
+    return union(
+        rows("reading_speed_too_fast", "critical", RATE, "null", f"{N} > 0 and {RATE} > {fast}"),
+        rows("reading_speed_fast", "warning", RATE, "null", f"{N} > 0 and {RATE} > {slow} and {RATE} <= {fast}"),
+    )
+
+
+SPEED = speed_rows(18)
 LINES = union(
     rows("too_many_lines", "warning", "len(string_split(text, chr(10)))", "null", "len(string_split(text, chr(10))) > 1"),
     f"""{HEAD}, 'line_too_long', 'warning', cast(n as double), null from (
@@ -149,8 +156,12 @@ def content(spark):
     return checks.content_family(LATIN, latin_rules(spark))
 
 
+def named(sql: str) -> str:
+    return f"select * from ({sql}) t(transcript_id, entry_index, issue_type, severity, value, detail)"
+
+
 def _register(name, sql, *families, extra=()):
-    @query(name, O.with_(*BASE, *extra) + sql)
+    @query(name, O.with_(*BASE, *extra) + named(sql))
     def run(spark, sf):
         return found(spark, sf, *[f(spark) if callable(f) else f for f in families])
 
@@ -158,14 +169,12 @@ def _register(name, sql, *families, extra=()):
 
 
 _register("display_duration_issues", DURATION, lambda s: checks.display_duration(LATIN))
-_register("reading_speed_issues", SPEED, lambda s: checks.reading_speed(LATIN))
-_register("line_shape_issues", LINES, lambda s: checks.line_shape(LATIN))
+_register("reading_speed_issues", speed_rows(10), lambda s: checks.reading_speed(LATIN.with_values(reading_speed=10.0)))
 _register("gap_issues", GAPS, lambda s: checks.gap_to_previous(LATIN))
 _register("text_quality_issues", QUALITY, lambda s: checks.text_quality(LATIN))
 _register("overlap_issues", OVERLAP, lambda s: checks.overlap_with_next())
 _register("traditional_character_issues", CHARACTERS, lambda s: checks.traditional_characters("".join(a for a, _ in X.ACCENTS)))
 _register("punctuation_issues", PUNCTUATION, lambda s: checks.punctuation(LATIN))
-_register("single_line_issues", ONE_LINE, lambda s: checks.one_line())
 _register("entry_length_issues", LENGTH, lambda s: checks.entry_length(LATIN))
 _register("filler_issues", FILLERS, lambda s: checks.fillers(LATIN))
 _register("context_anomaly_issues", ANOMALIES, lambda s: checks.anomalies(LATIN))
@@ -255,7 +264,33 @@ _aligned("continuity_issues", CONTINUITY, checks.continuity)
 _aligned("segment_duration_issues", VALIDITY, checks.segment_duration, True)
 _aligned("speaking_speed_issues", SPEAKING, lambda: checks.speaking_speed(LATIN))
 _aligned("publishing_issues", PUBLISHING, lambda: checks.publishing(LATIN_PUBLISHING))
-_aligned("interruption_issues", INTERRUPTED, lambda: checks.interruption_issues(LATIN), True)
+
+
+@query("interruption_issues", O.with_(O.SEGMENTS, O.SORTED.replace("sorted as", "in_order as")) + f""",
+sorted as (select * replace (gap_ms - 400 * (pos % 2) as gap_ms) from in_order)
+{INTERRUPTED}""")
+def interruption_issues(spark, sf):
+    """Every other line starts 400 ms earlier, so that large overlaps occur."""
+    rows = sorted_rows(spark, sf).withColumn("gap_ms", F.col("gap_ms") - 400 * (F.col("pos") % 2))
+    return checks.issues(rows, KEY, F.col("pos"), checks.interruption_issues(LATIN)).drop("detail")
+
+
+_DOC = "select doc_id, '{}' as issue_type, '{}' as severity, cast({} as double) as value from {} where {}"
+_LINES_OF = "len(string_split(text, chr(10)))"
+
+
+@query("single_line_issues", _DOC.format("multi_line_subtitle", "critical", _LINES_OF, "documents", "contains(text, chr(10))"))
+def single_line_issues(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.inline(checks.one_line())).drop("detail")
+
+
+@query("line_shape_issues", union(
+    _DOC.format("too_many_lines", "warning", _LINES_OF, "documents", f"{_LINES_OF} > 1"),
+    _DOC.format("line_too_long", "warning", O.letters("line"), "(select doc_id, unnest(string_split(text, chr(10))) as line from documents)", f"{O.letters('line')} > 42"),
+))
+def line_shape_issues(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.inline(checks.line_shape(LATIN))).drop("detail")
+
 _aligned("alignment_issues", ALIGNMENT, lambda: checks.alignment_family(LATIN, LATIN_PUBLISHING))
 
 

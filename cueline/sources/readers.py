@@ -37,7 +37,7 @@ def _first_present(item: Column, names: tuple[str, ...], make) -> Column:
     return value
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Recogniser output, one JSON document per transcript, in either shape.
 
     An object has ``segments`` with times in seconds; segments without numeric
@@ -46,7 +46,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     empty text is kept as ''. ``begin`` and ``sentence`` are accepted for
     ``start`` and ``text``.
     """
-    docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
+    reader = spark.read.option("recursiveFileLookup", recursive).option("wholetext", True).text(path)
+    docs = reader.withColumn("doc", F.try_parse_json("value")).where("doc is not null")
     docs = docs.select(
         file_id(F.col("_metadata.file_path")).alias("transcript_id"),
         F.col("_metadata.file_path").alias("source_file"),
@@ -106,9 +107,9 @@ def _ordered_lines(spark: SparkSession, path: str, separator: str | None, suffix
     return dense_position(materialise(lines, "lines"), ["path"], ["_split"], ["_id"], "line_no").drop("_split", "_id")
 
 
-def read_srt(spark: SparkSession, path: str, blank_line: str = "\n\n") -> DataFrame:
+def read_srt(spark: SparkSession, path: str, blank_line: str = "\n\n", suffix: str = "srt") -> DataFrame:
     """Entries of a folder of SRT files; blocks that do not parse are skipped."""
-    blocks = _ordered_lines(spark, path, blank_line, "srt").withColumn(
+    blocks = _ordered_lines(spark, path, blank_line, suffix).withColumn(
         "value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     )
     lines = F.split("value", "\n")
@@ -125,13 +126,13 @@ def read_srt(spark: SparkSession, path: str, blank_line: str = "\n\n") -> DataFr
     )
 
 
-def read_ass(spark: SparkSession, path: str) -> DataFrame:
+def read_ass(spark: SparkSession, path: str, suffix: str = "ass") -> DataFrame:
     """Dialogue entries of a folder of ASS files, numbered from 1 per file.
 
     Only dialogue lines of the events section count. Override tags are removed;
     empty lines, drawing commands and texts starting with a digit are dropped.
     """
-    lines = materialise(_ordered_lines(spark, path, None, "ass").withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
+    lines = materialise(_ordered_lines(spark, path, None, suffix).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
     events = F.col("value") == "[Events]"
     other = F.col("value").rlike(r"^\[.*\]$") & ~events
     marked = lines.withColumns({"_e": F.when(events, F.col("line_no")), "_o": F.when(other, F.col("line_no"))})
@@ -182,12 +183,12 @@ def read_char_map(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select(F.col("e.key").alias("traditional"), F.col("e.value").alias("simplified"))
 
 
-def read_clips(spark: SparkSession, path: str) -> DataFrame:
+def read_clips(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Clip definitions ``{series: [clip, …]}`` as one row per clip."""
     fields = (
         "id string, title string, description string, start_s double, end_s double, domain string, hook string, chapter string"
     )
-    docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
+    docs = spark.read.option("multiLine", multi_line).option("singleVariantColumn", "doc").json(path)
     lists = docs.select(F.explode(F.map_entries(F.try_variant_get("doc", "$", f"map<string,array<struct<{_struct(fields)}>>>"))).alias("e"))
     rows = lists.select(F.col("e.key").alias("series"), F.inline("e.value"))
     return rows.withColumnRenamed("id", "clip_id").withColumns(
@@ -207,12 +208,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path).where("level is not null")
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+def read_summaries(spark: SparkSession, path: str, pattern: str = "summary.json", multi_line: bool = True) -> DataFrame:
     """Generated and skipped counts of every ``summary.json`` below a folder."""
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     rows = (
         reader.schema("generated_count bigint, generated bigint, skipped_count bigint, skipped bigint, total_time_s double")
-        .option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        .option("multiLine", multi_line).option("mode", "DROPMALFORMED").json(path)
     )
     zero = F.lit(0)
     return rows.select(
