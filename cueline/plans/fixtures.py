@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.operators.ordered import dense_position, running_total, time_position
@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    fraction = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    return F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000 + fraction
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
@@ -89,7 +96,7 @@ def audio_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def make():
         events = table(spark, sf_dir, "events").select(
-            F.col("user_id").alias("file_id"), "event_id", F.unix_micros("ts").alias("_at")
+            F.col("user_id").alias("file_id"), "event_id", wall_micros(F.col("ts")).alias("_at")
         )
         rows = time_position(events, ["file_id"], "_at", "event_id", "frame_idx", "n_rows", bucket=3_600_000_000)
         return rows.select(
@@ -135,7 +142,7 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ordered_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
-        rows = experiments(spark, sf_dir).withColumn("_at", F.unix_micros("ts"))
+        rows = experiments(spark, sf_dir).withColumn("_at", wall_micros(F.col("ts")))
         return time_position(rows, ["series_id"], "_at", "experiment_id", "pos", "n_rows", bucket=30 * 86_400_000_000).drop("_at")
 
     return _once(spark, sf_dir, "experiments", make)

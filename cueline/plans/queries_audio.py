@@ -75,7 +75,8 @@ def cut_targets(spark, sf):
 points as (select file_id, unnest([start_ms, end_ms]) / 1000 as t_s from runs where end_ms - start_ms >= 300),
 targets as (select file_id, clip_id, start_ms / 1000 as target_s from cuts),
 near as (select t.*, p.t_s from targets t join points p on p.file_id = t.file_id and p.t_s >= greatest(0.0, target_s - 1.0) and p.t_s <= target_s + 1.0),
-best as (select file_id, clip_id, target_s, arg_min(t_s, abs(t_s - target_s) * 1000000 + t_s / 100000) as silence_s from near group by all)
+best as (select file_id, clip_id, target_s, t_s as silence_s from near
+  qualify row_number() over (partition by file_id, clip_id, target_s order by abs(t_s - target_s), t_s) = 1)
 select file_id, clip_id, target_s, silence_s from targets left join best using (file_id, clip_id, target_s)""")
 def nearest_silence(spark, sf):
     points = audio.silence_boundaries(X.audio_frames(spark, sf), KEY)
@@ -87,7 +88,8 @@ def nearest_silence(spark, sf):
 points as (select file_id, unnest([start_ms, end_ms]) / 1000 as t_s from runs where end_ms - start_ms >= 300),
 targets as (select file_id, clip_id, 'start' as side, start_ms / 1000 as target_s from cuts union all select file_id, clip_id, 'end', end_ms / 1000 from cuts),
 near as (select t.*, p.t_s from targets t join points p on p.file_id = t.file_id and p.t_s >= greatest(0.0, target_s - 1.0) and p.t_s <= target_s + 1.0),
-best as (select file_id, clip_id, side, arg_min(t_s, abs(t_s - target_s) * 1000000 + t_s / 100000) as silence_s from near group by all),
+best as (select file_id, clip_id, side, t_s as silence_s from near
+  qualify row_number() over (partition by file_id, clip_id, side order by abs(t_s - target_s), t_s) = 1),
 cut as (select file_id, clip_id, side, coalesce(silence_s, case when side = 'start' then greatest(0.0::double, target_s - 0.1::double) else target_s + 0.1::double end) as t
   from targets left join best using (file_id, clip_id, side))
 select file_id, clip_id, max(t) filter (side = 'start') as cut_start_s, max(t) filter (side = 'end') as cut_end_s from cut group by all""")

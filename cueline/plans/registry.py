@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from cueline.plans import (  # noqa: F401
+        flagship,
         queries_audio,
         queries_checks,
         queries_experiments,

@@ -69,7 +69,7 @@ def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) ->
     rows = items.select("transcript_id", "source_file", "duration_s", "item_no", "bare", start.alias("_s"), end.alias("_e"), F.coalesce(text, F.lit("")).alias("_t"))
     kept = rows.where(F.col("_s").isNotNull() & F.col("_e").isNotNull() & (F.col("bare") | (F.col("_t") != "")))
     kept = kept.withColumn("_range", F.floor(F.col("item_no") / 50_000))
-    numbered = dense_position(kept, ["transcript_id"], ["_range"], ["item_no"], "seg_idx")
+    numbered = dense_position(kept, ["source_file"], ["_range"], ["item_no"], "seg_idx")
     return numbered.select(
         "transcript_id", "seg_idx", ms(F.col("_s")).alias("start_ms"), ms(F.col("_e")).alias("end_ms"),
         strip(F.col("_t")).alias("text"), "source_file", "duration_s",

@@ -99,7 +99,7 @@ def pending_clips(clips: DataFrame, manifest: DataFrame, keys: Sequence[str]) ->
     return clips.join(manifest.select(*keys), list(keys), "left_anti")
 
 
-def listing(entries: DataFrame, index: str = "index", text: str = "text") -> Column:
+def listing(index: str = "index", text: str = "text") -> Column:
     """``[ idx] ( start s) text`` of an entry."""
     return F.format_string("[%4d] (%6.0fs) %s", F.col(index), F.bround(F.col("start_ms") / 1000, 0), F.col(text))
 
