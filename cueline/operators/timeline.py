@@ -164,7 +164,7 @@ def number_in_clip(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("seg_idx",), out: str = "clip_pos", block_rows: int = 50_000
 ) -> DataFrame:
     """Position of each row in its clip (0, 1, …) and the clip's row count ``n_rows``."""
-    blocked = rows.drop("n_rows", "pos").withColumn("_range", F.floor(F.col(order[0]) / block_rows))
+    blocked = rows.drop(*{"n_rows", "pos"} - set(order)).withColumn("_range", F.floor(F.col(order[0]) / block_rows))
     return dense_position(blocked, keys, ["_range"], order, out, "n_rows").drop("_range")
 
 

@@ -84,8 +84,8 @@ def canonical_transcripts(spark, sf):
 
 @query("mixed_transcripts", O.with_(O.SEGMENTS) + f"""
 select transcript_id, seg_idx,
-  case when transcript_id % 2 = 0 then start_ms when start_ms < 100000 then start_ms * 1000 else start_ms end as start_ms,
-  case when transcript_id % 2 = 0 then end_ms when end_ms < 100000 then end_ms * 1000 else end_ms end as end_ms, {O.strip('text')} as text
+  case when transcript_id % 2 = 0 then cast(trunc(start_ms / 1000 * 1000) as bigint) when start_ms < 100000 then start_ms * 1000 else start_ms end as start_ms,
+  case when transcript_id % 2 = 0 then cast(trunc(end_ms / 1000 * 1000) as bigint) when end_ms < 100000 then end_ms * 1000 else end_ms end as end_ms, {O.strip('text')} as text
 from segments""")
 def mixed_transcripts(spark, sf):
     """Transcripts as recogniser JSON: even ones as objects in seconds, odd ones as

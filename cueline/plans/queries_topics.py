@@ -50,11 +50,11 @@ topics as (
       string_agg(text, ' ' order by pos) as whole from topic_rows group by all)
   left join (select transcript_id, topic_no, list(word order by rank) as ws from ranked where rank <= 10 group by all) using (transcript_id, topic_no))"""
 VERSIONS = """
-placed as (
+seated as (
   select *, row_number() over (partition by transcript_id order by first_no, topic_no) - 1 as place, count(*) over (partition by transcript_id) as total
   from (select t.*, min(topic_no) over (partition by transcript_id, coalesce(kw[1], '其他')) as first_no from topics t)),
 versioned as (
-  select *, case when total > 3 and total % 3 > 0 and total % 3 < 2 and place // 3 + 1 > total // 3 then total // 3 else place // 3 + 1 end as version_no from placed)"""
+  select *, case when total > 3 and total % 3 > 0 and total % 3 < 2 and place // 3 + 1 > total // 3 then total // 3 else place // 3 + 1 end as version_no from seated)"""
 PACK = TopicParams(min_topic_s=20.0, max_topic_s=60.0, silence_s=1.0, word_pattern="[A-Za-z]{2,6}", stop_words=STOP, max_clips=3, min_clips=2)
 
 
