@@ -1,6 +1,9 @@
 """Row checks. Each family is one array column of issues, so a family costs one
 projection whatever the number of checks, and scores need no exploding.
 
+Checks read ``text`` and two columns that :func:`measured` adds once per row:
+``body``, the stripped text, and ``chars``, its counted characters.
+
 An issue is ``(issue_type, severity, value, detail)`` with severity
 ``critical``, ``warning`` or ``info``.
 """
@@ -12,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.functions.text import char_class, counted, single_line, speed, strip
+from cueline.functions.text import char_class, counted, speed, strip
 from cueline.operators.ordered import over_neighbours
 from cueline.operators.rules import (
     ISSUE,
@@ -27,6 +30,7 @@ from cueline.operators.rules import (
     suspicious_hits,
     tokens,
 )
+from cueline.operators.timeline import with_previous
 from cueline.params import PUBLISHING, AudioParams, SubtitleParams
 
 
@@ -47,6 +51,11 @@ def family(*parts: Column) -> Column:
     return F.concat(*[p.cast(ISSUE) for p in parts])
 
 
+def measured(df: DataFrame, params: SubtitleParams) -> DataFrame:
+    """Add ``body`` and ``chars``, so that no check evaluates them again."""
+    return df.withColumns({"body": strip(F.col("text")), "chars": counted(F.col("text"), params.count_class)})
+
+
 def _length_ms() -> Column:
     return F.col("end_ms") - F.col("start_ms")
 
@@ -63,7 +72,7 @@ def display_duration(params: SubtitleParams) -> Column:
 
 
 def reading_speed(params: SubtitleParams) -> Column:
-    chars = counted(F.col("text"), params.count_class)
+    chars = F.col("chars")
     rate = speed(chars, _length_ms())
     fast = (chars > 0) & (rate > params.reading_speed * 2.0)
     return family(
@@ -92,7 +101,7 @@ def gap_to_previous(params: SubtitleParams, previous_end: str = "prev_end_ms") -
 
 
 def text_quality(params: SubtitleParams) -> Column:
-    body = strip(F.col("text"))
+    body = F.col("body")
     return family(
         when(body == "", "empty_text", "critical"),
         when(F.length(body) > 100, "text_too_long", "warning", F.length(body)),
@@ -110,7 +119,9 @@ def overlap_with_next(next_start: str = "next_start_ms") -> Column:
     )
 
 
-def with_entry_context(df: DataFrame, keys: Sequence[str], index: str, pos: str | None = None, width: int = 3, **options) -> DataFrame:
+def with_entry_context(
+    df: DataFrame, keys: Sequence[str], index: str, pos: str | None = None, params: SubtitleParams = SubtitleParams(), width: int = 3, **options
+) -> DataFrame:
     """Everything the entry checks look at: previous end and neighbouring text in
     ``index`` order, next start in ``pos`` order. One shuffle if both agree."""
     offsets = range(-width, width + 1)
@@ -122,11 +133,18 @@ def with_entry_context(df: DataFrame, keys: Sequence[str], index: str, pos: str
     rows = over_neighbours(df, keys, index, columns, before=width, after=width, **options)
     texts = [f"_t{o + width}" for o in offsets]
     rows = rows.withColumn("context", F.concat_ws(" ", *texts)).drop(*texts)
-    if same:
-        return rows
-    return over_neighbours(
-        rows, keys, pos, {"next_start_ms": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options
-    )
+    if not same:
+        rows = over_neighbours(
+            rows, keys, pos, {"next_start_ms": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options
+        )
+    return measured(rows, params)
+
+
+def with_segment_context(
+    df: DataFrame, keys: Sequence[str], pos: str = "pos", params: SubtitleParams = SubtitleParams(), **options
+) -> DataFrame:
+    """What the alignment checks look at: the previous end and text in time order."""
+    return measured(with_previous(df, keys, pos, **options), params)
 
 
 def timing_family(params: SubtitleParams, rules: Rules = Rules()) -> Column:
@@ -152,8 +170,8 @@ def traditional_characters(characters: str) -> Column:
 
 
 def punctuation(params: SubtitleParams) -> Column:
-    body = strip(F.col("text"))
-    chars = counted(body, params.count_class)
+    body = F.col("body")
+    chars = F.col("chars")
     return family(
         when(body.rlike("[,.!?;:]"), "english_punctuation", "warning"),
         when((chars > 8) & ~body.rlike(char_class(params.clause_marks)), "no_punctuation", "warning", chars),
@@ -165,19 +183,19 @@ def one_line() -> Column:
 
 
 def entry_length(params: SubtitleParams) -> Column:
-    chars = counted(single_line(F.col("text")), params.count_class)
+    chars = F.col("chars")
     return when(chars > params.max_chars, "line_too_long", "warning", chars)
 
 
 def fillers(params: SubtitleParams) -> Column:
-    body = strip(F.col("text"))
+    body = F.col("body")
     found = [F.regexp_extract_all(body, F.lit(p), F.lit(0)) for p in params.fillers]
     return each(F.concat(*found), "meaningless_filler", "warning") if found else no_issues()
 
 
 def anomalies(params: SubtitleParams, check_punctuation: bool = False) -> Column:
     """ASCII words outside the common list, and optionally long unbroken runs."""
-    body = strip(F.col("text"))
+    body = F.col("body")
     words = F.regexp_extract_all(body, F.lit("[a-zA-Z]{3,}"), F.lit(0))
     rare = F.filter(words, lambda w: ~F.lower(w).isin(*params.common_words))
     parts = [each(rare, "context_anomaly", "warning")]
@@ -188,7 +206,7 @@ def anomalies(params: SubtitleParams, check_punctuation: bool = False) -> Column
 
 
 def line_edges(params: SubtitleParams) -> Column:
-    body = strip(F.col("text"))
+    body = F.col("body")
     return family(
         when(body.rlike("^" + char_class(params.line_start_forbidden)), "line_start_forbidden", "warning", None, F.left(body, F.lit(1))),
         when(body.rlike(char_class(params.line_end_forbidden) + r"\z"), "line_end_forbidden", "warning", None, F.right(body, F.lit(1))),
@@ -232,15 +250,14 @@ def word_disambiguation(rules: Rules, distinct: bool = False) -> Column:
     one per word of two or more characters, or 1 with ``distinct``."""
     if not rules.disambiguation:
         return no_issues()
-    words = F.size(F.filter(tokens(F.col("text"), rules.dictionary), lambda w: F.length(w) >= 2))
+    words = F.size(F.filter(tokens(F.col("text"), rules.dictionary), lambda w: F.length(w) >= 2))  # only where a rule hits
     parts = [
         F.when(mentions_any(F.col("context"), cues), literal_hits(F.col("text"), fixes, "word_level_contextual_disambiguation", True))
         for cues, fixes in rules.disambiguation
     ]
     once = F.flatten(F.array_compact(F.array(*parts))).cast(ISSUE)
-    if distinct:
-        return F.when(words > 0, once).otherwise(no_issues())
-    return F.when(words > 0, F.flatten(F.array_repeat(once, words))).otherwise(no_issues())
+    repeated = F.when(words > 0, once).otherwise(no_issues()) if distinct else F.flatten(F.array_repeat(once, words))
+    return F.when(F.size(once) > 0, repeated).otherwise(no_issues())
 
 
 def word_level(params: SubtitleParams, rules: Rules = Rules(), custom: Sequence[tuple[str, str]] = (), distinct: bool = False) -> Column:
@@ -271,7 +288,7 @@ def content_family(
     """All checks of the content score, on rows from :func:`with_entry_context`.
 
     ``extra`` takes further issue arrays of the caller's own."""
-    body = strip(F.col("text"))
+    body = F.col("body")
     parts = [traditional_characters("".join(a for a, _ in rules.char_map))]
     if not strip_punctuation:
         parts.append(punctuation(params))
@@ -281,9 +298,9 @@ def content_family(
         F.when(body == "", no_issues()).otherwise(
             family(literal_hits(body, flat, "asr_phonetic_error"), regex_hits(body, rules.regex))
         ),
-        semantic_hits(F.col("text"), rules.semantic),
+        semantic_hits(body, rules.semantic),
         fillers(params), anomalies(params, not strip_punctuation), line_edges(params),
-        contextual_hits(F.col("text"), F.col("context"), rules),
+        contextual_hits(body, F.col("context"), rules),
     ]
     if words:
         parts.append(word_level(params, rules))
@@ -315,7 +332,7 @@ def continuity() -> Column:
 
 
 def speaking_speed(params: SubtitleParams) -> Column:
-    chars = counted(strip(F.col("text")), params.count_class)
+    chars = F.col("chars")
     rate = speed(chars, _length_ms(), 0.0)
     known = (chars > 0) & (_length_ms() > 0)
     return family(
@@ -327,7 +344,7 @@ def speaking_speed(params: SubtitleParams) -> Column:
 
 def publishing(params: SubtitleParams = PUBLISHING) -> Column:
     length = _length_ms() / 1000
-    chars = counted(strip(F.col("text")), params.count_class)
+    chars = F.col("chars")
     rate = speed(chars, _length_ms(), 0.0)
     gap = F.col("gap_ms")
     known = gap.isNotNull()
@@ -343,7 +360,7 @@ def publishing(params: SubtitleParams = PUBLISHING) -> Column:
 
 def interruption(params: SubtitleParams) -> Column:
     """NULL without overlap, else whether and how surely it is an interruption."""
-    before, now = strip(F.col("prev_text")), strip(F.col("text"))
+    before, now = strip(F.col("prev_text")), F.col("body")
     pause = char_class(params.clause_marks.translate({ord(c): None for c in params.sentence_end}) or "，、；：")
     incomplete = before.rlike(pause + r"\z") | (
         ~before.rlike(char_class(params.sentence_end) + r"\z") & (F.length(before) > 5)

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cueline.functions.text import map_characters, strip, zhu_to_zhe
+from cueline.functions.text import map_characters, zhu_to_zhe
 from cueline.params import RULE_CATEGORIES
 
 INLINE_RULES = 2_000
@@ -144,13 +144,18 @@ def literal_hits(
     if not active:
         return no_issues()
 
-    def hit(r):
-        found = text.contains(r["wrong"])
-        return found & ~text.contains(r["correct"]) if unless_corrected else found
+    def hit(wrong, correct):
+        found = text.contains(wrong)
+        return found & ~text.contains(correct) if unless_corrected else found
 
+    def row(detail):
+        return issue(issue_type, "critical", None, detail)
+
+    if len(active) <= CHAINED_RULES:  # compiled code; the loop over an array is interpreted
+        return F.array_compact(F.array(*[F.when(hit(w, c), row(F.lit(f"{w}→{c}"))) for w, c in active]))
     return F.transform(
-        F.filter(_pairs(active), hit),
-        lambda r: issue(issue_type, "critical", None, F.concat(r["wrong"], F.lit("→"), r["correct"])),
+        F.filter(_pairs(active), lambda r: hit(r["wrong"], r["correct"])),
+        lambda r: row(F.concat(r["wrong"], F.lit("→"), r["correct"])),
     )
 
 
@@ -163,9 +168,8 @@ def regex_hits(text: Column, rules: Sequence[tuple[str, str]], issue_type: str =
     return F.array_compact(F.array(*found)) if found else no_issues()
 
 
-def semantic_hits(text: Column, rules: Sequence[tuple[str, str | None, str | None]]) -> Column:
-    """Critical ``semantic_anomaly`` per pattern that has a correction and matches."""
-    body = strip(text)
+def semantic_hits(body: Column, rules: Sequence[tuple[str, str | None, str | None]]) -> Column:
+    """Critical ``semantic_anomaly`` per pattern that has a correction and matches the stripped text."""
     found = [
         F.when((body != "") & body.rlike(p), issue("semantic_anomaly", "critical", None, F.lit(f"{p}→{c}")))
         for p, c, _ in rules
@@ -187,13 +191,13 @@ def mentions_any(context: Column, words: Sequence[str]) -> Column:
     return hit
 
 
-def contextual_hits(text: Column, context: Column, rules: Rules) -> Column:
+def contextual_hits(body: Column, context: Column, rules: Rules) -> Column:
     """Rules that apply only where the surrounding lines mention a domain or cue.
 
     ``contextual_<domain>_errata`` needs a domain keyword in the context and the
     correction absent from the text; ``contextual_disambiguation`` needs a cue.
+    ``body`` is the stripped text.
     """
-    body = strip(text)
     parts = [
         F.when(mentions_any(context, words), literal_hits(body, rules.literal, f"contextual_{domain}_errata", True))
         for domain, words in rules.keywords

@@ -37,5 +37,6 @@ def clip_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = timeline.extract_clip_entries(X.segments(spark, sf_dir), X.clips(spark, sf_dir))
     placed = timeline.number_in_clip(cut, KEYS, order=("pos",))
     ahead = timeline.with_next(placed, KEYS, "clip_pos").withColumn("text", txt.fit_line(F.col("text"), 42, LATIN.clause_marks))
+    ahead = checks.measured(ahead, LATIN)
     found = checks.family(checks.display_duration(LATIN), checks.reading_speed(LATIN), checks.overlap_with_next())
     return scoring.timing_score(ahead, KEYS, found)

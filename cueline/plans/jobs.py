@@ -111,7 +111,7 @@ def sweep(
     rows = with_settings(segments.select(*keys, "pos", "n_rows", "start_ms", "end_ms", "text"), settings)
     merged = merging.run_steps(rows, by, merging.FULL_CHAIN, lambda key: chosen[key[0]])
     entries = timeline.extend_for_readability(timeline.insert_gaps(merged, by, "pos", chosen), by, "pos", chosen)
-    previous = timeline.with_previous(entries, by)
+    previous = checks.with_segment_context(entries, by, "pos", base)
     family = checks.alignment_family(base, standard)
     report = scoring.alignment_report(previous, by, family, base)
     return report.groupBy("param_id").agg(
@@ -128,7 +128,7 @@ def measure_corpus(segments: DataFrame, keys: Sequence[str], rules: Rules = Rule
 
     def measure(params: SubtitleParams) -> DataFrame:
         entries = merging.transcript_to_entries(segments, keys, params)
-        context = checks.with_entry_context(entries, keys, "pos")
+        context = checks.with_entry_context(entries, keys, "pos", params=params)
         scores = scoring.timing_score(context, keys, checks.timing_family(params, rules))
         return scores.agg(
             F.avg("score").alias("overall_score"), F.sum("critical_count").alias("critical_issue_count"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cueline.operators import checks, scoring, timeline
+from cueline.operators import checks, scoring
 from cueline.params import LATIN, LATIN_PUBLISHING
 from cueline.plans import fixtures as X
 from cueline.plans import oracle as O
@@ -26,7 +26,7 @@ RATE = f"(case when end_ms > start_ms then {N} / ((end_ms - start_ms) / 1000.0)
 
 
 def entries(spark, sf):
-    return checks.with_entry_context(X.segments(spark, sf), KEY, "seg_idx", "pos")
+    return checks.with_entry_context(X.segments(spark, sf), KEY, "seg_idx", "pos", LATIN)
 
 
 def found(spark, sf, *families):
@@ -249,7 +249,7 @@ ALIGNMENT = union(CONTINUITY, VALIDITY, SPEAKING, INTERRUPTED, PUBLISHING)
 
 def sorted_rows(spark, sf, open_lines=False):
     source = X.open_segments(spark, sf) if open_lines else X.segments(spark, sf)
-    return timeline.with_previous(source, KEY)
+    return checks.with_segment_context(source, KEY, "pos", LATIN)
 
 
 def _aligned(name, sql, family, open_lines=False):

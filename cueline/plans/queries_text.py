@@ -12,6 +12,7 @@ from cueline.params import LATIN
 from cueline.plans import fixtures as X
 from cueline.plans import oracle as O
 from cueline.plans.registry import query
+from cueline.session import spread
 
 KEY = ["transcript_id"]
 
@@ -33,7 +34,11 @@ def latin_rules(spark) -> Rules:
 
 
 def documents(spark, sf):
-    return X.table(spark, sf, "documents")
+    return spread(X.table(spark, sf, "documents"))
+
+
+def stripped(spark, sf):
+    return documents(spark, sf).withColumn("body", txt.strip(F.col("text")))
 
 
 @query("flattened_rules", """
@@ -293,9 +298,9 @@ select doc_id, 'asr_phonetic_error' as issue_type, wrong || '→' || correct as
 union all
 select doc_id, 'asr_phonetic_error', regexp_extract(text, pattern) || '→' || replacement from documents join patterns on regexp_matches(text, pattern)""")
 def asr_detection(spark, sf):
-    body = txt.strip(F.col("text"))
+    body = F.col("body")
     found = F.concat(rules.literal_hits(body, latin_rules(spark).literal, "asr_phonetic_error"), rules.regex_hits(body, X.REGEX_RULES))
-    return documents(spark, sf).select("doc_id", F.inline(found)).select("doc_id", "issue_type", "detail")
+    return stripped(spark, sf).select("doc_id", F.inline(found)).select("doc_id", "issue_type", "detail")
 
 
 _SUSPICIOUS = O.values("suspicious", "pattern, hint", X.SUSPICIOUS)
@@ -307,8 +312,8 @@ from documents join semantic on correction is not null and regexp_matches(text,
 union all
 select doc_id, 'suspicious_pattern', 'info', hint from documents join suspicious on regexp_matches(text, pattern)""")
 def semantic_anomalies(spark, sf):
-    found = F.concat(rules.semantic_hits(F.col("text"), X.SEMANTIC_RULES), rules.suspicious_hits(F.col("text"), X.SUSPICIOUS))
-    return documents(spark, sf).select("doc_id", F.inline(found)).drop("value")
+    found = F.concat(rules.semantic_hits(F.col("body"), X.SEMANTIC_RULES), rules.suspicious_hits(F.col("text"), X.SUSPICIOUS))
+    return stripped(spark, sf).select("doc_id", F.inline(found)).drop("value")
 
 
 CONTEXT = """
@@ -340,7 +345,8 @@ from ctx where contains(text, {O.quote(w)}) and {_any(cues)}"""
 @query("contextual_errata", O.with_(O.SEGMENTS, CONTEXT, O.RULES) + CONTEXTUAL)
 def contextual_errata(spark, sf):
     rows = timeline.with_context(X.segments(spark, sf), KEY)
-    found = rules.contextual_hits(F.col("text"), F.col("context"), latin_rules(spark))
+    rows = rows.withColumn("body", txt.strip(F.col("text")))
+    found = rules.contextual_hits(F.col("body"), F.col("context"), latin_rules(spark))
     return rows.select("transcript_id", F.col("seg_idx").alias("entry_index"), F.inline(found))
 
 
