@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cueline.operators import experiments
@@ -126,10 +128,25 @@ def strategy_recommendations(spark, sf):
     return rows.withColumn("ord", F.col("ord").cast("long"))
 
 
-@query("report_strategies")
+def _rule_rows() -> str:
+    """The threshold rules on metrics of the report as rows of (place, strategy)."""
+    known = set(re.findall(r" as (\w+)", S.METRICS)) | {"critical_issue_count", "warning_count"}
+    parts, place = [], 0
+    for rule, names in experiments.STRATEGY_RULES:
+        if {rule[i] for i in range(0, len(rule), 3)} <= known:
+            test = " or ".join(f"{rule[i]} {rule[i + 1]} {rule[i + 2]}" for i in range(0, len(rule), 3))
+            for name in names:
+                parts.append(f"select version_key, {place} as k, '{name}' as strategy from metrics where {test}")
+                place += 1
+    return " union all ".join(parts)
+
+
+@query("report_strategies", O.with_(*S.REPORT_BASE, S._REPORT_ISSUES, S.METRICS) + f""", hits as ({_rule_rows()})
+select version_key, row_number() over (partition by version_key order by k) - 1 as ord, strategy from hits""")
 def report_strategies(spark, sf):
     """Strategies for the metrics of every version's report."""
-    return experiments.recommend(S.metrics_of(spark, sf), ["version_key"])
+    rows = experiments.recommend(S.metrics_of(spark, sf), ["version_key"])
+    return rows.withColumn("ord", F.col("ord").cast("long"))
 
 
 @query("modification_recommendations", O.with_(S._SCENARIOS) + """,

@@ -10,6 +10,7 @@ from cueline.plans import fixtures as X
 from cueline.plans import jobs
 from cueline.plans import oracle as O
 from cueline.plans import queries_checks as C
+from cueline.plans import queries_scores as S
 from cueline.plans.queries_timeline import CLIP_SLICES
 from cueline.plans.registry import query
 from cueline.session import shared_dir
@@ -180,13 +181,11 @@ def run_summaries(spark, sf):
     return rows.agg(F.sum("generated").alias("generated"), F.sum("skipped").alias("skipped"), F.count(F.lit(1)).alias("n_files"))
 
 
-@query("report_files")
+@query("report_files", O.with_(*S.REPORT_BASE) + "select version_key, overall_score, passed, critical_count, warning_count from report")
 def report_files(spark, sf):
     """Quality reports written per version and listed again."""
-    from cueline.plans.queries_scores import reports
-
     path = scratch(spark, "reports")
-    writers.write_reports(reports(spark, sf), path)
+    writers.write_reports(S.reports(spark, sf), path)
     return readers.read_reports(spark, path).select("version_key", "overall_score", "passed", "critical_count", "warning_count")
 
 

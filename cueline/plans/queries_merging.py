@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from cueline.operators import merging, timeline
+from cueline.operators import merging
 from cueline.params import LATIN
 from cueline.plans import fixtures as X
 from cueline.plans import jobs
@@ -98,19 +100,19 @@ def _pair(a: str, b: str) -> str:
     return f"coalesce({chars} <= 42 and {span} <= 7000 and (case when {span} > 0 then {chars} / ({span} / 1000.0) else 0 end) <= 27, false)"
 
 
-def _machine(care: str, back_first: str, settle: str) -> str:
-    """Recursive machine. ``care``, ``back_first`` are conditions on row ``n``;
+def _machine(care: str, back_first: str, settle: str, source: str = "segments") -> str:
+    """Recursive machine over ``source``. ``care``, ``back_first`` are conditions on row ``n``;
     ``settle`` is the list of results after the waiting row ``w`` could not join
     forward, given ``l`` (a list so that a closed result can be passed on)."""
     seg = "struct_pack(start_ms := n.start_ms, end_ms := n.end_ms, text := n.text, first_pos := n.pos)"
     join = lambda a, b: f"struct_pack(start_ms := {a}.start_ms, end_ms := {b}.end_ms, text := {a}.text || {b}.text, first_pos := {a}.first_pos)"
     return f"""
-rows0 as (select transcript_id, pos, n_rows, {seg.replace('n.', '')} as seg from segments),
+rows0 as (select transcript_id, pos, n_rows, {seg.replace('n.', '')} as seg from {source}),
 steps as (
   select transcript_id, cast(-1 as bigint) as pos, max(n_rows) as n_rows, cast(null as struct(start_ms bigint, end_ms bigint, text varchar, first_pos bigint)) as l,
     cast(null as struct(start_ms bigint, end_ms bigint, text varchar, first_pos bigint)) as w,
     cast([] as struct(start_ms bigint, end_ms bigint, text varchar, first_pos bigint)[]) as closed
-  from segments group by transcript_id
+  from {source} group by transcript_id
   union all
   select transcript_id, pos, n_rows,
     case when ate then fwd when joined_back then {join('l2', 'n')} when waits then l2 else n end as l,
@@ -176,7 +178,49 @@ def merged_fragments(spark, sf):
     return _spans(merging.merge_tiny_fragments(X.open_segments(spark, sf), KEY, LATIN)).drop("last_pos")
 
 
-@query("subtitle_entries")
+def _stage(name: str, sql: str) -> str:
+    """A chain stage whose inner tables get the stage's name as a suffix."""
+    for inner in ("rows0", "steps", "final", "results"):
+        sql = re.sub(rf"\b{inner}\b", f"{inner}_{name}", sql)
+    return sql
+
+
+def _ordered(name: str, select: str, order: str) -> str:
+    """Results of a stage, numbered for the next one."""
+    return f"""
+{name} as (select *, row_number() over (partition by transcript_id order by {order}) - 1 as pos,
+  count(*) over (partition by transcript_id) as n_rows from ({select}))"""
+
+
+def _piece(name: str, source: str, care: str, back_first: str, settle: str, last: str, order: str) -> str:
+    tail = _results(f"case when s.w is null then [s.l] else {last} end")
+    tables, select = tail.rsplit("\nselect", 1)
+    body = _machine(care, back_first, settle, source) + "," + tables
+    return _stage(name, body + "," + _ordered(name, "select" + select, order))
+
+
+CHAIN = ",".join([
+    O.OPEN_SEGMENTS, GREEDY,
+    """
+joined as (select *, first_pos as src from (""" + GREEDY_OUT + """)),
+g1 as (select transcript_id, start_ms, end_ms, text, row_number() over (partition by transcript_id order by src) - 1 as pos,
+  count(*) over (partition by transcript_id) as n_rows from joined)""",
+    re.sub(r"\bsegments\b", "g1", _SPLIT),
+    _ordered("g2", "select transcript_id, pos as src, coalesce(from_at, 0) as part, start_ms, end_ms, text from parts", "src, part"),
+    _piece("g3", "g2", SHORT, "true", _extended(_GROW), _extended("s.w.start_ms + 1000"), "start_ms, first_pos"),
+    _piece("g4", "g3", FAST, "false", _BACK, _KEEP, "first_pos"),
+    _piece("g5", "g4", TINY, "regexp_matches(n.text, '[ehn]$')", _BACK, _BACK, "first_pos"),
+    f"""
+g6 as (select transcript_id, pos, start_ms, text, lead(start_ms) over w as next_ms,
+  end_ms - case when lead(start_ms) over w - end_ms < 67 and end_ms - start_ms - 1000 > 0 then least(33, (end_ms - start_ms - 1000) // 2) else 0 end as end_ms
+  from g5 window w as (partition by transcript_id order by pos)),
+g7 as (select *, {O.letters('text')} as chars, least(start_ms + greatest(cast(trunc({O.letters('text')} / 27.0::double * 1000) as bigint), 1000), next_ms - 67) as wanted,
+  case when end_ms > start_ms then {O.letters('text')} / ((end_ms - start_ms) / 1000.0) else 999 end as rate from g6)""",
+])
+
+
+@query("subtitle_entries", "with recursive " + CHAIN + """
+select transcript_id, pos + 1 as index, start_ms, case when chars > 0 and rate > 27 and wanted > end_ms then wanted else end_ms end as end_ms, text from g7""")
 def subtitle_entries(spark, sf):
     rows = merging.transcript_to_entries(X.open_segments(spark, sf), KEY, LATIN)
     return rows.select("transcript_id", "index", "start_ms", "end_ms", "text")

@@ -356,7 +356,7 @@ def report_issues(spark, sf):
     return timing.unionByName(content.select(*timing.columns)).unionByName(loud.select(*timing.columns))
 
 
-@query("report_metrics", O.with_(*REPORT_BASE, _REPORT_ISSUES) + f""",
+METRICS = f"""
 n as (select {_VERSION} as version_key, count(*) as total_entries from segments group by 1),
 m as (select version_key,
   count(*) filter (severity = 'critical') as critical_issue_count, count(*) filter (severity = 'warning') as warning_count,
@@ -371,15 +371,18 @@ m as (select version_key,
   count(*) filter (issue_type in {_kinds(scoring.TRUNCATION_TYPES)}) as tr, count(*) filter (issue_type in {_kinds(scoring.MULTILINE_TYPES)}) as ml,
   count(*) filter (issue_type in {_kinds(scoring.FILLER_TYPES)}) as fi, count(*) filter (issue_type in {_kinds(scoring.FRAGMENT_TYPES)}) as subtitle_fragment_count
   from report_issues group by 1),
-a as (select 'v' || file_id as version_key, sum(score) / count(*) as audio_quality_score, sum(abs(lufs + 14)) / count(*) as audio_lufs_deviation
-  from audio_score join loudness using (file_id) group by 1)
-select version_key, critical_issue_count, warning_count, subtitle_timing_violations, subtitle_reading_speed_violations,
+am as (select 'v' || file_id as version_key, sum(score) / count(*) as audio_quality_score, sum(abs(lufs + 14)) / count(*) as audio_lufs_deviation
+  from audio_score join loudness using (file_id) group by 1),
+metrics as (select version_key, critical_issue_count, warning_count, subtitle_timing_violations, subtitle_reading_speed_violations,
   subtitle_line_length_violations, subtitle_overlap_count, word_level_error_count, subtitle_errata_violations, audio_tp_violations,
   audio_abrupt_start_count, audio_abrupt_end_count, subtitle_fragment_count, audio_quality_score, audio_lufs_deviation,
   (total_entries - tr) / total_entries * 100 as subtitle_semantic_completeness, (total_entries - ml) / total_entries * 100 as subtitle_multiline_compliance,
   (total_entries - fi) / total_entries * 100 as subtitle_filler_cleanup_score, coalesce(style_score, 0) as subtitle_style_score,
   case when coalesce(style_score, 0) > 80 then 90 else 60 end as subtitle_font_size_score
-from n join m using (version_key) join a using (version_key) left join style using (version_key)""")
+from n left join m using (version_key) left join am using (version_key) left join style using (version_key))"""
+
+
+@query("report_metrics", O.with_(*REPORT_BASE, _REPORT_ISSUES, METRICS) + "select * from metrics")
 def report_metrics(spark, sf):
     return metrics_of(spark, sf)
 
