@@ -136,13 +136,13 @@ def merge_styles(frames: DataFrame, keys: Sequence[str], trusted: float = 0.3) -
     keys = list(keys)
     sure = F.col("confidence") > trusted
     base = frames.groupBy(*keys).agg(
-        F.max_by(F.struct("text_color", "font_size"), F.struct("confidence", -F.col("frame_no"))).alias("_best"),
+        F.max_by(F.struct("text_color", "font_size"), F.struct("confidence", -F.col("frame_no"), "text_color", "font_size")).alias("_best"),
         (F.count_if("bg_enabled") > F.count(F.lit(1)) / 2).alias("bg_enabled"),
         F.median(F.when(sure, F.col("font_size"))).alias("_size"),
         F.avg("confidence").alias("confidence"),
     )
     colours = frames.where(sure).groupBy(*keys, "text_color").agg(F.count(F.lit(1)).alias("_n"), F.min("frame_no").alias("_first"))
-    common = colours.groupBy(*keys).agg(F.max_by("text_color", F.struct("_n", -F.col("_first"))).alias("_colour"))
+    common = colours.groupBy(*keys).agg(F.max_by("text_color", F.struct("_n", -F.col("_first"), "text_color")).alias("_colour"))
     return base.join(common, keys, "left").select(
         *keys,
         F.coalesce("_colour", F.col("_best.text_color")).alias("text_color"),

@@ -139,13 +139,14 @@ style_frames as (
 
 
 @query("merged_styles", O.with_(_STYLES) + """,
-best as (select video_id, arg_max(text_color, confidence * 1000000000.0 - frame_no) as bc, arg_max(font_size, confidence * 1000000000.0 - frame_no) as bs,
-  count(*) filter (bg_enabled) > count(*) / 2 as bg_enabled, median(font_size) filter (confidence > 0.3) as ms, sum(confidence) / count(*) as confidence
+top as (select video_id, text_color as bc, font_size as bs from style_frames
+  qualify row_number() over (partition by video_id order by confidence desc, frame_no, text_color desc, font_size desc) = 1),
+best as (select video_id, count(*) filter (bg_enabled) > count(*) / 2 as bg_enabled, median(font_size) filter (confidence > 0.3) as ms, sum(confidence) / count(*) as confidence
   from style_frames group by 1),
-colours as (select video_id, text_color, row_number() over (partition by video_id order by count(*) desc, min(frame_no)) as r from style_frames
+colours as (select video_id, text_color, row_number() over (partition by video_id order by count(*) desc, min(frame_no), text_color desc) as r from style_frames
   where confidence > 0.3 group by video_id, text_color)
 select video_id, coalesce(c.text_color, bc) as text_color, coalesce(cast(floor(ms) as int), bs) as font_size, bg_enabled, round(confidence, 9) as confidence
-from best left join (select * from colours where r = 1) c using (video_id)""")
+from best join top using (video_id) left join (select * from colours where r = 1) c using (video_id)""")
 def merged_styles(spark, sf):
     colours = F.array(*map(F.lit, ("white", "black", "gold", "red")))
     rows = X.table(spark, sf, "lineitem").select(

@@ -375,7 +375,8 @@ am as (select 'v' || file_id as version_key, sum(score) / count(*) as audio_qual
   from audio_score join loudness using (file_id) group by 1),
 metrics as (select version_key, critical_issue_count, warning_count, subtitle_timing_violations, subtitle_reading_speed_violations,
   subtitle_line_length_violations, subtitle_overlap_count, word_level_error_count, subtitle_errata_violations, audio_tp_violations,
-  audio_abrupt_start_count, audio_abrupt_end_count, subtitle_fragment_count, audio_quality_score, audio_lufs_deviation,
+  audio_abrupt_start_count, audio_abrupt_end_count, subtitle_fragment_count, coalesce(audio_quality_score, 0) as audio_quality_score,
+  coalesce(audio_lufs_deviation, 0) as audio_lufs_deviation,
   (total_entries - tr) / total_entries * 100 as subtitle_semantic_completeness, (total_entries - ml) / total_entries * 100 as subtitle_multiline_compliance,
   (total_entries - fi) / total_entries * 100 as subtitle_filler_cleanup_score, coalesce(style_score, 0) as subtitle_style_score,
   case when coalesce(style_score, 0) > 80 then 90 else 60 end as subtitle_font_size_score
