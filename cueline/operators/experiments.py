@@ -195,11 +195,6 @@ def latest_log(log: DataFrame, n: int = 20) -> DataFrame:
 # -- sweeps and loops -----------------------------------------------------------------
 
 
-def with_settings(df: DataFrame, settings: Sequence[tuple[str, dict]], out: str = "param_id") -> DataFrame:
-    """Every row once per setting; the settings are a literal list."""
-    return df.withColumn(out, F.explode(F.array(*[F.lit(n) for n, _ in settings])))
-
-
 def resolve_settings(base: SubtitleParams, settings: Sequence[tuple[str, dict]]) -> dict[str, SubtitleParams]:
     return {name: base.with_values(**changes) for name, changes in settings}
 

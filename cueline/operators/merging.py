@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,21 +25,22 @@ from cueline.params import SubtitleParams
 MAX_JOIN_GAP_MS = 2000
 
 
-@dataclass(frozen=True)
-class Seg:
-    """A stretch of text; ``rows`` are the positions it was made of."""
+class Seg(NamedTuple):
+    """A stretch of text; ``rows`` are the positions it was made of and
+    ``chars`` its counted characters, which add up when segments are joined."""
 
     start: int
     end: int
     text: str
     rows: tuple[int, ...]
+    chars: int
 
     @property
     def length(self) -> int:
         return self.end - self.start
 
     def joined(self, other: "Seg") -> "Seg":
-        return Seg(self.start, other.end, self.text + other.text, self.rows + other.rows)
+        return Seg(self.start, other.end, self.text + other.text, self.rows + other.rows, self.chars + other.chars)
 
 
 class Limits:
@@ -56,6 +57,9 @@ class Limits:
     def count(self, text: str) -> int:
         return len(self._counted.findall(text))
 
+    def seg(self, start: int, end: int, text: str, rows: tuple[int, ...]) -> Seg:
+        return Seg(start, end, text, rows, self.count(text))
+
     def closes_sentence(self, text: str) -> bool:
         return bool(text) and bool(self._closing.search(text.strip()))
 
@@ -64,7 +68,7 @@ class Limits:
 
     def pair_fits(self, a: Seg, b: Seg) -> bool:
         """Joined, the two stay within characters, time on screen and speed."""
-        chars, length = self.count(a.text + b.text), b.end - a.start
+        chars, length = a.chars + b.chars, b.end - a.start
         return (
             chars <= self.params.capacity
             and length <= self.max_ms
@@ -94,41 +98,39 @@ class JoinShort(Step):
     """
 
     def __init__(self, limits: Limits):
-        self.limits, self.now, self.chars = limits, None, 0
+        self.limits, self.now = limits, None
 
     def push(self, seg):
-        lim, text = self.limits, seg.text.strip()
-        seg = Seg(seg.start, seg.end, text, seg.rows)
-        chars = lim.count(text)
-        now = self.now
+        lim, now = self.limits, self.now
+        seg = seg._replace(text=seg.text.strip())
         if now is None:
-            self.now, self.chars = seg, chars
+            self.now = seg
             return []
-        span, both = seg.end - now.start, self.chars + chars
+        span, chars = seg.end - now.start, now.chars + seg.chars
         fits = (
             seg.start - now.end <= MAX_JOIN_GAP_MS
-            and both <= lim.params.capacity
+            and chars <= lim.params.capacity
             and span <= lim.max_ms
-            and lim.rate(both, span) <= lim.params.max_speed
+            and lim.rate(chars, span) <= lim.params.max_speed
         )
         if fits and not self._complete():
-            self.now, self.chars = now.joined(seg), both
+            self.now = now.joined(seg)
             return []
-        self.now, self.chars = seg, chars
+        self.now = seg
         return [self._closed(now)]
 
     def _complete(self):
         now, lim = self.now, self.limits
         return (
-            self.chars >= 4
+            now.chars >= 4
             and now.length >= lim.min_ms
-            and lim.rate(self.chars, now.length) <= lim.params.max_speed
+            and lim.rate(now.chars, now.length) <= lim.params.max_speed
             and lim.closes_sentence(now.text)
         )
 
     @staticmethod
     def _closed(seg):
-        return Seg(seg.start, seg.end, seg.text.strip(), seg.rows)
+        return seg._replace(text=seg.text.strip())
 
     def flush(self):
         return [self._closed(self.now)] if self.now else []
@@ -146,7 +148,7 @@ class SplitLong(Step):
 
     def push(self, seg):
         lim, text = self.limits, seg.text
-        if lim.count(text) <= lim.params.capacity and seg.length <= lim.max_ms:
+        if seg.chars <= lim.params.capacity and seg.length <= lim.max_ms:
             return [seg]
         per_char = seg.length / max(1, len(text))
         at = lambda i: seg.start + int(i * per_char)
@@ -154,15 +156,15 @@ class SplitLong(Step):
         parts, begin = [], 0
         for cut in cuts:
             if lim.count(text[begin:cut]) >= 4:
-                parts.append(Seg(at(begin), at(cut), text[begin:cut].strip(), seg.rows))
+                parts.append(lim.seg(at(begin), at(cut), text[begin:cut].strip(), seg.rows))
                 begin = cut
         rest = text[begin:]
         if rest.strip():
             if lim.count(rest) >= 2:
-                parts.append(Seg(at(begin), seg.end, rest.strip(), seg.rows))
+                parts.append(lim.seg(at(begin), seg.end, rest.strip(), seg.rows))
             elif parts:
                 tail = parts.pop()
-                parts.append(Seg(tail.start, seg.end, tail.text + rest.strip(), seg.rows))
+                parts.append(lim.seg(tail.start, seg.end, tail.text + rest.strip(), seg.rows))
         return parts or [seg]
 
 
@@ -243,7 +245,7 @@ class LengthenShort(_Pairing):
             else:
                 room = room // 2 if room > 0 else 0
             end = seg.end + min(room, shortest - seg.length)
-        return self.put(Seg(seg.start, end, seg.text, seg.rows))
+        return self.put(seg._replace(end=end))
 
 
 class InStartOrder(Step):
@@ -280,7 +282,7 @@ class JoinFast(_Pairing):
 
     def needs_care(self, seg):
         lim = self.limits
-        return lim.rate(lim.count(seg.text), seg.length) > lim.params.max_speed
+        return lim.rate(seg.chars, seg.length) > lim.params.max_speed
 
     def after_next(self, seg, following):
         if following is not None and self.join_back(seg):
@@ -292,8 +294,7 @@ class JoinFragments(_Pairing):
     """Fragments join forward, else back; those ending in an interjection try back first."""
 
     def needs_care(self, seg):
-        text, params = seg.text.strip(), self.limits.params
-        chars = self.limits.count(text)
+        text, chars, params = seg.text.strip(), seg.chars, self.limits.params
         return (
             chars <= 3
             or seg.length < params.min_display_ms
@@ -325,14 +326,14 @@ class SegmentChain(Fold):
     """
 
     def __init__(self, names: Sequence[str], params: SubtitleParams, pos: str = "pos"):
-        limits = Limits(params)
-        self.steps = [STEPS[n](limits) for n in names]
+        self.limits = Limits(params)
+        self.steps = [STEPS[n](self.limits) for n in names]
         self.pos = pos
         self.newest = -math.inf
 
     def push(self, row):
         self.newest = row["start_ms"]
-        segs = [Seg(row["start_ms"], row["end_ms"], row["text"], (row[self.pos],))]
+        segs = [self.limits.seg(row["start_ms"], row["end_ms"], row["text"], (row[self.pos],))]
         return self._through(segs, 0)
 
     def _through(self, segs, first):
@@ -372,7 +373,7 @@ def run_steps(
     df: DataFrame,
     keys: Sequence[str],
     steps: Sequence[str],
-    params: SubtitleParams | Callable[[tuple], SubtitleParams] = SubtitleParams(),
+    params: SubtitleParams = SubtitleParams(),
     pos: str = "pos",
     total: str = "n_rows",
     **options,
@@ -380,19 +381,51 @@ def run_steps(
     """Apply merge steps to each key in ``pos`` order.
 
     Returns ``start_ms, end_ms, text, source_rows`` (positions of the rows each
-    result was made of), with ``pos`` and ``n_rows`` renumbered. ``params`` may
-    depend on the key values, which is how a sweep runs many settings at once.
+    result was made of), with ``pos`` and ``n_rows`` renumbered.
     """
-    choose = params if callable(params) else (lambda key: params)
     names = list(steps)
     rows = df.select(*keys, pos, total, "start_ms", "end_ms", "text")
     folded = ordered_fold(
-        rows, keys, pos, total, lambda key: SegmentChain(names, choose(key), pos), SEGMENT_FIELDS,
+        rows, keys, pos, total, lambda key: SegmentChain(names, params, pos), SEGMENT_FIELDS,
         name="segments", **options,
     )
     return _renumber(folded, keys)
 
 
+class ManyChains(Fold):
+    """The same steps under several settings over one pass of the rows."""
+
+    def __init__(self, names: Sequence[str], settings: Mapping[str, SubtitleParams], pos: str):
+        self.chains = {k: SegmentChain(names, p, pos) for k, p in settings.items()}
+
+    def push(self, row):
+        return [(k, *out) for k, chain in self.chains.items() for out in chain.push(row)]
+
+    def flush(self):
+        return [(k, *out) for k, chain in self.chains.items() for out in chain.flush()]
+
+    def state(self):
+        return tuple(chain.state() for chain in self.chains.values())
+
+
+def run_settings(
+    df: DataFrame,
+    keys: Sequence[str],
+    steps: Sequence[str],
+    settings: Mapping[str, SubtitleParams],
+    pos: str = "pos",
+    total: str = "n_rows",
+    **options,
+) -> DataFrame:
+    """:func:`run_steps` under every setting, with the setting's name in
+    ``param_id``. The rows are shuffled and read once, not once per setting."""
+    chosen, names = dict(settings), list(steps)
+    rows = df.select(*keys, pos, total, "start_ms", "end_ms", "text")
+    fields = [T.StructField("param_id", T.StringType()), *SEGMENT_FIELDS]
+    folded = ordered_fold(rows, keys, pos, total, lambda key: ManyChains(names, chosen, pos), fields, name="sweep", **options)
+    return _renumber(folded, ["param_id", *keys])
+
+
 def _renumber(folded: DataFrame, keys: Sequence[str], block_rows: int = 50_000) -> DataFrame:
     """Positions of the results: by start, then by the rows they came from."""
     first = F.array_min("source_rows")

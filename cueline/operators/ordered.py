@@ -108,12 +108,13 @@ def with_halo(df: DataFrame, pos: str, before: int, after: int, size: int = BLOC
         raise ValueError("the halo must fit into one block")
     home = F.floor(F.col(pos) / size).cast("long")
     offset = F.pmod(F.col(pos), F.lit(size))
-    targets = F.array_compact(
-        F.array(
-            home,
-            F.when(offset >= size - before, home + 1) if before else F.lit(None).cast("long"),
-            F.when(offset < after, home - 1) if after else F.lit(None).cast("long"),
-        )
+    late = offset >= size - before if before else F.lit(False)
+    early = offset < after if after else F.lit(False)
+    targets = (
+        F.when(late & early, F.array(home, home + 1, home - 1))
+        .when(late, F.array(home, home + 1))
+        .when(early, F.array(home, home - 1))
+        .otherwise(F.array(home))
     )
     return df.withColumn("_home", home).withColumn("_block", F.explode(targets))
 
@@ -250,11 +251,13 @@ def ordered_fold(
         ]
     )
     out_names = [f.name for f in out_fields]
+    # a fixed number of tasks: the fold is bound by computing, not by bytes
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         blocks = (
             with_halo(df, pos, min(warmup, size), 0, size)
             .where(F.col("_block") * size < F.col(total))
-            .repartition(*keys, "_block")
+            .repartition(tasks, *keys, "_block")
             .sortWithinPartitions(*keys, "_block", pos)
         )
         runner = _block_runner(keys, pos, total, make_fold, to_arrow_schema(schema), len(out_names))

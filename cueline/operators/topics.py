@@ -77,12 +77,14 @@ def keyword_counts(df: DataFrame, keys: Sequence[str], params: TopicParams = Top
     """Words per key with their count and first place; stop words are left out.
 
     Words are greedy disjoint runs of the word pattern, found within each row.
-    Counting is by map-side partial sums, so a frequent word does not travel."""
+    Counting is by map-side partial sums, so a frequent word does not travel.
+    The place is one number (row, then word in the row), which keeps the
+    aggregation hash-based."""
     words = df.select(
         *keys, F.col(pos).alias("_row"),
         F.posexplode(F.regexp_extract_all(F.col(text), F.lit(params.word_pattern), F.lit(0))).alias("_at", "word"),
     ).where(~F.col("word").isin(*params.stop_words))
-    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "_at")).alias("first_at"))
+    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.shiftleft(F.col("_row").cast("long"), 24) + F.col("_at")).alias("first_at"))
 
 
 def top_keywords(df: DataFrame, keys: Sequence[str], k: int = 10, params: TopicParams = TopicParams(), pos: str = "pos", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions import text as txt
 from cueline.operators import checks, merging, scoring, timeline
-from cueline.operators.experiments import SWEEP_SETTINGS, resolve_settings, with_settings
+from cueline.operators.experiments import SWEEP_SETTINGS, resolve_settings
 from cueline.operators.ordered import dense_position
 from cueline.operators.rules import Rules, apply_literal, normalise
 from cueline.params import PUBLISHING, SubtitleParams
@@ -103,13 +103,13 @@ def sweep(
 ) -> DataFrame:
     """Every parameter setting over the whole corpus in one job.
 
-    Each row is repeated per setting; the setting is part of the key of every
-    later step. Gives one row per setting with mean scores and summed issues.
+    All settings run side by side over one pass of the rows; the setting is part
+    of the key of every later step. Gives one row per setting with mean scores
+    and summed issues.
     """
     chosen = resolve_settings(base, settings)
     by = ["param_id", *keys]
-    rows = with_settings(segments.select(*keys, "pos", "n_rows", "start_ms", "end_ms", "text"), settings)
-    merged = merging.run_steps(rows, by, merging.FULL_CHAIN, lambda key: chosen[key[0]])
+    merged = merging.run_settings(segments, keys, merging.FULL_CHAIN, chosen)
     entries = timeline.extend_for_readability(timeline.insert_gaps(merged, by, "pos", chosen), by, "pos", chosen)
     previous = checks.with_segment_context(entries, by, "pos", base)
     family = checks.alignment_family(base, standard)

@@ -5,10 +5,10 @@ from conftest import segments_of
 from pyspark.sql import functions as F
 
 from cueline.operators import merging
-from cueline.operators.merging import Seg
 from cueline.params import SubtitleParams
 
 P = SubtitleParams(max_chars=18, max_lines=2)
+LIMITS = merging.Limits(P)
 NARROW = SubtitleParams(max_chars=5, max_lines=1)
 SCENARIO = [
     (110, 1282, "从我们个人的"), (1282, 1633, "这个"), (1673, 4410, "还比较短的这么一个人生经历"), (4410, 4793, "上来"),
@@ -42,7 +42,7 @@ def texts(rows):
 def test_fragments(spark, start, end, text, wanted):
     rows = spark.createDataFrame([(text,)], "text string")
     assert rows.select(merging.is_fragment(F.col("text"), F.lit(end - start), P)).first()[0] is wanted
-    assert merging.JoinFragments(merging.Limits(P)).needs_care(Seg(start, end, text, (0,))) is wanted
+    assert merging.JoinFragments(LIMITS).needs_care(LIMITS.seg(start, end, text, (0,))) is wanted
 
 
 @pytest.mark.parametrize(
@@ -56,7 +56,8 @@ def test_fragments(spark, start, end, text, wanted):
     ],
 )
 def test_pairs(spark, a, b, params, wanted):
-    assert merging.Limits(params).pair_fits(Seg(*a, (0,)), Seg(*b, (1,))) is wanted
+    limits = merging.Limits(params)
+    assert limits.pair_fits(limits.seg(*a, (0,)), limits.seg(*b, (1,))) is wanted
     lit = [F.lit(x) for x in (a[2], a[0], b[2], b[1])]
     assert spark.range(1).select(merging.pair_fits(*lit, params)).first()[0] is wanted
 
@@ -130,3 +131,12 @@ def test_clip_entries():
     assert clip([(0.0, 0.4, "一二三"), (0.5, 3.0, "四五六")], 5) == [(0.0, pytest.approx(0.23), "一二三"), (pytest.approx(0.27), 3.0, "四五六")]
     assert clip([(0.0, 2.0, "")]) == [] == clip([])
     assert clip([(0.0, 0.5, "短")]) == [(0.0, 1.2, "短")]
+
+
+def test_settings_side_by_side(spark):
+    rows = segments_of(spark, SCENARIO)
+    settings = {"wide": P, "narrow": NARROW}
+    both = merging.run_settings(rows, ["transcript_id"], merging.FULL_CHAIN, settings, size=6, warmup=3)
+    for name, params in settings.items():
+        got = both.where(F.col("param_id") == name).orderBy("pos").collect()
+        assert [(r.start_ms, r.end_ms, r.text, r.source_rows) for r in got] == run(merging.FULL_CHAIN, SCENARIO, params)
