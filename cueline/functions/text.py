@@ -173,6 +173,11 @@ def pixel_width(text: Column, font_size: int) -> Column:
     )
 
 
+def wider_than_frame(text: Column, font_size: int, frame_width: int) -> Column:
+    """Wider than 85 % of the frame."""
+    return pixel_width(text, font_size) > int(frame_width * 0.85)
+
+
 def strip_full_stop(text: Column, mark: str = "。") -> Column:
     return F.when(text.endswith(mark), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
 

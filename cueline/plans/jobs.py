@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.functions import text as txt
 from cueline.operators import checks, merging, scoring, timeline
-from cueline.operators.experiments import SWEEP_SETTINGS, resolve_settings
+from cueline.operators.experiments import SWEEP_SETTINGS, adapt_params, issue_types_present, resolve_settings
 from cueline.operators.ordered import dense_position
-from cueline.operators.rules import Rules, apply_literal, normalise
+from cueline.operators.rules import Rules, apply_literal, flatten_rules, inline_rules, normalise
 from cueline.params import PUBLISHING, SubtitleParams
+from cueline.plans import audit
+from cueline.session import materialise
+from cueline.sources import readers
 
 LATIN_SETTINGS = tuple(
     (name, {k: v * 42 // 18 if k == "max_chars" else v * 4.5 if k == "reading_speed" else v for k, v in changes.items()})
@@ -123,6 +127,61 @@ def sweep(
     )
 
 
+def load_project(
+    spark: SparkSession, transcripts: str, rules: str, params: SubtitleParams = SubtitleParams()
+) -> tuple[DataFrame, DataFrame, list[tuple[str, str]] | None]:
+    """Segments in time order, their merged entries and the flattened literal rules
+    of a folder of transcripts. The rules are None if too many to carry inline."""
+    keys = ["transcript_id"]
+    segments = timeline.with_time_order(materialise(readers.read_transcripts(spark, transcripts), "project"), keys)
+    entries = merging.transcript_to_entries(segments, keys, params)
+    return segments, entries, inline_rules(flatten_rules(readers.read_rules(spark, rules)))
+
+
+@dataclass
+class Iteration:
+    number: int
+    params: SubtitleParams
+    total_score: float
+    critical_issues: int
+    warnings: int
+    all_passed: bool
+    changed: list[str]
+
+
+def research(
+    segments: DataFrame,
+    keys: Sequence[str],
+    params: SubtitleParams,
+    rules: Rules = Rules(),
+    standard: SubtitleParams = PUBLISHING,
+    max_iterations: int = 3,
+) -> list[Iteration]:
+    """Merge, audit and loosen the limits the issues point at, until all pass.
+
+    Each iteration is a few Spark jobs over the whole corpus; only one row of
+    totals and the set of issue types come to the driver.
+    """
+    history: list[Iteration] = []
+    for number in range(1, max_iterations + 1):
+        entries = materialise(merging.transcript_to_entries(segments, keys, params), "entries")
+        shown = process_entries(entries, keys, "pos", params, rules)
+        context = checks.with_entry_context(shown, keys, "pos", params=params)
+        aligned = checks.with_segment_context(segments, keys, "pos", params)
+        scores = audit.single_iteration(context, aligned, keys, params, standard, rules)
+        row = scores.agg(
+            F.avg("total_score").alias("score"), F.sum("critical_issues").alias("c"), F.sum("warnings").alias("w"),
+            F.bool_and("all_passed").alias("ok"),
+        ).first()
+        families = (checks.timing_family(params, rules), checks.content_family(params, rules))
+        present = issue_types_present(checks.issues(context, keys, F.col("pos"), *families))
+        used, (params, changed) = params, adapt_params(present, params)
+        history.append(Iteration(number, used, row.score, row.c, row.w, row.ok, changed))
+        if row.ok or not changed:
+            break
+    return history
+
+
 def measure_corpus(segments: DataFrame, keys: Sequence[str], rules: Rules = Rules()) -> Callable[[SubtitleParams], DataFrame]:
     """A measuring function for experiments: merge the corpus, score it, give one row."""
 

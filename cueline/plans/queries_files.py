@@ -83,26 +83,33 @@ def canonical_transcripts(spark, sf):
     )
 
 
+PART = 1000
+"""Segments per recogniser document."""
+
+
 @query("mixed_transcripts", O.with_(O.SEGMENTS) + f"""
-select transcript_id, seg_idx,
+select transcript_id, seg_idx // {PART} as part, seg_idx % {PART} as seg_idx,
   case when transcript_id % 2 = 0 then cast(trunc(start_ms / 1000 * 1000) as bigint) when start_ms < 100000 then start_ms * 1000 else start_ms end as start_ms,
-  case when transcript_id % 2 = 0 then cast(trunc(end_ms / 1000 * 1000) as bigint) when end_ms < 100000 then end_ms * 1000 else end_ms end as end_ms, {O.strip('text')} as text
+  case when transcript_id % 2 = 0 then cast(trunc(end_ms / 1000 * 1000) as bigint) when end_ms < 100000 then end_ms * 1000 else end_ms end as end_ms,
+  {O.strip('text')} as text
 from segments""")
 def mixed_transcripts(spark, sf):
-    """Transcripts as recogniser JSON: even ones as objects in seconds, odd ones as
-    arrays whose numbers are read as seconds below 100000."""
-    from pyspark.sql import Window
-
+    """Transcripts as recogniser JSON in documents of at most 1000 segments: even
+    ones as objects in seconds, odd ones as arrays whose numbers are read as
+    seconds below 100000."""
     even = F.col("transcript_id") % 2 == 0
-    rows = X.segments(spark, sf)
-    item = F.struct("seg_idx", F.when(even, F.col("start_ms") / 1000).otherwise(F.col("start_ms")).alias("begin"),
-                    F.when(even, F.col("end_ms") / 1000).otherwise(F.col("end_ms")).alias("end"), F.col("text").alias("sentence"))
-    docs = rows.groupBy("transcript_id").agg(F.array_sort(F.collect_list(item)).alias("segments"))
+    seconds = lambda c: F.when(even, F.col(c) / 1000).otherwise(F.col(c))
+    item = F.struct("seg_idx", seconds("start_ms").alias("begin"), seconds("end_ms").alias("end"), F.col("text").alias("sentence"))
+    part = F.floor(F.col("seg_idx") / PART).alias("part")
+    docs = X.segments(spark, sf).groupBy("transcript_id", part).agg(F.array_sort(F.collect_list(item)).alias("segments"))
     value = F.when(even, F.to_json(F.struct(F.lit(1.5).alias("duration"), "segments"))).otherwise(F.to_json("segments"))
     path = scratch(spark, "mixed")
-    docs.select("transcript_id", value.alias("value")).repartition("transcript_id").write.partitionBy("transcript_id").text(path)
-    found = readers.read_transcripts(spark, path, recursive=True).withColumn("transcript_id", F.regexp_extract("source_file", r"transcript_id=(\d+)", 1).cast("long"))
-    return found.select("transcript_id", "seg_idx", "start_ms", "end_ms", "text")
+    docs.select("transcript_id", "part", value.alias("value")).write.partitionBy("transcript_id", "part").text(path)
+    found = readers.read_transcripts(spark, path, recursive=True)
+    folder = lambda name: F.regexp_extract("source_file", name + r"=(\d+)", 1).cast("long")
+    return found.withColumns({"transcript_id": folder("transcript_id"), "part": folder("part")}).select(
+        "transcript_id", "part", "seg_idx", "start_ms", "end_ms", "text"
+    )
 
 
 @query("clip_definitions", O.with_(O.SEGMENTS, O.CLIPS) + "select series, transcript_id || '-' || clip_id as clip_id, start_ms, end_ms from clips")

@@ -192,9 +192,12 @@ def display_text(spark, sf):
 @query("pixel_widths", """
 with n as (select doc_id, length(text) as l, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) as a,
   length(regexp_replace(text, '[^ ]', '', 'g')) as b, length(regexp_replace(text, '[^一-鿿　-〿＀-￯]', '', 'g')) as w from documents)
-select doc_id, w * 40 + a * 22 + b * 12 + (l - w - a - b) * 24 as pixels from n""")
+select doc_id, w * 40 + a * 22 + b * 12 + (l - w - a - b) * 24 as pixels, w * 40 + a * 22 + b * 12 + (l - w - a - b) * 24 > 1632 as too_wide from n""")
 def pixel_widths(spark, sf):
-    return documents(spark, sf).select("doc_id", txt.pixel_width(F.col("text"), 60).cast("long").alias("pixels"))
+    text = F.col("text")
+    return documents(spark, sf).select(
+        "doc_id", txt.pixel_width(text, 60).cast("long").alias("pixels"), txt.wider_than_frame(text, 60, 1920).alias("too_wide")
+    )
 
 
 @query("stripped_full_stop", "select doc_id, case when text like '%.' then substr(text, 1, length(text) - 1) else text end as text from documents")
