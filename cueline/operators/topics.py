@@ -91,7 +91,7 @@ def top_keywords(df: DataFrame, keys: Sequence[str], k: int = 10, params: TopicP
     """The ``k`` most frequent words per key; earlier first occurrence wins a tie."""
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "first_at")
     ranked = keyword_counts(df, keys, params, pos, text).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select(*keys, "rank", "word", "n")
+    return ranked.where(F.col("rank") <= k).select(*keys, F.col("rank").cast("long").alias("rank"), "word", "n")
 
 
 def _joined_head(rows: DataFrame, keys: Sequence[str], order: str, chars: int) -> DataFrame:
