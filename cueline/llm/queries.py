@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op4_sharding": "sharding",
     "op6_mixing": "mixing",
+    "op8_decontamination": "decontamination",
 }
 
 
