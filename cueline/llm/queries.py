@@ -6,9 +6,12 @@ import importlib
 
 #: Query name to the module that holds it.
 MODULES = {
+    "op3_chat": "chat",
     "op4_sharding": "sharding",
+    "op5_secrets": "secrets",
     "op6_mixing": "mixing",
     "op8_decontamination": "decontamination",
+    "op9_neighbours": "neighbours",
 }
 
 
