@@ -12,6 +12,7 @@ MODULES = {
     "op6_mixing": "mixing",
     "op8_decontamination": "decontamination",
     "op9_neighbours": "neighbours",
+    "op10_html": "html",
 }
 
 
