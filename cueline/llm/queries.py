@@ -6,6 +6,7 @@ import importlib
 
 #: Query name to the module that holds it.
 MODULES = {
+    "op1_quality": "quality",
     "op3_chat": "chat",
     "op4_sharding": "sharding",
     "op5_secrets": "secrets",
