@@ -8,11 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueline.llm import mixing, sharding
+from cueline.llm import decontamination, minhash, mixing, quality, sharding
 from cueline.llm.tables import read
 from cueline.session import materialise
 
 
+def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.reject_poor(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return minhash.deduplicate(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source near its target, documents repeated where it says so."""
     return mixing.apply_mix(docs)
@@ -24,16 +39,19 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("mixing", mixed),
+    ("quality classifier", rated),
+    ("n-gram Jaccard join", deduplicated),
+    ("benchmark decontamination", decontaminated),
+    ("mixing to target weights", mixed),
     ("sharding", sharded),
 ]
 
-#: The classifier and the MinHash join have no SQL; tests compare them with plain versions.
+#: The classifier is trained, which SQL cannot express; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

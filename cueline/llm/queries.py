@@ -7,6 +7,7 @@ import importlib
 #: Query name to the module that holds it.
 MODULES = {
     "op1_quality": "quality",
+    "op2_minhash": "minhash",
     "op3_chat": "chat",
     "op4_sharding": "sharding",
     "op5_secrets": "secrets",
