@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueline.llm.groups import components, local_roots, runs, starts_of, tiled
+from cueline.llm.groups import components, local_roots, overlaps, runs, starts_of, tiled
 from cueline.llm.tables import fresh, read
 from cueline.llm.words import mix, shingles_of, slices, words_of
 from cueline.session import materialise
@@ -180,29 +180,6 @@ def _by_tile(rows: DataFrame) -> DataFrame:
     return rows.repartition(*_TILE).sortWithinPartitions(*_TILE)
 
 
-def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the given pairs of sets."""
-    sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(counts > 1)
-    if len(left) * (20_000 + 20 * sizes.mean()) < 0.1 * len(sets) ** 2 * len(shared) + 1e6:
-        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left.tolist(), right.tolist())], int)
-    # Many pairs: products of the membership matrix, some columns at a time.
-    column = np.full(len(values), -1)
-    column[shared] = np.arange(len(shared))
-    rows, columns = np.repeat(np.arange(len(sets)), sizes), column[inverse]
-    rows, columns = rows[columns >= 0], columns[columns >= 0]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    total, width = np.zeros((len(sets), len(sets)), np.float32), 4096
-    for first in range(0, len(shared), width):
-        low, high = np.searchsorted(columns, [first, first + width])
-        member = np.zeros((len(sets), width), np.float32)
-        member[rows[low:high], columns[low:high] - first] = 1
-        total += member @ member.T
-    return total[left, right].astype(int)
-
-
 def _verified(met: DataFrame) -> DataFrame:
     """``digest, root, texts, docs``: verified links of each member within its tile, counted."""
 
@@ -216,7 +193,7 @@ def _verified(met: DataFrame) -> DataFrame:
                 left, right = _first_meetings(_matrix(group.column("signature").combine_chunks()), tile[first:last], band, cross)
                 shingles, offsets = shingles_of(words_of(group.column("text").combine_chunks()), N_GRAM)
                 sets = [np.unique(shingles[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-                both = _overlaps(sets, left, right)
+                both = overlaps(sets, left, right)
                 sizes = np.array([len(s) for s in sets])
                 # The threshold as a fraction of whole numbers, free of rounding.
                 linked = both * 10_000 >= round(THRESHOLD * 10_000) * (sizes[left] + sizes[right] - both)

@@ -12,6 +12,7 @@ MODULES = {
     "op4_sharding": "sharding",
     "op5_secrets": "secrets",
     "op6_mixing": "mixing",
+    "op7_lines": "lines",
     "op8_decontamination": "decontamination",
     "op9_neighbours": "neighbours",
     "op10_html": "html",
