@@ -9,7 +9,7 @@ place; what follows joins classes.
    a set is ordered by rarity (that count, then the hash).
 2. Two sets at the threshold share a word within their prefixes, the rarest
    ``n - ceil(0.8 n) + 1`` words. Each class posts its prefix words, with the
-   word's position, the set's size and 64 parity bits of the set.
+   word's position, the set's size and 128 parity bits of the set.
 3. Under each word, in tiles of bounded size, the length filter, the positional
    filter and the parity bits (which never exceed the symmetric difference) leave
    few pairs. Only members of such pairs get their full sets sent.
@@ -49,6 +49,9 @@ FILTER_BITS = 1 << 20
 #: Upper bits of a key name the word (and tile), lower bits the set's size and the word's position.
 _SIZE_BITS, _PLACE_BITS = 14, 12
 _LOW = _SIZE_BITS + _PLACE_BITS
+#: Bytes of a word's hash that the upper bits of a key take.
+_WORD_BYTES = 5
+_POSTING = ["key", "ref", "parity", "parity2", "side"]
 
 
 def _ceil(n: np.ndarray | int, part: int, whole: int):
@@ -65,8 +68,14 @@ class _Sets:
         self.numbers = np.arange(len(self.rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         words: Words = words_of(lists.flatten())
         lines, hashes = words.rows(), words.hashes
-        rank = np.zeros(len(hashes), np.int64) if counts is None else counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
-        order = np.lexsort((hashes, rank, lines))
+        rank = np.zeros(1, np.uint64) if counts is None else counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+        # One number orders by line, rarity and most bits of the hash.
+        packed = (lines.astype(np.uint64) << np.uint64(42)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
+        order = np.argsort(packed)
+        packed = packed[order]
+        same = np.flatnonzero(packed[1:] == packed[:-1])
+        if (hashes[order[same]] != hashes[order[same + 1]]).any():  # the bits left out would decide
+            order = np.lexsort((hashes, np.broadcast_to(rank, len(hashes)), lines))
         lines, hashes = lines[order], hashes[order]
         fresh_word = np.ones(len(hashes), bool)
         fresh_word[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
@@ -82,10 +91,11 @@ class _Sets:
             out[:, half] = mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]] + self.sizes.astype(np.uint64))
         return out
 
-    def parities(self) -> np.ndarray:
-        """64 bits, each the parity of the number of words that hash to it."""
-        bits = np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.uint64(1) << (self.words >> np.uint64(58)))])
-        return bits[self.offsets[1:]] ^ bits[self.offsets[:-1]]
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits in two numbers, each bit the parity of the number of words that hash to it."""
+        bit, half = np.uint64(1) << (self.words >> np.uint64(58)), (self.words >> np.uint64(57)) & np.uint64(1)
+        sums = [np.concatenate([[np.uint64(0)], np.bitwise_xor.accumulate(np.where(half == h, bit, np.uint64(0)))]) for h in (0, 1)]
+        return tuple(s[self.offsets[1:]] ^ s[self.offsets[:-1]] for s in sums)
 
     def prefix_sizes(self) -> np.ndarray:
         return np.where(self.sizes > 0, self.sizes - _ceil(self.sizes, PART, WHOLE) + 1, 0)
@@ -99,8 +109,8 @@ def _place() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Words of all lines counted by hash bucket."""
+def word_ranks(docs: DataFrame) -> np.ndarray:
+    """Words of all lines counted by hash bucket, as ranks: eighths of a power of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNT_BUCKETS, np.int64)
@@ -113,17 +123,17 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     found = docs.select("text").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNT_BUCKETS, np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return counts
+    return (8 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
 
 
-def line_classes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``d1, d2, doc_id, line, size, parity, prefix``: each class of lines with its first place.
+def line_classes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """``d1, d2, at, size, parity, parity2, prefix``: each class of lines with its first place.
 
-    Repeats within a slice are folded before the shuffle, so a very common line
+    ``prefix`` holds the upper ``_WORD_BYTES`` bytes of its words' hashes. Repeats within a slice are folded before the shuffle, so a very common line
     arrives once per slice.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,27 +145,31 @@ def line_classes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 lines = np.sort(real[first])
                 prefixes, starts = sets.prefix_sizes()[lines], sets.offsets[lines]
                 inside = np.repeat(starts - (np.cumsum(prefixes) - prefixes), prefixes) + np.arange(prefixes.sum())
-                data = sets.words[inside].view(np.uint8)
-                ends = np.concatenate([[0], np.cumsum(prefixes * 8)]).astype(np.int32)
+                data = np.ascontiguousarray(sets.words[inside].view(np.uint8).reshape(-1, 8)[:, 8 - _WORD_BYTES :])
+                ends = np.concatenate([[0], np.cumsum(prefixes * _WORD_BYTES)]).astype(np.int32)
                 prefix = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
                 arrays = [
                     _signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(pa.array(sets.rows[lines])),
-                    pa.array(sets.numbers[lines].astype(np.int32)), pa.array(sets.sizes[lines].astype(np.int32)), _signed(sets.parities()[lines]), prefix,
+                    pa.array(sets.numbers[lines].astype(np.int32)), pa.array(sets.sizes[lines].astype(np.int32)),
+                    *[_signed(p[lines]) for p in sets.parities()], prefix,
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "line", "size", "parity", "prefix"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "line", "size", "parity", "parity2", "prefix"])
 
     found = docs.where("text is not null").select("doc_id", "text").mapInArrow(
-        run, f"d1 bigint, d2 bigint, doc_id {kind}, line int, size int, parity bigint, prefix binary"
+        run, f"d1 bigint, d2 bigint, doc_id {kind}, line int, size int, parity bigint, parity2 bigint, prefix binary"
     )
     # A struct of (is null, id, line) orders null ids last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line")).alias("at")
-    return found.groupBy("d1", "d2").agg(first, F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    return found.groupBy("d1", "d2").agg(first, *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
 
 
 def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all prefixes, and the row and the place of each."""
-    sizes = pc.binary_length(batch.column("prefix")).to_numpy() // 8
-    words = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint64)
+    """Words of all prefixes (upper bits of their hashes), and the row and the place of each."""
+    sizes = pc.binary_length(batch.column("prefix")).to_numpy() // _WORD_BYTES
+    data = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint8).reshape(-1, _WORD_BYTES)
+    whole = np.zeros((len(data), 8), np.uint8)
+    whole[:, 8 - _WORD_BYTES :] = data
+    words = whole.view(np.uint64).ravel()
     return words, np.repeat(np.arange(len(sizes)), sizes), np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
@@ -179,7 +193,7 @@ def _hot_words(classes: DataFrame, tile_rows: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, tile_rows: int) -> DataFrame:
-    """``key, ref, parity, side``: prefix words of all classes, in pairs of tiles where a word is hot."""
+    """``key, ref, parity, parity2, side``: prefix words of all classes, in pairs of tiles where a word is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,14 +203,16 @@ def _postings(classes: DataFrame, tile_rows: int) -> DataFrame:
             sizes = batch.column("size").to_numpy()
             low = (np.minimum(sizes[rows], (1 << _SIZE_BITS) - 1) << _PLACE_BITS) | np.minimum(places, (1 << _PLACE_BITS) - 1)
             key = ((words >> np.uint64(_LOW)) << np.uint64(_LOW)) | low.astype(np.uint64)
-            arrays = [_signed(words), _signed(key), batch.column("d1").take(pa.array(rows)), batch.column("parity").take(pa.array(rows))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["word", "key", "ref", "parity"])
+            arrays = [_signed(words), _signed(key), *[batch.column(c).take(pa.array(rows)) for c in ("d1", "parity", "parity2")]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["word", "key", "ref", "parity", "parity2"])
 
-    plain = classes.select("d1", "size", "parity", "prefix").mapInArrow(run, "word bigint, key bigint, ref bigint, parity bigint")
+    plain = classes.select("d1", "size", "parity", "parity2", "prefix").mapInArrow(
+        run, "word bigint, key bigint, ref bigint, parity bigint, parity2 bigint"
+    )
     hot = materialise(_hot_words(classes, tile_rows), "line-hot-words")
     n_hot = hot.count()
     if n_hot == 0:
-        return plain.select("key", "ref", "parity", F.lit(0).alias("side"))
+        return plain.select("key", "ref", "parity", "parity2", F.lit(0).alias("side"))
     met = plain.join(small(hot.withColumnRenamed("word", "w"), n_hot), F.col("word") == F.col("w"), "left")
     dealt = met.withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("ref"), F.col("tiles")).cast("int"))
     paired = dealt.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -205,35 +221,45 @@ def _postings(classes: DataFrame, tile_rows: int) -> DataFrame:
     mask = (1 << _LOW) - 1
     key = F.when(F.col("tiles") == 1, F.col("key")).otherwise(tile_pair.bitwiseAND(F.lit(~mask)).bitwiseOR(F.col("key").bitwiseAND(F.lit(mask))))
     side = F.when(F.col("tile") == F.col("partner"), 0).when(F.col("tile") < F.col("partner"), 1).otherwise(2)
-    return paired.select(key.alias("key"), "ref", "parity", side.alias("side"))
+    return paired.select(key.alias("key"), "ref", "parity", "parity2", side.alias("side"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows of a word together, in order of the size of their sets."""
     word = F.shiftright("key", _LOW)
-    return rows.withColumn("word", word).repartition("word").sortWithinPartitions("word")
+    return rows.repartition(word).sortWithinPartitions("key").withColumn("word", word)
+
 
+def _pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one word that pass the length, positional and parity filters.
 
-def _pairs(word: np.ndarray, key: np.ndarray, parity: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one word that pass the length, positional and parity filters."""
+    Within a word rows are ordered by size, so a row that is too small for the
+    one ``lag`` rows on is too small for all behind it.
+    """
+    word, key, side = (table.column(c).to_numpy() for c in ("word", "key", "side"))
+    parities = [table.column(c).to_numpy().view(np.uint64) for c in ("parity", "parity2")]
     low = key & ((1 << _LOW) - 1)
     size, place = low >> _PLACE_BITS, low & ((1 << _PLACE_BITS) - 1)
     capped = (size == (1 << _SIZE_BITS) - 1) | (place == (1 << _PLACE_BITS) - 1)
     rest = np.where(capped, 1 << 40, size - place)
     group_end = np.searchsorted(word, word, "right")
-    left = np.arange(len(word))
-    lag = 0
-    while len(left):
+    split, left, lag = side.any(), np.arange(len(word)), 0
+    while True:
         lag += 1
         left = left[left + lag < group_end[left]]
-        right = left + lag
-        a, b = size[left], size[right]
-        needed = _ceil(a + b, PART, PART + WHOLE)
-        near = (WHOLE * np.minimum(a, b) >= PART * np.maximum(a, b)) & (np.minimum(rest[left], rest[right]) >= needed)
-        near &= np.bitwise_count(parity[left] ^ parity[right]) <= a + b - 2 * needed
-        near |= capped[left] | capped[right]
-        near &= (side[left] == 0) | (side[left] != side[right])
+        left = left[WHOLE * size[left] >= PART * size[left + lag]]
+        if not len(left):
+            return
+        needed = _ceil(size[left] + size[left + lag], PART, PART + WHOLE)
+        near = np.minimum(rest[left], rest[left + lag]) >= needed
+        if split:
+            near &= (side[left] == 0) | (side[left] != side[left + lag])
+        a, needed = left[near], needed[near]
+        b = a + lag
+        apart = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in parities)
+        near = (apart <= size[a] + size[b] - 2 * needed) | capped[a] | capped[b]
         if near.any():
-            yield left[near], right[near]
+            yield a[near], b[near]
 
 
 def _met(postings: DataFrame) -> DataFrame:
@@ -241,15 +267,36 @@ def _met(postings: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["word"]):
-            word, key, parity, side = (table.column(c).to_numpy() for c in ("word", "key", "parity", "side"))
             wanted = np.zeros(table.num_rows, bool)
-            for left, right in _pairs(word, key, parity.view(np.uint64), side):
+            for left, right in _pairs(table):
                 wanted[left] = wanted[right] = True
-            yield from table.select(["key", "ref", "parity", "side"]).filter(pa.array(wanted)).to_batches()
+            yield from table.select(_POSTING).filter(pa.array(wanted)).to_batches()
 
     return _grouped(postings).mapInArrow(run, postings.schema)
 
 
+def _first_met(met: DataFrame) -> DataFrame:
+    """The postings of ``met`` (with ``prefix``) that have a pair under the first word that the two share.
+
+    Similar lines meet under nearly every prefix word; one meeting is enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["word"]):
+            places = (table.column("key").to_numpy() & ((1 << _PLACE_BITS) - 1)).tolist()
+            earlier = [
+                frozenset(p[i : i + _WORD_BYTES] for i in range(0, place * _WORD_BYTES, _WORD_BYTES))
+                for p, place in zip(table.column("prefix").to_pylist(), places)
+            ]
+            wanted = np.zeros(table.num_rows, bool)
+            for left, right in _pairs(table):
+                first = [earlier[a].isdisjoint(earlier[b]) for a, b in zip(left.tolist(), right.tolist())]
+                wanted[left[first]] = wanted[right[first]] = True
+            yield from table.select(_POSTING).filter(pa.array(wanted)).to_batches()
+
+    return _grouped(met).mapInArrow(run, met.select(_POSTING).schema)
+
+
 def _full_sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """``d1, d2, words`` of lines that may be wanted: all those that pass a filter of fixed size."""
     bit = F.col("ref").bitwiseAND(F.lit(FILTER_BITS - 1))
@@ -277,8 +324,7 @@ def _later(met: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["word"]):
-            word, key, parity, side = (table.column(c).to_numpy() for c in ("word", "key", "parity", "side"))
-            found = list(_pairs(word, key, parity.view(np.uint64), side))
+            found = list(_pairs(table))
             if not found:
                 continue
             left, right = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -309,9 +355,9 @@ def _later(met: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``place, lines``: the numbers (from 0) of removed lines, by the key of (doc_id, text)."""
-    counts = word_counts(docs)
-    classes = materialise(line_classes(docs, counts), "line-classes")
-    met = materialise(_met(_postings(classes, tile_rows)), "line-met")
+    classes = materialise(line_classes(docs, word_ranks(docs)), "line-classes")
+    found = _met(_postings(classes, tile_rows)).join(classes.select(F.col("d1").alias("d"), "prefix"), F.col("ref") == F.col("d"))
+    met = materialise(_first_met(found.select(*_POSTING, "prefix")), "line-met")
     refs = materialise(met.select("ref").distinct(), "line-refs")
     named = refs.join(classes.select("d1", "d2", "at"), F.col("ref") == F.col("d1"))
     sets = _full_sets(docs, refs).select(F.col("d1").alias("s1"), F.col("d2").alias("s2"), "words")
