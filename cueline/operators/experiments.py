@@ -78,13 +78,20 @@ def _holds(rule: tuple) -> Column:
     return hit
 
 
-def recommend(metrics: DataFrame, keys: Sequence[str], rules=STRATEGY_RULES, fallback: Sequence[str] = ()) -> DataFrame:
+def recommend(
+    metrics: DataFrame, keys: Sequence[str], rules=STRATEGY_RULES, fallback: Sequence[str] = (), unmeasured: Sequence[str] = ()
+) -> DataFrame:
     """Strategies whose thresholds the metrics cross, in rule order, repeats kept.
 
-    Rules on metrics the table lacks are left out. The rule list is a literal,
-    so this is one projection. ``fallback`` is used where nothing applies.
+    A rule on a metric that the table lacks is an error, unless the metric is
+    named in ``unmeasured``: then the rule can't fire. The rule list is a
+    literal, so this is one projection. ``fallback`` is used where nothing applies.
     """
-    usable = [(r, names) for r, names in rules if all(r[i] in metrics.columns for i in range(0, len(r), 3))]
+    needed = {r[i] for r, _ in rules for i in range(0, len(r), 3)}
+    if missing := sorted(needed - set(metrics.columns) - set(unmeasured)):
+        raise ValueError(f"metrics without a column: {', '.join(missing)}")
+    metrics = metrics.withColumns({name: F.lit(None).cast("double") for name in unmeasured if name not in metrics.columns})
+    usable = list(rules)
     none = F.array().cast("array<string>")
     parts = [F.when(_holds(r), F.array(*map(F.lit, names))).otherwise(none) for r, names in usable]
     found = F.concat(*parts) if parts else none
@@ -188,8 +195,10 @@ def log_levels(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return log.select(*keys, "level").rollup(*keys, "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest_log(log: DataFrame, n: int = 20) -> DataFrame:
-    return log.orderBy(F.desc("timestamp")).limit(n)
+def latest_log(log: DataFrame, n: int = 20, tie: Sequence[str] = ()) -> DataFrame:
+    """The last ``n`` lines by time, then by the ``tie`` columns, then by all others, latest first."""
+    rest = [c for c in log.columns if c != "timestamp" and c not in tie]
+    return log.orderBy(*[F.desc_nulls_last(c) for c in ("timestamp", *tie, *rest)]).limit(n)
 
 
 # -- sweeps and loops -----------------------------------------------------------------

@@ -426,12 +426,9 @@ def run_settings(
     return _renumber(folded, ["param_id", *keys])
 
 
-def _renumber(folded: DataFrame, keys: Sequence[str], block_rows: int = 50_000) -> DataFrame:
-    """Positions of the results: by start, then by the rows they came from."""
-    first = F.array_min("source_rows")
-    blocked = folded.withColumns({"_first": first, "_range": F.floor(first / block_rows), "_end": F.col("end_ms")})
-    numbered = dense_position(blocked, keys, ["_range"], ["_first", "start_ms", "_end"], "pos", "n_rows")
-    return numbered.drop("_first", "_range", "_end")
+def _renumber(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Positions of the results in the order in which the steps released them."""
+    return dense_position(folded, keys, ["_block"], ["_seq"], "pos", "n_rows").drop("_block", "_seq")
 
 
 def merge_short_segments(df, keys, params=SubtitleParams(), **options) -> DataFrame:
@@ -618,9 +615,5 @@ def merge_clip_entries(
     merged = ordered_fold(
         rows, keys, pos, total, lambda key: ClipEntries(max_chars, min_s, extend_s), fields, name="clip-entries", **options
     )
-    ordered = merged.withColumn("_range", F.floor(F.col("start_s") / 600))
-    return (
-        dense_position(ordered, keys, ["_range"], ["start_s", "end_s"], "_pos")
-        .withColumn("index", F.col("_pos") + 1)
-        .drop("_range", "_pos")
-    )
+    numbered = dense_position(merged, keys, ["_block"], ["_seq"], "_pos").withColumn("index", F.col("_pos") + 1)
+    return numbered.drop("_block", "_seq", "_pos")

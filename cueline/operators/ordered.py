@@ -24,6 +24,9 @@ from cueline.session import materialise
 BLOCK_ROWS = 50_000
 """Rows of one key that are processed together."""
 
+TASK_BLOCKS = 4
+"""Blocks that one task folds, on average."""
+
 HEAVY_BUCKET_ROWS = 1_000_000
 """A time bucket with more rows than this is split further."""
 
@@ -75,7 +78,7 @@ def time_position(
     ``heavy_rows`` rows (many rows at one instant) is split by its exact time
     and by ranges of ``tie``, a row number unique in the key, so no block
     exceeds ``heavy_rows``. The table of heavy buckets has at most
-    ``rows / heavy_rows`` rows, which bounds the broadcast.
+    ``rows / heavy_rows`` rows; how it is joined is left to Spark.
     """
     coarse = F.floor(F.col(time) / bucket).cast("long")
     tagged = df.withColumn("_b0", coarse)
@@ -86,7 +89,7 @@ def time_position(
         .select(*keys, "_b0", F.lit(True).alias("_heavy"))
     )
     tagged = (
-        tagged.join(F.broadcast(heavy), [*keys, "_b0"], "left")
+        tagged.join(heavy, [*keys, "_b0"], "left")
         .withColumn("_b1", F.when(F.col("_heavy"), F.col(time)).otherwise(F.lit(0)).cast("long"))
         .withColumn(
             "_b2",
@@ -231,13 +234,15 @@ def ordered_fold(
     it emits there; by the first row of its own it normally holds the state a
     run from the start of the key would hold. That is checked, not assumed:
     the state each block ended in must equal the state the next one entered
-    with. Where it does, the output equals that of one sequential run. Where
-    any edge differs, the fold is repeated with larger blocks and a longer
-    warm-up, in the limit one block per key. Rows stream through the
-    worker in order, so memory does not grow with the key.
-
-    ``make_fold`` receives the key values. The result has the key columns and
-    ``out_fields`` and is a table in the shared folder.
+    with. Where it does, the output equals that of one sequential run. A key
+    with an edge that differs is folded again with larger blocks and a longer
+    warm-up, in the limit in one block. Rows stream through the worker in
+    order, so memory does not grow with the key.
+
+    ``make_fold`` receives the key values. The result has the key columns,
+    ``out_fields``, and ``_block, _seq``: results of a key in the order in which
+    they were emitted. It is a table in the shared folder. A key whose edges
+    differ is repeated alone; the results of all other keys stand.
     """
     keys = list(keys)
     key_fields = [df.schema[k] for k in keys]
@@ -247,13 +252,16 @@ def ordered_fold(
             T.StructField("_block", T.LongType()),
             T.StructField("_mark", T.StringType()),
             T.StructField("_state", T.StringType()),
+            T.StructField("_seq", T.LongType()),
             *[T.StructField(f.name, f.dataType, True) for f in out_fields],
         ]
     )
     out_names = [f.name for f in out_fields]
-    # a fixed number of tasks: the fold is bound by computing, not by bytes
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # bound by computing, not by bytes: a task for every few blocks, one for each core at least
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done: DataFrame | None = None
     while True:
+        tasks = max(least, -(-df.count() // (TASK_BLOCKS * BLOCK_ROWS)))
         blocks = (
             with_halo(df, pos, min(warmup, size), 0, size)
             .where(F.col("_block") * size < F.col(total))
@@ -265,8 +273,14 @@ def ordered_fold(
         left = table.where("_mark = 'exit'").select(*keys, (F.col("_block") + 1).alias("_block"), "_state")
         entered = table.where("_mark = 'entry'").select(*keys, "_block", F.col("_state").alias("_entered"))
         wrong = left.join(entered, [*keys, "_block"]).where(F.col("_state") != F.col("_entered"))
+        again = wrong.select(*keys).distinct()
+        rows = table.where("_mark = 'row'").select(*keys, "_block", "_seq", *out_names)
         if wrong.isEmpty():
-            return table.where("_mark = 'row'").select(*keys, *out_names)
+            return rows if done is None else done.unionByName(rows)
+        again = materialise(again, f"{name}-again")
+        right = rows.join(again, keys, "left_anti")
+        done = right if done is None else done.unionByName(right)
+        df = df.join(again, keys, "left_semi")
         size, warmup = size * 16, warmup * 16
 
 
@@ -274,11 +288,11 @@ def _block_runner(keys, pos, total, make_fold, arrow_schema, width):
     blanks = (None,) * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, fold, own, done = None, None, False, False
+        current, fold, own, done, seq = None, None, False, False, 0
 
         def leave():
             if current is not None and own and not done:
-                return [(*current, "exit", repr(fold.state()), *blanks)]
+                return [(*current, "exit", repr(fold.state()), None, *blanks)]
             return []
 
         def pack(rows):
@@ -294,16 +308,17 @@ def _block_runner(keys, pos, total, make_fold, arrow_schema, width):
                 group = (*key, record["_block"])
                 if group != current:
                     rows += leave()
-                    current, fold, own, done = group, make_fold(key), False, False
+                    current, fold, own, done, seq = group, make_fold(key), False, False, 0
                 if not own and record["_home"] == record["_block"]:
                     own = True
-                    rows.append((*current, "entry", repr(fold.state()), *blanks))
+                    rows.append((*current, "entry", repr(fold.state()), None, *blanks))
                 emitted = fold.push(record)
                 if own:
                     if record[pos] == record[total] - 1:
                         emitted = emitted + fold.flush()
                         done = True
-                    rows += [(*current, "row", None, *out) for out in emitted]
+                    rows += [(*current, "row", None, seq + n, *out) for n, out in enumerate(emitted)]
+                    seq += len(emitted)
             if rows:
                 yield pack(rows)
         rows = leave()

@@ -1,13 +1,14 @@
 """Correction rules: loading, applying and finding violations.
 
-A rule list small enough for one expression travels inside the plan as a
-literal and is applied without a join. A larger rule table stays a DataFrame
-and is matched by an equi-join on the substrings of the text that have a
-rule's length; both ways find the same hits.
+A rule list travels inside the plan as a literal and is applied without a join,
+since rules apply in order to each other's results. For detection alone, a rule
+table may stay a DataFrame and is matched by an equi-join on the substrings of
+the text that have a rule's length; both ways find the same hits.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -18,9 +19,6 @@ from pyspark.sql import functions as F
 from cueline.functions.text import map_characters, zhu_to_zhe
 from cueline.params import RULE_CATEGORIES
 
-INLINE_RULES = 2_000
-"""Most rules that are carried as a literal; larger tables are joined."""
-
 CHAINED_RULES = 40
 """Most replacements written as one expression each; more become a loop over an array."""
 
@@ -62,10 +60,9 @@ def usable_semantic(rules: DataFrame) -> DataFrame:
     return rules.where("pattern is not null")
 
 
-def inline_rules(flat: DataFrame, cap: int = INLINE_RULES) -> list[tuple[str, str]] | None:
-    """The flattened table as a list in order, or ``None`` if it exceeds ``cap``."""
-    rows = flat.orderBy("category_rank", "rule_order", "wrong").limit(cap + 1).collect()
-    return None if len(rows) > cap else [(r.wrong, r.correct) for r in rows]
+def inline_rules(flat: DataFrame) -> list[tuple[str, str]]:
+    """The flattened table as a list in order, whatever its length."""
+    return [(r.wrong, r.correct) for r in flat.orderBy("category_rank", "rule_order", "wrong").collect()]
 
 
 def java_replacement(replacement: str) -> str:
@@ -83,8 +80,7 @@ def apply_literal(text: Column, rules: Sequence[tuple[str, str]], keep_noops: bo
         for wrong, correct in active:
             text = F.replace(text, F.lit(wrong), F.lit(correct))
         return text
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in active])
-    return F.aggregate(table, text, lambda acc, r: F.replace(acc, r["w"], r["c"]))
+    return F.aggregate(_pairs(active), text, lambda acc, r: F.replace(acc, r["wrong"], r["correct"]))
 
 
 def apply_regex(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -133,7 +129,9 @@ def no_issues() -> Column:
 
 
 def _pairs(rules: Sequence[tuple[str, str]]) -> Column:
-    return F.array(*[F.struct(F.lit(w).alias("wrong"), F.lit(c).alias("correct")) for w, c in rules])
+    """The rules as one literal array; the optimiser parses the text once."""
+    text = json.dumps([{"wrong": w, "correct": c} for w, c in rules])
+    return F.from_json(F.lit(text), "array<struct<wrong:string,correct:string>>")
 
 
 def literal_hits(

@@ -384,11 +384,30 @@ def quality_report(
     return scored.withColumn("passed", (F.col("critical_count") == 0) & (F.col("overall_score") >= 80))
 
 
-def report_metrics(issues: DataFrame, entries: DataFrame, audio: DataFrame, style: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Columns of the optional parts of a report and the metrics they become, with the value of a missing row.
+REPORT_PARTS = (
+    ("alignment_score", "alignment_score", 0.0),
+    ("coverage_score", "alignment_coverage_score", 0.0),
+    ("timing_accuracy_score", "alignment_timing_accuracy", 0.0),
+    ("continuity_score", "alignment_continuity_score", 0.0),
+    ("efficiency_score", "generation_efficiency_score", 0.0),
+    ("extraction_score", "subtitle_style_extraction_score", 0.0),
+    ("vertical_overlay_aspect_compliant", "vertical_overlay_aspect_compliant", True),
+    ("vertical_style_completeness", "vertical_style_completeness", 0.0),
+    ("loudness_passed", "loudness_normalization_pass", True),
+    ("loudness_deviation", "loudness_lufs_deviation", 0.0),
+)
+
+
+def report_metrics(
+    issues: DataFrame, entries: DataFrame, audio: DataFrame, style: DataFrame, keys: Sequence[str], parts: Sequence[DataFrame] = ()
+) -> DataFrame:
     """Metrics of a report: counts per bucket of issue types and completeness.
 
     Each issue falls into the first bucket it fits. ``entries`` has
     ``total_entries``, ``audio`` file rows with ``score`` and ``lufs``.
+    ``parts`` are tables of one row per key with columns of ``REPORT_PARTS``;
+    metrics whose column no part has are left out. Percentages have one digit.
     """
     keys = list(keys)
     kind = F.col("issue_type")
@@ -412,8 +431,12 @@ def report_metrics(issues: DataFrame, entries: DataFrame, audio: DataFrame, styl
         (F.sum(F.abs(F.col("lufs") + 14)) / F.count(F.lit(1))).alias("audio_lufs_deviation"),
     )
     rows = entries.join(counts, keys, "left").join(sound, keys, "left").join(style, keys, "left")
+    given = {c for part in parts for c in part.columns}
+    known = [p for p in REPORT_PARTS if p[0] in given]
+    for part in parts:
+        rows = rows.join(part.select(*keys, *[c for c, _, _ in known if c in part.columns]), keys, "left")
     n = F.col("total_entries")
-    share = lambda c: F.when(n > 0, (n - F.coalesce(F.col(c), F.lit(0))) / n * 100).otherwise(F.lit(100.0))
+    share = lambda c: F.bround(F.when(n > 0, (n - F.coalesce(F.col(c), F.lit(0))) / n * 100).otherwise(F.lit(100.0)), 1)
     counted = [c for c in counts.columns if c not in keys and not c.startswith("_")]
     return rows.select(
         *keys,
@@ -424,7 +447,9 @@ def report_metrics(issues: DataFrame, entries: DataFrame, audio: DataFrame, styl
         share("_multiline").alias("subtitle_multiline_compliance"),
         share("_filler").alias("subtitle_filler_cleanup_score"),
         F.coalesce("style_score", F.lit(0.0)).alias("subtitle_style_score"),
+        F.coalesce("style_score", F.lit(100.0)).alias("subtitle_visual_bounds_score"),
         F.when(F.coalesce(F.col("style_score"), F.lit(0.0)) > 80, 90).otherwise(60).alias("subtitle_font_size_score"),
+        *[F.coalesce(F.col(column), F.lit(missing)).alias(metric) for column, metric, missing in known],
     )
 
 

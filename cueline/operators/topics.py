@@ -65,7 +65,7 @@ def segment_topics(
     fields = [T.StructField(pos, T.LongType()), T.StructField("_opens", T.BooleanType())]
     low, high = params.min_topic_s * 1000, params.max_topic_s * 1000
     cuts = ordered_fold(flagged, keys, pos, total, lambda key: TopicCuts(low, high, pos), fields, name="topics", **options)
-    marked = df.join(cuts, [*keys, pos]).withColumns(
+    marked = df.join(cuts.drop("_block", "_seq"), [*keys, pos]).withColumns(
         {"_one": F.col("_opens").cast("long"), "_at": F.when(F.col("_opens"), F.col(pos))}
     )
     counted = running_total(marked, keys, pos, {"_before": "_one"})
@@ -78,13 +78,12 @@ def keyword_counts(df: DataFrame, keys: Sequence[str], params: TopicParams = Top
 
     Words are greedy disjoint runs of the word pattern, found within each row.
     Counting is by map-side partial sums, so a frequent word does not travel.
-    The place is one number (row, then word in the row), which keeps the
-    aggregation hash-based."""
+    The place is (row, word in the row), for rows of any length."""
     words = df.select(
         *keys, F.col(pos).alias("_row"),
         F.posexplode(F.regexp_extract_all(F.col(text), F.lit(params.word_pattern), F.lit(0))).alias("_at", "word"),
     ).where(~F.col("word").isin(*params.stop_words))
-    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.shiftleft(F.col("_row").cast("long"), 24) + F.col("_at")).alias("first_at"))
+    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_row", "_at")).alias("first_at"))
 
 
 def top_keywords(df: DataFrame, keys: Sequence[str], k: int = 10, params: TopicParams = TopicParams(), pos: str = "pos", text: str = "text") -> DataFrame:

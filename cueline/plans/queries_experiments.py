@@ -124,28 +124,57 @@ def strategy_recommendations(spark, sf):
         (o % 5).alias("critical_issue_count"), (c % 4).alias("subtitle_overlap_count"),
         (60 + o % 41).cast("double").alias("subtitle_style_score"), (c % 101).cast("double").alias("subtitle_semantic_completeness"),
     )
-    rows = experiments.recommend(metrics, ["run_id"])
+    # A run that measures some metrics only; rules on the others can't fire.
+    unmeasured = [
+        "alignment_score", "audio_tp_violations", "generation_efficiency_score", "loudness_lufs_deviation", "loudness_normalization_pass",
+        "subtitle_errata_violations", "subtitle_filler_cleanup_score", "subtitle_font_size_score", "subtitle_fragment_count",
+        "subtitle_reading_speed_violations", "subtitle_style_extraction_score", "subtitle_timing_violations", "subtitle_visual_bounds_score",
+        "vertical_overlay_aspect_compliant", "vertical_style_completeness", "word_level_error_count",
+    ]
+    rows = experiments.recommend(metrics, ["run_id"], unmeasured=unmeasured)
     return rows.withColumn("ord", F.col("ord").cast("long"))
 
 
+#: Metrics of the style extracted from images, which no given table has.
+FROM_IMAGES = ("subtitle_style_extraction_score", "vertical_overlay_aspect_compliant", "vertical_style_completeness")
+
+# The rules written out, so that a wrong constant of the library shows.
+_RULES = """values
+  ('audio_abrupt_start_count > 0 or audio_abrupt_end_count > 0', 'improve_cut_points'),
+  ('audio_abrupt_start_count > 0 or audio_abrupt_end_count > 0', 'improve_crossfade'),
+  ('audio_tp_violations > 0', 'improve_loudness_target'),
+  ('subtitle_timing_violations > 0', 'improve_subtitle_timing'),
+  ('subtitle_reading_speed_violations > 0', 'improve_subtitle_readability'),
+  ('critical_issue_count > 3', 'improve_topic_segmentation'),
+  ('subtitle_errata_violations > 0', 'improve_subtitle_errata'),
+  ('subtitle_errata_violations > 0', 'improve_asr_phonetic_correction'),
+  ('subtitle_errata_violations > 0', 'improve_sentence_by_sentence_audit'),
+  ('subtitle_errata_violations > 0', 'word_level_verification'),
+  ('subtitle_overlap_count > 0', 'zero_tolerance_subtitle_overlap'),
+  ('word_level_error_count > 0', 'word_level_verification'),
+  ('generation_efficiency_score < 90', 'improve_generation_efficiency'),
+  ('subtitle_style_score < 90', 'improve_subtitle_frosted_glass'),
+  ('alignment_score < 85', 'improve_alignment_quality'),
+  ('not loudness_normalization_pass or loudness_lufs_deviation > 1.0', 'improve_loudness_two_pass'),
+  ('subtitle_semantic_completeness < 80', 'improve_subtitle_semantic_segmentation'),
+  ('subtitle_semantic_completeness < 80', 'improve_subtitle_multiline'),
+  ('subtitle_visual_bounds_score < 90', 'improve_subtitle_background_fit'),
+  ('subtitle_font_size_score < 80', 'improve_subtitle_font_size'),
+  ('subtitle_filler_cleanup_score < 85', 'improve_subtitle_semantic_segmentation'),
+  ('subtitle_fragment_count > 0', 'improve_subtitle_fragment_merging')"""
+
+
 def _rule_rows() -> str:
     """The threshold rules on metrics of the report as rows of (place, strategy)."""
-    known = set(re.findall(r" as (\w+)", S.METRICS)) | {"critical_issue_count", "warning_count"}
-    parts, place = [], 0
-    for rule, names in experiments.STRATEGY_RULES:
-        if {rule[i] for i in range(0, len(rule), 3)} <= known:
-            test = " or ".join(f"{rule[i]} {rule[i + 1]} {rule[i + 2]}" for i in range(0, len(rule), 3))
-            for name in names:
-                parts.append(f"select version_key, {place} as k, '{name}' as strategy from metrics where {test}")
-                place += 1
-    return " union all ".join(parts)
+    rules = re.findall(r"\('(.+)', '(\w+)'\)", _RULES)
+    return " union all ".join(f"select version_key, {k} as k, '{name}' as strategy from metrics where {test}" for k, (test, name) in enumerate(rules))
 
 
 @query("report_strategies", O.with_(*S.REPORT_BASE, S._REPORT_ISSUES, S.METRICS) + f""", hits as ({_rule_rows()})
 select version_key, row_number() over (partition by version_key order by k) - 1 as ord, strategy from hits""")
 def report_strategies(spark, sf):
     """Strategies for the metrics of every version's report."""
-    rows = experiments.recommend(S.metrics_of(spark, sf), ["version_key"])
+    rows = experiments.recommend(S.metrics_of(spark, sf), ["version_key"], unmeasured=FROM_IMAGES)
     return rows.withColumn("ord", F.col("ord").cast("long"))
 
 
@@ -187,8 +216,8 @@ def log_rows(spark, sf):
 
 @query("latest_log", "select event_id from events order by ts desc, event_id desc limit 20")
 def latest_log(spark, sf):
-    rows = experiments.latest_log(log_rows(spark, sf), 20)
-    return rows.select(F.regexp_extract("message", r"(\d+)", 1).cast("long").alias("event_id"))
+    log = log_rows(spark, sf).withColumn("event_id", F.regexp_extract("message", r"(\d+)", 1).cast("long"))
+    return experiments.latest_log(log, 20, tie=["event_id"]).select("event_id")
 
 
 @query("keep_or_discard")

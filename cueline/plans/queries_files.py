@@ -56,9 +56,12 @@ def _folder_id():
 
 @query("srt_files", O.with_(O.SEGMENTS) + "select transcript_id, seg_idx + 1 as index, start_ms, end_ms, text from segments")
 def srt_files(spark, sf):
-    """Written as one folder of SRT text per transcript and read back."""
+    """Written as one folder of SRT text per transcript, those of odd numbers with
+    the line ends of other systems, and read back."""
     path = scratch(spark, "srt")
-    writers.write_text(writers.srt_cues(entries(spark, sf), KEY), path, KEY)
+    cues = writers.srt_cues(entries(spark, sf), KEY)
+    ends = F.when(F.col("transcript_id") % 2 == 1, F.regexp_replace("value", "\n", "\r\n")).otherwise(F.col("value"))
+    writers.write_text(cues.withColumn("value", ends), path, KEY)
     rows = readers.read_srt(spark, path, suffix="txt").withColumn("transcript_id", _folder_id())
     return rows.select("transcript_id", F.col("index").cast("long").alias("index"), "start_ms", "end_ms", "text")
 

@@ -377,10 +377,18 @@ metrics as (select version_key, critical_issue_count, warning_count, subtitle_ti
   subtitle_line_length_violations, subtitle_overlap_count, word_level_error_count, subtitle_errata_violations, audio_tp_violations,
   audio_abrupt_start_count, audio_abrupt_end_count, subtitle_fragment_count, coalesce(audio_quality_score, 0) as audio_quality_score,
   coalesce(audio_lufs_deviation, 0) as audio_lufs_deviation,
-  (total_entries - tr) / total_entries * 100 as subtitle_semantic_completeness, (total_entries - ml) / total_entries * 100 as subtitle_multiline_compliance,
-  (total_entries - fi) / total_entries * 100 as subtitle_filler_cleanup_score, coalesce(style_score, 0) as subtitle_style_score,
-  case when coalesce(style_score, 0) > 80 then 90 else 60 end as subtitle_font_size_score
-from n left join m using (version_key) left join am using (version_key) left join style using (version_key))"""
+  round_even((total_entries - tr) / total_entries * 100, 1) as subtitle_semantic_completeness,
+  round_even((total_entries - ml) / total_entries * 100, 1) as subtitle_multiline_compliance,
+  round_even((total_entries - fi) / total_entries * 100, 1) as subtitle_filler_cleanup_score, coalesce(style_score, 0) as subtitle_style_score,
+  coalesce(style_score, 100) as subtitle_visual_bounds_score, case when coalesce(style_score, 0) > 80 then 90 else 60 end as subtitle_font_size_score,
+  coalesce(al.alignment_score, 0) as alignment_score, coalesce(al.coverage_score, 0) as alignment_coverage_score,
+  coalesce(al.timing_accuracy_score, 0) as alignment_timing_accuracy, coalesce(al.continuity_score, 0) as alignment_continuity_score,
+  coalesce(efficiency_score, 0) as generation_efficiency_score, coalesce(loud.passed, true) as loudness_normalization_pass,
+  coalesce(loud.deviation, 0) as loudness_lufs_deviation
+from n left join m using (version_key) left join am using (version_key) left join style using (version_key)
+  left join (select 'v' || transcript_id as version_key, alignment_score, coverage_score, timing_accuracy_score, continuity_score from alignment_score) al using (version_key)
+  left join efficiency using (version_key)
+  left join (select 'v' || file_id as version_key, bool_and(abs(lufs + 14) <= 1) as passed, max(abs(lufs + 14)) as deviation from loudness group by 1) loud using (version_key))"""
 
 
 @query("report_metrics", O.with_(*REPORT_BASE, _REPORT_ISSUES, METRICS) + "select * from metrics")
@@ -391,7 +399,12 @@ def report_metrics(spark, sf):
 def metrics_of(spark, sf):
     entries = version(X.segments(spark, sf)).groupBy("version_key").agg(F.count(F.lit(1)).alias("total_entries"))
     sound = version(audio_scores_of(spark, sf).join(X.loudness(spark, sf), "file_id"), "file_id")
-    return scoring.report_metrics(report_issues(spark, sf), entries, sound, style_rows(spark, sf), ["version_key"])
+    off = F.abs(F.col("lufs") + 14)
+    loud = version(X.loudness(spark, sf), "file_id").groupBy("version_key").agg(
+        F.bool_and(off <= 1).alias("loudness_passed"), F.max(off).alias("loudness_deviation")
+    )
+    parts = [version(alignment_reports(spark, sf)), efficiency_rows(spark, sf), loud]
+    return scoring.report_metrics(report_issues(spark, sf), entries, sound, style_rows(spark, sf), ["version_key"], parts)
 
 
 _ADVICE = dict(scoring.RECOMMENDATIONS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions.text import strip
 from cueline.functions.timecode import parse_ass_time, parse_srt_time
-from cueline.operators.ordered import dense_position, running_max
+from cueline.operators.ordered import dense_position, running_max, running_total
 from cueline.session import materialise
 
 
@@ -47,17 +47,19 @@ def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) ->
     ``start`` and ``text``.
     """
     reader = spark.read.option("recursiveFileLookup", recursive).option("wholetext", True).text(path)
-    docs = reader.withColumn("doc", F.try_parse_json("value")).where("doc is not null")
-    docs = docs.select(
+    # Each segment is a variant of its own: one for the document would be NULL above a size limit.
+    bare = F.col("value").rlike(r"^\s*\[")
+    parsed = F.from_json("value", "struct<duration:variant,segments:array<variant>>")
+    docs = reader.select(
         file_id(F.col("_metadata.file_path")).alias("transcript_id"),
         F.col("_metadata.file_path").alias("source_file"),
-        F.try_variant_get("doc", "$.duration", "double").alias("duration_s"),
-        F.try_variant_get("doc", "$.segments", "array<variant>").alias("in_object"),
-        F.try_variant_get("doc", "$", "array<variant>").alias("in_array"),
+        bare.alias("bare"),
+        F.when(~bare, parsed).alias("doc"),
+        F.when(bare, F.from_json("value", "array<variant>")).alias("in_array"),
     )
     items = docs.select(
-        "transcript_id", "source_file", "duration_s", F.col("in_array").isNotNull().alias("bare"),
-        F.posexplode(F.coalesce("in_object", "in_array")).alias("item_no", "item"),
+        "transcript_id", "source_file", F.try_variant_get("doc.duration", "$", "double").alias("duration_s"), "bare",
+        F.posexplode(F.coalesce("doc.segments", "in_array")).alias("item_no", "item"),
     )
     item = F.col("item")
     number = lambda n: F.when(_is_number(item, n), _field(item, n, "double"))
@@ -90,14 +92,12 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
 
 
-def _ordered_lines(spark: SparkSession, path: str, separator: str | None, suffix: str) -> DataFrame:
-    """Lines (or blocks) of every file with their number in the file.
+def _ordered_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Lines of every file, whatever their line ends, with their number in the file.
 
     Files are read in splits. A line's place is (split offset, order in the
     split); numbering needs no more than one split in one task."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}")
-    if separator:
-        reader = reader.option("lineSep", separator)
     lines = reader.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -107,9 +107,15 @@ def _ordered_lines(spark: SparkSession, path: str, separator: str | None, suffix
     return dense_position(materialise(lines, "lines"), ["path"], ["_split"], ["_id"], "line_no").drop("_split", "_id")
 
 
-def read_srt(spark: SparkSession, path: str, blank_line: str = "\n\n", suffix: str = "srt") -> DataFrame:
-    """Entries of a folder of SRT files; blocks that do not parse are skipped."""
-    blocks = _ordered_lines(spark, path, blank_line, suffix).withColumn(
+def read_srt(spark: SparkSession, path: str, suffix: str = "srt") -> DataFrame:
+    """Entries of a folder of SRT files; blocks that do not parse are skipped.
+
+    Blocks end at an empty line. Lines may end in CR, LF or both, mixed in a
+    file. ``line_no`` is the number of the block's first line."""
+    lines = _ordered_lines(spark, path, suffix).withColumn("_empty", (F.col("value") == "").cast("int"))
+    marked = running_total(lines, ["path"], "line_no", {"_number": "_empty"}).where("_empty = 0")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda line: line["value"]), "\n")
+    blocks = marked.groupBy("path", "_number").agg(F.min("line_no").alias("line_no"), joined.alias("value")).withColumn(
         "value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
     )
     lines = F.split("value", "\n")
@@ -132,7 +138,7 @@ def read_ass(spark: SparkSession, path: str, suffix: str = "ass") -> DataFrame:
     Only dialogue lines of the events section count. Override tags are removed;
     empty lines, drawing commands and texts starting with a digit are dropped.
     """
-    lines = materialise(_ordered_lines(spark, path, None, suffix).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
+    lines = materialise(_ordered_lines(spark, path, suffix).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
     events = F.col("value") == "[Events]"
     other = F.col("value").rlike(r"^\[.*\]$") & ~events
     marked = lines.withColumns({"_e": F.when(events, F.col("line_no")), "_o": F.when(other, F.col("line_no"))})

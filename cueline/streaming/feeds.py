@@ -15,14 +15,15 @@ from cueline.sources.readers import CANONICAL, LOG
 def count_new_log_lines(spark: SparkSession, path: str, out: str, state: str) -> None:
     """Append the level counts of log files that arrived since the last run.
 
-    ``state`` is the query's checkpoint folder. Each micro-batch appends one
-    row per level, so totals are a sum over the small output table.
+    ``state`` is the query's checkpoint folder. Each micro-batch has a folder
+    ``batch_id=<n>`` of one row per level, so totals are a sum over the small
+    output table, and a batch that is run again replaces itself.
     """
     lines = spark.readStream.schema(LOG).json(path).where("level is not null")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-        counts.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+        counts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     query = lines.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()

@@ -62,7 +62,10 @@ def test_stagnation(spark):
 
 def test_recommend(spark):
     rows = spark.createDataFrame([(1, 1, 0, 5), (2, 0, 0, 0)], "k int, audio_abrupt_start_count int, audio_abrupt_end_count int, critical_issue_count int")
-    got = experiments.recommend(rows, ["k"], fallback=["low_risk"]).orderBy("k", "ord").collect()
+    with pytest.raises(ValueError, match="word_level_error_count"):
+        experiments.recommend(rows, ["k"])
+    others = {r[i] for r, _ in experiments.STRATEGY_RULES for i in range(0, len(r), 3)} - set(rows.columns)
+    got = experiments.recommend(rows, ["k"], fallback=["low_risk"], unmeasured=sorted(others)).orderBy("k", "ord").collect()
     assert [(r.k, r.strategy) for r in got] == [
         (1, "improve_cut_points"), (1, "improve_crossfade"), (1, "improve_topic_segmentation"), (2, "low_risk"),
     ]

@@ -10,12 +10,12 @@ from cueline.params import SubtitleParams
 P = SubtitleParams(max_chars=18, max_lines=2)
 LIMITS = merging.Limits(P)
 NARROW = SubtitleParams(max_chars=5, max_lines=1)
+#: Invented speech: short and long stretches, a long pause, quick words, and openings of fragments.
 SCENARIO = [
-    (110, 1282, "从我们个人的"), (1282, 1633, "这个"), (1673, 4410, "还比较短的这么一个人生经历"), (4410, 4793, "上来"),
-    (4833, 5650, "看的话对"), (5690, 8685, "其实在我们生命当中也出现了蛮"), (8685, 9755, "多的分叉对"),
-    (10330, 13050, "而且我特别关注的就是一句话"), (13050, 15141, "就是时间在这里分叉所"), (15175, 17713, "有的可能性同时发生嗯他"),
-    (17713, 20019, "其实这句话的魅力到底"), (20089, 23108, "你在哪就时间在这里分叉"), (23108, 24754, "这个很好理解"),
-    (24786, 25297, "对啊"), (25338, 27541, "但是所有的可能性"), (27541, 29745, "同时发生那就给我"),
+    (200, 900, "早上"), (900, 1400, "好啊"), (1450, 4300, "今天我们先看看地图再出发"), (4300, 4600, "然后"),
+    (4650, 7200, "沿着河边慢慢走到桥头"), (7200, 7500, "但"), (7550, 8900, "是要小心台阶"), (8900, 11800, "桥那头有一家旧书店"),
+    (14200, 16900, "老板养了两只猫"), (16900, 17300, "一黑一白"), (17350, 19800, "它们整天睡在柜台上"), (19800, 22600, "谁来了也不抬头看一眼"),
+    (22650, 23000, "对"), (23000, 26100, "可是一听见下雨就跑到窗边"), (26100, 28900, "坐着看到雨停为止"),
 ]
 
 
@@ -35,11 +35,12 @@ def texts(rows):
 @pytest.mark.parametrize(
     "start,end,text,wanted",
     [
-        (0, 2000, "这个", True), (0, 350, "时间在这里分岔了", True), (0, 2000, "但是", True), (0, 2000, "但是所有的可能性", False),
-        (0, 2500, "时间在这里分岔了", False), (0, 200, "但", True), (0, 1200, "四个汉字", False),
+        (0, 1500, "好的", True), (0, 700, "傍晚一起去湖边散步", True), (0, 3000, "傍晚一起去湖边散步", False), (500, 1499, "山高水长", True),
+        (500, 1500, "山高水长", False), (0, 4000, "风", True), (0, 1800, "但愿人长久", True), (0, 1800, "但愿人长久啊", False),
     ],
 )
 def test_fragments(spark, start, end, text, wanted):
+    """Three characters at most, under the least time, or five at most behind a fragment's opening."""
     rows = spark.createDataFrame([(text,)], "text string")
     assert rows.select(merging.is_fragment(F.col("text"), F.lit(end - start), P)).first()[0] is wanted
     assert merging.JoinFragments(LIMITS).needs_care(LIMITS.seg(start, end, text, (0,))) is wanted
@@ -48,11 +49,11 @@ def test_fragments(spark, start, end, text, wanted):
 @pytest.mark.parametrize(
     "a,b,params,wanted",
     [
-        ((0, 500, "这个"), (500, 2000, "还比较短的"), P, True),
-        ((0, 1000, "这是很长"), (1000, 2000, "后半内容"), SubtitleParams(max_chars=6), False),
-        ((0, 5000, "短文本"), (5000, 10000, "也很短"), P, False),
-        ((0, 500, "这是一段包含很多文字的句子"), (500, 1000, "还有更多内容要加上去才够快"), SubtitleParams(max_chars=60), False),
-        ((0, 1000, "片段A"), (1200, 2000, "片段B"), P, True),
+        ((100, 1900, "桥头"), (1950, 4000, "有一家书店"), P, True),
+        ((0, 2000, "猫睡着了"), (2000, 4000, "雨停了"), SubtitleParams(max_chars=3, max_lines=2), False),  # seven of six characters
+        ((0, 4000, "慢慢"), (4000, 7001, "走"), P, False),  # over seven seconds
+        ((0, 4000, "慢慢"), (4000, 7000, "走"), P, True),
+        ((0, 300, "沿着河边走"), (300, 600, "不要停下来"), P, False),  # too fast together
     ],
 )
 def test_pairs(spark, a, b, params, wanted):
@@ -64,15 +65,11 @@ def test_pairs(spark, a, b, params, wanted):
 
 def test_join_fragments():
     step = ["join_fragments"]
-    assert texts(run(step, [(0, 2000, "完整的句子在这里")])) == ["完整的句子在这里"]
-    assert texts(run(step, [(0, 350, "这个"), (350, 3000, "还比较短的这么一个人生经历")])) == ["这个还比较短的这么一个人生经历"]
-    assert texts(run(step, [(0, 2000, "这个很好理解"), (2000, 2510, "对啊"), (2510, 4500, "但是所有的可能性同时发生")])) == [
-        "这个很好理解对啊", "但是所有的可能性同时发生",
-    ]
-    assert texts(run(step, [(0, 3000, "之前的内容"), (3000, 3200, "但"), (3200, 3700, "是他就执意的一定要去选左边")])) == [
-        "之前的内容但是他就执意的一定要去选左边"
-    ]
-    assert len(run(step, [(0, 400, "这"), (400, 2000, "已经是五个字了")], NARROW)) == 2
+    assert texts(run(step, [(0, 2500, "老板养了两只猫")])) == ["老板养了两只猫"]
+    # forward where the pair fits, else back, else alone
+    assert texts(run(step, [(0, 400, "早上"), (400, 3000, "我们沿着河边走")])) == ["早上我们沿着河边走"]
+    assert texts(run(step, [(0, 2600, "我们沿着河边走"), (2600, 3000, "真好")])) == ["我们沿着河边走真好"]
+    assert texts(run(step, [(0, 300, "雨"), (300, 2500, "一直下到天亮")], NARROW)) == ["雨", "一直下到天亮"]
     left = run(step, SCENARIO)
     assert len(left) < len(SCENARIO)
     assert all(len(t) >= 4 or e - s >= 1000 for s, e, t, _ in left)
@@ -80,12 +77,11 @@ def test_join_fragments():
 
 def test_lengthen_short():
     step = ["lengthen_short"]
-    assert texts(run(step, [(0, 500, "这个"), (550, 3000, "还比较短的一句话")])) == ["这个还比较短的一句话"]
-    assert texts(run(step, [(0, 3000, "已经完整的一句话"), (3050, 3400, "对啊")])) == ["已经完整的一句话对啊"]
-    first = run(step, [(0, 350, "这"), (1000, 3500, "已经是超过限制的文本了")], NARROW)[0]
-    assert first[:2] == (0, 933)
-    assert run(step, [(0, 800, "不够一秒")])[0][1] == 1000
-    assert len(run(step, [(0, 4000, "前半段"), (4000, 8000, "后半段")])) == 2
+    assert texts(run(step, [(0, 600, "早上"), (650, 3200, "我们沿着河边走")])) == ["早上我们沿着河边走"]  # forward
+    assert texts(run(step, [(0, 2600, "我们沿着河边走"), (2650, 3100, "真好")])) == ["我们沿着河边走真好"]  # back
+    # alone: up to the next start less the least gap of 67 ms
+    assert run(step, [(0, 400, "雨"), (900, 3000, "一直下到天亮才停")], NARROW)[0][:2] == (0, 833)
+    assert run(step, [(0, 700, "雨停了")])[0][1] == 1000
     assert run(step, []) == []
 
 
@@ -95,10 +91,17 @@ def test_text_is_kept_in_order():
         assert "".join(texts(run(steps, SCENARIO))) == whole
 
 
-def test_start_order_is_restored():
-    rows = [(0, 9000, "一二三四，" * 8), (4000, 9500, "五六七八九十"), (9600, 12000, "甲乙丙丁戊")]
-    out = run(merging.FULL_CHAIN, rows, SubtitleParams(max_chars=12))
+OVERLAP = [(0, 9000, "一二三四，" * 8), (4000, 9500, "五六七八九十"), (9600, 12000, "甲乙丙丁戊")]
+
+
+def test_start_order_is_restored(spark):
+    params = SubtitleParams(max_chars=12)
+    out = run(merging.FULL_CHAIN, OVERLAP, params)
     assert [r[0] for r in out] == sorted(r[0] for r in out)
+    got = merging.run_steps(segments_of(spark, OVERLAP), ["transcript_id"], merging.FULL_CHAIN, params).orderBy("pos").collect()
+    assert [(r.start_ms, r.end_ms, r.text, r.source_rows) for r in got] == out
+    entries = merging.transcript_to_entries(segments_of(spark, OVERLAP), ["transcript_id"], params).orderBy("index").collect()
+    assert [r.start_ms for r in entries] == sorted(r.start_ms for r in entries)
 
 
 @pytest.mark.parametrize("size,warmup", [(4, 2), (5, 16), (50_000, 2000)])

@@ -8,7 +8,6 @@ def test_flatten_keeps_first_place_and_last_value(spark):
     rows = [("asr_noise", 0, "乙", "丁"), ("authors", 0, "甲", "甲甲"), ("authors", 1, "乙", "丙"), ("unknown", 0, "x", "y")]
     flat = rules.flatten_rules(spark.createDataFrame(rows, "category string, rule_order int, wrong string, correct string"))
     assert rules.inline_rules(flat) == [("甲", "甲甲"), ("乙", "丁")]
-    assert rules.inline_rules(flat, cap=1) is None
 
 
 def test_literal_rules(value):
@@ -52,3 +51,12 @@ def test_contextual_hits(spark):
 def test_tokens(value):
     make = lambda t: F.array_join(rules.tokens(t, ["分岔", "分岔的花园", "花园"]), "|")
     assert value(make, "小径分岔的花园", "分岔") == ["小|径|分岔的花园", "分岔"]
+
+
+def test_any_number_of_rules(spark):
+    many = [(f"w{i:05d}", f"c{i}") for i in range(2_500)]
+    assert spark.range(1).select(rules.apply_literal(F.lit("w02001 w02499 w00000"), many)).first()[0] == "c2001 c2499 c0"
+    found = spark.range(1).select(rules.literal_hits(F.lit("w02001"), many).alias("hits")).first().hits
+    assert [h.detail for h in found] == ["w02001→c2001"]
+    table = spark.createDataFrame([("authors", i, w, c) for i, (w, c) in enumerate(many)], "category string, rule_order int, wrong string, correct string")
+    assert rules.inline_rules(rules.flatten_rules(table)) == many

@@ -113,3 +113,23 @@ def test_log_feed(spark, tmp_path):
     feeds.count_new_log_lines(spark, str(log), counts, state)
     total = spark.read.parquet(counts).groupBy("level").agg(F.sum("n").alias("n"))
     assert {tuple(r) for r in total.collect()} == {("INFO", 1), ("ERROR", 1)}
+
+
+def test_srt_line_ends(spark, tmp_path):
+    cue = "1{e}00:00:00,000 --> 00:00:01,000{e}a{e}b{e}{e}{e}2{e}00:00:02,000 --> 00:00:03,500{e}c{e}{e}x{e}"
+    (tmp_path / "lf.srt").write_bytes(cue.format(e="\n").encode())
+    (tmp_path / "crlf.srt").write_bytes(cue.format(e="\r\n").encode())
+    (tmp_path / "mixed.srt").write_bytes((cue.format(e="\n").replace("a\n", "a\r\n")).encode())
+    rows = readers.read_srt(spark, str(tmp_path)).orderBy("file_id", "index").collect()
+    assert [(r.file_id, r["index"], r.start_ms, r.end_ms, r.text) for r in rows] == [
+        (f, i, s, e, t) for f in ("crlf", "lf", "mixed") for i, s, e, t in ((1, 0, 1000, "a\nb"), (2, 2000, 3500, "c"))
+    ]
+
+
+def test_transcript_beyond_the_size_of_a_variant(spark, tmp_path):
+    item = '{"start": %d.5, "end": %d, "text": "' + "x" * 70_000 + '"}'
+    with open(tmp_path / "big.json", "w") as out:
+        out.write('{"duration": 3, "segments": [' + ",".join(item % (i, i + 1) for i in range(2_100)) + "]}")
+    (tmp_path / "broken.json").write_text('{"segments": [')
+    rows = readers.read_transcripts(spark, str(tmp_path))
+    assert rows.selectExpr("count(*) n", "max(seg_idx) last", "max(start_ms) start", "max(duration_s) d").first()[:] == (2_100, 2_099, 2_099_500, 3.0)
