@@ -65,6 +65,39 @@ def inline_rules(flat: DataFrame) -> list[tuple[str, str]]:
     return [(r.wrong, r.correct) for r in flat.orderBy("category_rank", "rule_order", "wrong").collect()]
 
 
+def rules_from_tables(
+    literal: DataFrame | None = None,
+    regex: DataFrame | None = None,
+    semantic: DataFrame | None = None,
+    keywords: DataFrame | None = None,
+    disambiguation: DataFrame | None = None,
+    **others,
+) -> Rules:
+    """Rules from tables: ``literal`` as for :func:`flatten_rules`, the others by ``rule_order``.
+
+    ``keywords`` has ``domain, word``, ``disambiguation`` ``rule_no, cues, wrong, correct``
+    with ``cues`` an array. Rows without their required fields are left out.
+    """
+
+    def ordered(table: DataFrame | None, *columns: str) -> list[tuple]:
+        return [] if table is None else [tuple(r[c] for c in columns) for r in table.orderBy("rule_order").collect()]
+
+    domains: dict[str, list[str]] = {}
+    for domain, word in ordered(keywords, "domain", "word"):
+        domains.setdefault(domain, []).append(word)
+    fixes: dict[int, tuple[tuple[str, ...], list[tuple[str, str]]]] = {}
+    for number, cues, wrong, correct in ordered(disambiguation, "rule_no", "cues", "wrong", "correct"):
+        fixes.setdefault(number, (tuple(cues), []))[1].append((wrong, correct))
+    return Rules(
+        literal=tuple(inline_rules(flatten_rules(literal))) if literal is not None else (),
+        regex=tuple(ordered(None if regex is None else usable_regex(regex), "pattern", "replacement")),
+        semantic=tuple(ordered(None if semantic is None else usable_semantic(semantic), "pattern", "correction", "description")),
+        keywords=tuple((d, tuple(w)) for d, w in domains.items()),
+        disambiguation=tuple((cues, tuple(pairs)) for cues, pairs in fixes.values()),
+        **others,
+    )
+
+
 def java_replacement(replacement: str) -> str:
     """A ``\\1``-style replacement in the ``$1`` style of Java regexes."""
     escaped = replacement.replace("$", r"\$")

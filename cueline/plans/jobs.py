@@ -129,9 +129,9 @@ def sweep(
 
 def load_project(
     spark: SparkSession, transcripts: str, rules: str, params: SubtitleParams = SubtitleParams()
-) -> tuple[DataFrame, DataFrame, list[tuple[str, str]] | None]:
+) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
     """Segments in time order, their merged entries and the flattened literal rules
-    of a folder of transcripts. The rules are None if too many to carry inline."""
+    of a folder of transcripts."""
     keys = ["transcript_id"]
     segments = timeline.with_time_order(materialise(readers.read_transcripts(spark, transcripts), "project"), keys)
     entries = merging.transcript_to_entries(segments, keys, params)

@@ -221,3 +221,56 @@ def file_type_counts(spark, sf):
 @query("clips_per_series", O.with_(O.SEGMENTS, O.CLIPS) + "select series, count(*) as n_clips from clips group by rollup(series)")
 def clips_per_series(spark, sf):
     return X.clips(spark, sf).rollup("series").agg(F.count(F.lit(1)).alias("n_clips"))
+
+
+_ITEM_WORDS = "string_split(text, ' ')"
+
+
+def _rule_file(spark, sf, name: str) -> str:
+    """The rule lists of a project as one JSON file, made of the benchmark's first words."""
+    word = lambda i: F.get(F.split("text", " "), F.lit(i))
+    rules = X.table(spark, sf, "benchmark").select(
+        "item_id", word(0).alias("pattern"), F.when(F.col("item_id") % 3 > 0, word(1)).alias("replacement"),
+        F.when(F.col("item_id") % 4 > 0, word(0)).alias("maybe"), word(2).alias("third"),
+        F.concat(word(0), F.lit("-"), F.col("item_id").cast("string")).alias("wrong"),
+    )
+    regex = F.struct("item_id", "pattern", "replacement")
+    semantic = F.struct("item_id", F.col("maybe").alias("pattern"), F.col("replacement").alias("correction"), F.col("third").alias("description"))
+    pair = F.struct("item_id", "wrong", "replacement")
+    lists = rules.agg(*[F.sort_array(F.collect_list(x)).alias(n) for n, x in (("a", regex), ("s", semantic), ("c", pair))])
+    corrections = F.map_from_entries(F.transform("c", lambda x: F.struct(x["wrong"], F.coalesce(x["replacement"], F.lit("")))))
+    path = scratch(spark, name)
+    lists.select(F.to_json(F.struct(F.col("a").alias("asr_phonetic_patterns"), F.col("s").alias("semantic_patterns"), corrections.alias("corrections"))).alias("value")).write.text(path)
+    return path
+
+
+@query("regex_rule_file", f"""
+select row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] as pattern, {_ITEM_WORDS}[2] as replacement from benchmark
+qualify item_id % 3 > 0""")
+def regex_rule_file(spark, sf):
+    """Regex rules of a project file in list order; those without a replacement are left out."""
+    from cueline.operators.rules import usable_regex
+
+    found = usable_regex(readers.read_regex_rules(spark, _rule_file(spark, sf, "regex-rules")))
+    return found.withColumn("rule_order", F.col("rule_order").cast("long"))
+
+
+@query("semantic_rule_file", f"""
+select row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] as pattern,
+  case when item_id % 3 > 0 then {_ITEM_WORDS}[2] end as correction, {_ITEM_WORDS}[3] as description from benchmark
+qualify item_id % 4 > 0""")
+def semantic_rule_file(spark, sf):
+    """Semantic rules of a project file in list order; the correction may be missing."""
+    from cueline.operators.rules import usable_semantic
+
+    found = usable_semantic(readers.read_semantic_rules(spark, _rule_file(spark, sf, "semantic-rules")))
+    return found.withColumn("rule_order", F.col("rule_order").cast("long"))
+
+
+@query("flat_corrections", f"""
+select 'custom' as category, row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] || '-' || item_id as wrong,
+  case when item_id % 3 > 0 then {_ITEM_WORDS}[2] else '' end as correct from benchmark""")
+def flat_corrections(spark, sf):
+    """Flat corrections of a project file as rules."""
+    found = readers.read_corrections(spark, _rule_file(spark, sf, "corrections"))
+    return found.withColumn("rule_order", F.col("rule_order").cast("long"))

@@ -85,6 +85,17 @@ def protected_replacement(spark, sf):
     return documents(spark, sf).select("doc_id", txt.replace_except(F.col("text"), "ion", "yon", ["tion", "nion"]).alias("text"))
 
 
+_MARKED = "replace(replace(text, 'the', '著'), 'ent', '著名')"
+
+
+@query("short_normalised", f"""
+select doc_id, replace(replace(replace(translate({_MARKED}, '{_FROM}', '{_TO}'), '著名', chr(57344)), '著', '着'), chr(57344), '著名') as text from documents""")
+def short_normalised(spark, sf):
+    """Character map, then 著 to 着 outside its compounds, on texts that hold both."""
+    text = F.replace(F.replace("text", F.lit("the"), F.lit("著")), F.lit("ent"), F.lit("著名"))
+    return documents(spark, sf).select("doc_id", txt.normalise_short(text, X.ACCENTS).alias("text"))
+
+
 _FLAT = O.flat_rules()
 
 

@@ -149,7 +149,6 @@ def version_plans(spark, sf):
 
 
 @query("topic_listing", O.recursive(*BASE, WORDS, TOPICS) + """
-select transcript_id, topic_id, topic_id || ': ' || title || ' ' as head from topics""")
+select transcript_id, topic_id, topic_id || ': ' || title || printf(' (%.0fs-%.0fs, %.1fmin)', round_even(start_ms / 1000, 0), round_even(end_ms / 1000, 0), round_even((end_ms - start_ms) / 60000, 1)) as value from topics""")
 def topic_listing(spark, sf):
-    rows = assembled(spark, sf).select("transcript_id", "topic_id", writers.topic_listing().alias("value"))
-    return rows.select("transcript_id", "topic_id", F.regexp_extract("value", r"(?s)^(.* )\(\d+s-\d+s, \d+\.\d+min\)$", 1).alias("head"))
+    return assembled(spark, sf).select("transcript_id", "topic_id", writers.topic_listing().alias("value"))

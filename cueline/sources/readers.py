@@ -182,6 +182,19 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_regex_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Regex rules ``rule_order, pattern, replacement`` in list order, usable or not."""
+    docs = spark.read.schema("asr_phonetic_patterns array<struct<pattern:string,replacement:string>>").option("multiLine", True).json(path)
+    return docs.select(F.posexplode("asr_phonetic_patterns").alias("rule_order", "r")).select("rule_order", "r.pattern", "r.replacement")
+
+
+def read_semantic_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Semantic rules ``rule_order, pattern, correction, description`` in list order, usable or not."""
+    fields = "semantic_patterns array<struct<pattern:string,correction:string,description:string>>"
+    docs = spark.read.schema(fields).option("multiLine", True).json(path)
+    return docs.select(F.posexplode("semantic_patterns").alias("rule_order", "r")).select("rule_order", "r.pattern", "r.correction", "r.description")
+
+
 def read_char_map(spark: SparkSession, path: str) -> DataFrame:
     """Character pairs ``traditional, simplified`` from a JSON object of one-to-one entries."""
     docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)

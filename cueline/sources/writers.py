@@ -106,10 +106,9 @@ def listing(index: str = "index", text: str = "text") -> Column:
 
 def topic_listing() -> Column:
     """``id: title (start-end s, minutes min)`` of a topic."""
-    minutes = F.col("end_ms") / 60000 - F.col("start_ms") / 60000
-    return F.format_string(
-        "%s: %s (%.0fs-%.0fs, %.1fmin)", F.col("topic_id"), F.col("title"), F.col("start_ms") / 1000, F.col("end_ms") / 1000, minutes
-    )
+    seconds = lambda c: F.bround(F.col(c) / 1000, 0)
+    minutes = F.bround((F.col("end_ms") - F.col("start_ms")) / 60000, 1)
+    return F.format_string("%s: %s (%.0fs-%.0fs, %.1fmin)", F.col("topic_id"), F.col("title"), seconds("start_ms"), seconds("end_ms"), minutes)
 
 
 def release_cards(clips: DataFrame, platform_tags: dict[str, Sequence[str]]) -> DataFrame:
