@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueline.functions.text import char_class, counted, ends_sentence, speed, strip
-from cueline.operators.ordered import Fold, dense_position, ordered_fold, over_neighbours
+from cueline.operators.ordered import BLOCK_ROWS, Fold, dense_position, ordered_fold, over_neighbours
 from cueline.operators.timeline import extend_for_readability, insert_gaps
 from cueline.params import SubtitleParams
 
@@ -435,8 +437,31 @@ def merge_short_segments(df, keys, params=SubtitleParams(), **options) -> DataFr
     return run_steps(df, keys, ["join_short"], params, **options)
 
 
-def split_long_segments(df, keys, params=SubtitleParams(), **options) -> DataFrame:
-    return run_steps(df, keys, ["split_long"], params, **options)
+def split_long_segments(
+    df: DataFrame, keys: Sequence[str], params: SubtitleParams = SubtitleParams(), pos: str = "pos", size: int = BLOCK_ROWS
+) -> DataFrame:
+    """Over-long segments cut into parts, numbered anew. A segment is split by itself,
+    so this is a projection; only the numbering moves rows."""
+    keys = list(keys)
+    rows = df.select(*keys, F.col(pos).cast("bigint").alias("_at"), "start_ms", "end_ms", "text")
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_at", T.LongType()), T.StructField("_part", T.LongType()), *SEGMENT_FIELDS])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = SplitLong(Limits(params))
+        for batch in batches:
+            at, columns = [], [[], [], [], [], []]
+            for i, (place, start, end, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_at", "start_ms", "end_ms", "text")))):
+                for part, seg in enumerate(step.push(step.limits.seg(start, end, text, (place,)))):
+                    at.append(i)
+                    for column, value in zip(columns, (part, seg.start, seg.end, seg.text, list(seg.rows))):
+                        column.append(value)
+            taken = batch.select([*keys, "_at"]).take(pa.array(at, pa.int64()))
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keys) + 1 :])]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
+
+    parts = rows.mapInArrow(run, schema).withColumn("_block", F.floor(F.col("_at") / size))
+    return dense_position(parts, keys, ["_block"], ["_at", "_part"], "pos", "n_rows").drop("_block", "_at", "_part")
 
 
 def ensure_minimum_duration(df, keys, params=SubtitleParams(), **options) -> DataFrame:
