@@ -126,8 +126,17 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
     return (8 * np.log2(np.maximum(counts, 1))).astype(np.uint64)
 
 
+def _firsts(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct digest, and its rows."""
+    order = np.lexsort((np.arange(len(digests)), digests[:, 1], digests[:, 0]))
+    fresh_row = np.ones(len(order), bool)
+    fresh_row[1:] = (digests[order[1:]] != digests[order[:-1]]).any(axis=1)
+    starts = np.flatnonzero(fresh_row)
+    return order[starts], np.diff(np.append(starts, len(order)))
+
+
 def line_classes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """``d1, d2, at, size, parity, parity2, prefix``: each class of lines with its first place.
+    """``d1, d2, at, n, size, parity, parity2, prefix``: each class of lines with its first place and its lines.
 
     ``prefix`` holds the upper ``_WORD_BYTES`` bytes of its words' hashes. Repeats within a slice are folded before the shuffle, so a very common line
     arrives once per slice.
@@ -141,8 +150,8 @@ def line_classes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 sets = _Sets(part.column("text"), shared.value)
                 digests = sets.digests()
                 real = np.flatnonzero(sets.sizes)
-                _, first = np.unique(digests[real], axis=0, return_index=True)
-                lines = np.sort(real[first])
+                first, counts = _firsts(digests[real])
+                lines = real[first]
                 prefixes, starts = sets.prefix_sizes()[lines], sets.offsets[lines]
                 inside = np.repeat(starts - (np.cumsum(prefixes) - prefixes), prefixes) + np.arange(prefixes.sum())
                 data = np.ascontiguousarray(sets.words[inside].view(np.uint8).reshape(-1, 8)[:, 8 - _WORD_BYTES :])
@@ -150,17 +159,17 @@ def line_classes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                 prefix = pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
                 arrays = [
                     _signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(pa.array(sets.rows[lines])),
-                    pa.array(sets.numbers[lines].astype(np.int32)), pa.array(sets.sizes[lines].astype(np.int32)),
+                    pa.array(sets.numbers[lines].astype(np.int32)), pa.array(counts), pa.array(sets.sizes[lines].astype(np.int32)),
                     *[_signed(p[lines]) for p in sets.parities()], prefix,
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "line", "size", "parity", "parity2", "prefix"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "line", "n", "size", "parity", "parity2", "prefix"])
 
     found = docs.where("text is not null").select("doc_id", "text").mapInArrow(
-        run, f"d1 bigint, d2 bigint, doc_id {kind}, line int, size int, parity bigint, parity2 bigint, prefix binary"
+        run, f"d1 bigint, d2 bigint, doc_id {kind}, line int, n bigint, size int, parity bigint, parity2 bigint, prefix binary"
     )
     # A struct of (is null, id, line) orders null ids last.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "line")).alias("at")
-    return found.groupBy("d1", "d2").agg(first, *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
+    return found.groupBy("d1", "d2").agg(first, F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("size", "parity", "parity2", "prefix")])
 
 
 def _prefixes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,22 +306,31 @@ def _first_met(met: DataFrame) -> DataFrame:
     return _grouped(met).mapInArrow(run, met.select(_POSTING).schema)
 
 
+def _filter(rows: DataFrame, column: str):
+    """Broadcast bits of a column's values: whatever is in ``rows`` passes, little else while they are few."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    marked = np.zeros(FILTER_BITS, bool)
+    marked[rows.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
+    return rows.sparkSession.sparkContext.broadcast(np.packbits(marked))
+
+
+def _passing(shared, sets: _Sets, digests: np.ndarray) -> np.ndarray:
+    """Lines of a slice that have words and pass a filter."""
+    wanted = np.unpackbits(shared.value).astype(bool)
+    return np.flatnonzero(wanted[(digests[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (sets.sizes > 0))
+
+
 def _full_sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """``d1, d2, words`` of lines that may be wanted: all those that pass a filter of fixed size."""
-    bit = F.col("ref").bitwiseAND(F.lit(FILTER_BITS - 1))
-    marked = np.zeros(FILTER_BITS, bool)
-    marked[refs.select(bit.alias("bit")).distinct().toArrow().column("bit").to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    shared = _filter(refs, "ref")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), None)
                 digests = sets.digests()
-                lines = np.flatnonzero(wanted[(digests[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (sets.sizes > 0))
-                _, first = np.unique(digests[lines], axis=0, return_index=True)
-                lines = lines[first]
+                lines = _passing(shared, sets, digests)
+                lines = lines[_firsts(digests[lines])[0]]
                 words = [sets.words[a:b].tobytes() for a, b in zip(sets.offsets[lines], sets.offsets[lines + 1])]
                 yield pa.RecordBatch.from_arrays([_signed(digests[lines, 0]), _signed(digests[lines, 1]), pa.array(words, pa.binary())], names=["d1", "d2", "words"])
 
@@ -367,13 +385,18 @@ def removed_lines(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, classes: DataFrame, later: DataFrame) -> DataFrame:
+    """``place, lines`` from the classes that lose lines: those of several lines, and those with an earlier match."""
+    late = classes.select("d1", "d2", "at", "n").join(later.withColumn("late", F.lit(True)), ["d1", "d2"], "left")
+    losing = materialise(late.where("n > 1 or late"), "line-losing")
+    shared = _filter(losing, "d1")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), None)
-                digests, lines = sets.digests(), np.flatnonzero(sets.sizes)
+                digests = sets.digests()
+                lines = _passing(shared, sets, digests)
                 rows = pa.array(sets.rows[lines])
                 arrays = [_signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(rows), part.column("place").take(rows), pa.array(sets.numbers[lines].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "place", "line"])
@@ -381,9 +404,7 @@ def _occurrences(docs: DataFrame, classes: DataFrame, later: DataFrame) -> DataF
     lines = docs.where("text is not null").select("doc_id", _place().alias("place"), "text").mapInArrow(
         run, f"d1 bigint, d2 bigint, doc_id {kind}, place bigint, line int"
     )
-    known = classes.select("d1", "d2", "at").join(later.withColumn("late", F.lit(True)), ["d1", "d2"], "left").select(
-        F.col("d1").alias("c1"), F.col("d2").alias("c2"), "at", "late"
-    )
+    known = losing.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), "at", "late")
     gone = F.col("late") | ~(F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("line") == F.col("at.line")))
     return (
         lines.join(known, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))).where(F.coalesce(gone, F.lit(False)))
