@@ -38,7 +38,9 @@ THRESHOLD = 0.5
 #: Prior share of good texts that a labeller calls poor, and the prior's weight.
 FALSE_ALARMS, PRIOR_WEIGHT = 0.002, 0.2
 #: Hashed features, and bytes of a run.
-WIDTH, RUN = 2_048, 5
+WIDTH, RUN = 1_024, 5
+#: Runs that say nothing, added to every text: short texts give little evidence.
+SMOOTHING = 64
 
 #: Classes of bytes: lower letters, capitals, digits, blanks, line ends, marks of sentences, "!", symbols, other letters.
 _LOWER, _CAPITAL, _DIGIT, _BLANK, _LINE, _MARK, _SHOUT, _SYMBOL, _OTHER = range(9)
@@ -191,7 +193,7 @@ class Scorer(NamedTuple):
         sums = np.concatenate([[0.0], np.cumsum(self.hashed[features])])
         n = np.diff(offsets)
         figures = shares(words, row_bytes)
-        logit = self.bias + (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1) + _squashed(figures) @ self.shares
+        logit = self.bias + (sums[offsets[1:]] - sums[offsets[:-1]]) / (n + SMOOTHING) + _squashed(figures) @ self.shares
         return np.where(figures.n_words > 0, 1 / (1 + np.exp(-np.clip(logit, -700, 700))), 1.0)
 
 
@@ -209,7 +211,9 @@ def _squashed(figures: Shares) -> np.ndarray:
 def train_scorer(frequencies: np.ndarray, figures: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Scorer:
     """Cross entropy to the posterior labels, by gradient steps over all sampled rows."""
     scale = 1 / (frequencies.std(axis=0) + 1e-3)
-    design = np.column_stack([frequencies * scale, figures, np.ones(len(target))]).astype(np.float32)
+    design = np.ones((len(target), WIDTH + figures.shape[1] + 1), np.float32)
+    np.multiply(frequencies, scale, out=design[:, :WIDTH], casting="same_kind")
+    design[:, WIDTH:-1] = figures
     weights, first, second = np.zeros(design.shape[1]), np.zeros(design.shape[1]), np.zeros(design.shape[1])
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(design @ weights.astype(np.float32), -60, 60)))
@@ -243,7 +247,7 @@ def _sample(docs: DataFrame, total: int, rows: int) -> pa.Table:
                 figures, (features, offsets) = shares(words, row_bytes), hashed(words, row_bytes)
                 n, per_row = part.num_rows, np.diff(offsets)
                 counts = np.bincount(np.repeat(np.arange(n) * WIDTH, per_row) + features, minlength=n * WIDTH).reshape(n, WIDTH)
-                frequencies = (counts / np.maximum(per_row, 1)[:, None]).astype(np.float32)
+                frequencies = (counts / (per_row + SMOOTHING)[:, None]).astype(np.float32)
                 arrays = [
                     part.column("place"), pa.array(_names(votes(figures)), pa.string()),
                     pa.array([r.tobytes() for r in _squashed(figures)], pa.binary()), pa.array([r.tobytes() for r in frequencies], pa.binary()),
@@ -265,9 +269,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     model = fit_labels(cast, counts)
     sample = _sample(docs, int(counts.sum()), sample_rows).sort_by("place")
     target = model.posterior(np.array([[int(v) for v in p] for p in sample.column("pattern").to_pylist()]))
-    figures = np.frombuffer(b"".join(sample.column("figures").to_pylist()), np.float64).reshape(len(target), -1)
-    frequencies = np.frombuffer(b"".join(sample.column("frequencies").to_pylist()), np.float32).reshape(len(target), WIDTH)
-    return train_scorer(frequencies, figures, target)
+    return train_scorer(_rows(sample, "frequencies", np.float32), _rows(sample, "figures", np.float64), target)
+
+
+def _rows(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    """A binary column of equally long rows as a matrix, without a copy."""
+    values = table.column(column).combine_chunks()
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(values), -1)
 
 
 def rate(docs: DataFrame, scorer: Scorer | None = None, threshold: float = THRESHOLD) -> DataFrame:
