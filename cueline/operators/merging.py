@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cueline.functions.text import char_class, counted, ends_sentence, speed, strip
 from cueline.operators.ordered import BLOCK_ROWS, Fold, dense_position, ordered_fold, over_neighbours
-from cueline.operators.timeline import extend_for_readability, insert_gaps
+from cueline.operators.timeline import finish_timing
 from cueline.params import SubtitleParams
 
 MAX_JOIN_GAP_MS = 2000
@@ -482,7 +482,7 @@ def transcript_to_entries(
     """Segments in time order to numbered subtitle entries: the full merge chain,
     then gaps, then longer display of fast entries. Adds ``index`` from 1."""
     merged = run_steps(df, keys, FULL_CHAIN, params, **options)
-    timed = extend_for_readability(insert_gaps(merged, keys, "pos", params), keys, "pos", params)
+    timed = finish_timing(merged, keys, "pos", params)
     return timed.withColumn("index", F.col("pos") + 1)
 
 

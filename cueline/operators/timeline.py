@@ -219,6 +219,30 @@ def limit(params: SubtitleParams | Mapping[str, SubtitleParams], name: str) -> C
     return F.element_at(table, F.col("param_id"))
 
 
+def _with_next_start(df: DataFrame, keys: Sequence[str], pos: str, **options) -> DataFrame:
+    return over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
+
+
+def _trimmed(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams]) -> DataFrame:
+    gap = limit(params, "min_gap_ms")
+    spare = F.col("end_ms") - F.col("start_ms") - limit(params, "min_display_ms")
+    trim = F.when(
+        (gap > 0) & (F.col("_next") - F.col("end_ms") < gap) & (spare > 0),
+        F.least(F.floor(gap / 2), F.floor(spare / 2)),
+    ).otherwise(F.lit(0))
+    return rows.withColumn("end_ms", (F.col("end_ms") - trim).cast("long"))
+
+
+def _extended(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams], guard_ms: int) -> DataFrame:
+    count_class = (params if isinstance(params, SubtitleParams) else next(iter(params.values()))).count_class
+    fastest = limit(params, "max_speed")
+    chars = counted(F.col("text"), count_class)
+    fast = (chars > 0) & (speed(chars, F.col("end_ms") - F.col("start_ms")) > fastest)
+    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
+    wanted = F.least(F.col("start_ms") + needed, F.col("_next") - guard_ms)
+    return rows.withColumn("end_ms", F.when(fast & (wanted > F.col("end_ms")), wanted).otherwise(F.col("end_ms")))
+
+
 def insert_gaps(
     df: DataFrame,
     keys: Sequence[str],
@@ -228,14 +252,7 @@ def insert_gaps(
 ) -> DataFrame:
     """Trim the end of an entry that leaves less than the minimum gap, by at most
     half the gap and half of what it shows beyond the minimum."""
-    gap = limit(params, "min_gap_ms")
-    rows = over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
-    spare = F.col("end_ms") - F.col("start_ms") - limit(params, "min_display_ms")
-    trim = F.when(
-        (gap > 0) & (F.col("_next") - F.col("end_ms") < gap) & (spare > 0),
-        F.least(F.floor(gap / 2), F.floor(spare / 2)),
-    ).otherwise(F.lit(0))
-    return rows.withColumn("end_ms", (F.col("end_ms") - trim).cast("long")).drop("_next")
+    return _trimmed(_with_next_start(df, keys, pos, **options), params).drop("_next")
 
 
 def extend_for_readability(
@@ -247,16 +264,20 @@ def extend_for_readability(
     **options,
 ) -> DataFrame:
     """Show an entry longer when it reads too fast, up to shortly before the next."""
-    count_class = (params if isinstance(params, SubtitleParams) else next(iter(params.values()))).count_class
-    fastest = limit(params, "max_speed")
-    rows = over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
-    chars = counted(F.col("text"), count_class)
-    fast = (chars > 0) & (speed(chars, F.col("end_ms") - F.col("start_ms")) > fastest)
-    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
-    wanted = F.least(F.col("start_ms") + needed, F.col("_next") - guard_ms)
-    return rows.withColumn(
-        "end_ms", F.when(fast & (wanted > F.col("end_ms")), wanted).otherwise(F.col("end_ms"))
-    ).drop("_next")
+    return _extended(_with_next_start(df, keys, pos, **options), params, guard_ms).drop("_next")
+
+
+def finish_timing(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str = "pos",
+    params: SubtitleParams | Mapping[str, SubtitleParams] = SubtitleParams(),
+    guard_ms: int = 67,
+    **options,
+) -> DataFrame:
+    """:func:`insert_gaps`, then :func:`extend_for_readability`, in one pass: neither
+    moves a start, so both see the same next start."""
+    return _extended(_trimmed(_with_next_start(df, keys, pos, **options), params), params, guard_ms).drop("_next")
 
 
 # -- nearest silence ------------------------------------------------------------------

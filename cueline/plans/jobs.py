@@ -114,7 +114,7 @@ def sweep(
     chosen = resolve_settings(base, settings)
     by = ["param_id", *keys]
     merged = merging.run_settings(segments, keys, merging.FULL_CHAIN, chosen)
-    entries = timeline.extend_for_readability(timeline.insert_gaps(merged, by, "pos", chosen), by, "pos", chosen)
+    entries = timeline.finish_timing(merged, by, "pos", chosen)
     previous = checks.with_segment_context(entries, by, "pos", base)
     family = checks.alignment_family(base, standard)
     report = scoring.alignment_report(previous, by, family, base)
