@@ -246,8 +246,8 @@ def word_corrections(rules: Rules, custom: Sequence[tuple[str, str]]) -> Column:
 
 
 def word_disambiguation(rules: Rules, distinct: bool = False) -> Column:
-    """Disambiguation rules whose cue is near. The value counts the repetitions:
-    one per word of two or more characters, or 1 with ``distinct``."""
+    """Disambiguation rules whose cue is near. Scores count an issue for each word of
+    two or more characters of the text, so it is repeated; ``distinct`` gives one."""
     if not rules.disambiguation:
         return no_issues()
     words = F.size(F.filter(tokens(F.col("text"), rules.dictionary), lambda w: F.length(w) >= 2))  # only where a rule hits
