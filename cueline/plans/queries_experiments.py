@@ -11,6 +11,7 @@ from cueline.params import LATIN
 from cueline.plans import fixtures as X
 from cueline.plans import jobs
 from cueline.plans import oracle as O
+from cueline.plans import queries_checks as C
 from cueline.plans import queries_scores as S
 from cueline.plans.registry import query
 
@@ -232,11 +233,28 @@ def keep_or_discard(spark, sf):
     return log.select("experiment_id", "notes", "improved", "kept", F.element_at("metrics_after", "overall_score").alias("overall_score"))
 
 
-@query("adaptive_parameters")
+_LOOSENED = f"""
+present as (select count(*) filter (issue_type = 'reading_speed_too_fast') > 0 as fast, count(*) filter (issue_type = 'gap_too_short') > 0 as close,
+  count(*) filter (issue_type = 'duration_too_short') > 0 as brief, count(*) filter (issue_type = 'line_too_long') > 0 as wide from timing_issues),
+limits as (select case when fast then 18.5::double else 18.0::double end as standard,
+  case when close then greatest(0.033::double, 0.067::double - 0.02::double) else 0.067::double end as gap,
+  case when brief then greatest(0.8::double, 1.0::double - 0.1::double) else 1.0::double end as shortest, case when wide then 41 else 42 end as chars,
+  concat_ws(',', case when wide then 'max_chars' end, case when brief then 'min_display_s' end, case when close then 'min_gap_s' end,
+    case when fast then 'reading_speed' end) as changed from present),
+again as (
+  select issue_type from timing_issues
+  where issue_type not in ('duration_too_short', 'reading_speed_too_fast', 'reading_speed_fast', 'gap_too_short', 'line_too_long')
+  union all select 'duration_too_short' from entries, limits where dur < shortest
+  union all select case when {C.RATE} > standard * 2 then 'reading_speed_too_fast' else 'reading_speed_fast' end from entries, limits
+    where {C.N} > 0 and {C.RATE} > standard * 1.5
+  union all select 'gap_too_short' from entries, limits where start_ms >= before_ms and (start_ms - before_ms) / 1000 < gap
+  union all select 'line_too_long' from (select {O.letters('line')} as n from (select unnest(string_split(text, chr(10))) as line from entries)), limits where n > chars)"""
+
+
+@query("adaptive_parameters", O.with_(*S.BASE, S.TIMING_ISSUES, _LOOSENED) + " select issue_type, count(*) as n, changed from again, limits group by all")
 def adaptive_parameters(spark, sf):
     """Parameters after loosening what the issues of the corpus point at."""
     from cueline.operators import checks
-    from cueline.plans import queries_checks as C
 
     present = experiments.issue_types_present(C.found(spark, sf, C.timing(spark)))
     params, changed = experiments.adapt_params(present, LATIN)
