@@ -41,11 +41,11 @@ from cueline.session import materialise
 #: The threshold as a fraction of whole numbers, free of rounding.
 PART, WHOLE = 4, 5
 #: Buckets of the word histogram: a table of fixed size, whatever the input.
-COUNT_BUCKETS = 1 << 18
+COUNT_BUCKETS = 1 << 16
 #: Postings of one word in a tile, by expectation.
 TILE_ROWS = 2048
 #: Bits of the filter that says which lines' sets are wanted; of fixed size, and only a filter.
-FILTER_BITS = 1 << 20
+FILTER_BITS = 1 << 22
 #: Upper bits of a key name the word (and tile), lower bits the set's size and the word's position.
 _SIZE_BITS, _PLACE_BITS = 14, 12
 _LOW = _SIZE_BITS + _PLACE_BITS
@@ -314,9 +314,8 @@ def _filter(rows: DataFrame, column: str):
     return rows.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
 
-def _passing(shared, sets: _Sets, digests: np.ndarray) -> np.ndarray:
+def _passing(wanted: np.ndarray, sets: _Sets, digests: np.ndarray) -> np.ndarray:
     """Lines of a slice that have words and pass a filter."""
-    wanted = np.unpackbits(shared.value).astype(bool)
     return np.flatnonzero(wanted[(digests[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (sets.sizes > 0))
 
 
@@ -325,11 +324,12 @@ def _full_sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
     shared = _filter(refs, "ref")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), None)
                 digests = sets.digests()
-                lines = _passing(shared, sets, digests)
+                lines = _passing(wanted, sets, digests)
                 lines = lines[_firsts(digests[lines])[0]]
                 words = [sets.words[a:b].tobytes() for a, b in zip(sets.offsets[lines], sets.offsets[lines + 1])]
                 yield pa.RecordBatch.from_arrays([_signed(digests[lines, 0]), _signed(digests[lines, 1]), pa.array(words, pa.binary())], names=["d1", "d2", "words"])
@@ -392,11 +392,12 @@ def _occurrences(docs: DataFrame, classes: DataFrame, later: DataFrame) -> DataF
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _Sets(part.column("text"), None)
                 digests = sets.digests()
-                lines = _passing(shared, sets, digests)
+                lines = _passing(wanted, sets, digests)
                 rows = pa.array(sets.rows[lines])
                 arrays = [_signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(rows), part.column("place").take(rows), pa.array(sets.numbers[lines].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "place", "line"])
