@@ -11,8 +11,9 @@ and comments; ``train`` takes any other labelled pages.
 Defined results: null and empty pages, and pages of markup alone, give an empty
 text. Character references are decoded once, white space inside a block becomes
 one space, blocks are joined by one space in page order. Unclosed tags, stray
-ends and a page cut off within a tag are read as far as they go. Repeated rows
-are rows like any other; an empty table gives no rows; extra columns are ignored.
+ends and a page cut off within a tag are read as far as they go. A head without
+an end or a body after it ends at the first thing that cannot stand in a head.
+Quotes open a value only directly after ``=``. Repeated rows are rows like any other; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +39,18 @@ BLOCKS = frozenset(
     "tfoot th thead title tr ul".split()
 )
 SILENT = ("script", "style", "template", "noscript", "svg", "head", "textarea", "select", "iframe", "object", "math")
+#: Silent tags that have no contents where they are self-closed.
+_FOREIGN = ("svg", "math")
+#: Tags that may stand in a head, and those of them whose contents do so too.
+_IN_HEAD = frozenset("head title meta link base script style template noscript".split())
+_HEAD_CONTENTS = ("title", "script", "style", "template", "noscript")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of these ends an open paragraph.
 _ENDS_P = BLOCKS - {"br", "option"}
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*)(?:>|\Z)|(?P<text>[^<]+|<)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -58,12 +64,41 @@ class Block(NamedTuple):
     linked: int  # code points inside links
 
 
+def _contents_end(page: str, tag: str, at: int) -> int:
+    """The place behind the end tag of the ``tag`` opened before ``at``, or the end of the page."""
+    end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _head_end(page: str, at: int, closes: bool) -> tuple[int, bool]:
+    """The place where the head opened before ``at`` ends, and whether its end tag or a body says so.
+
+    If neither follows (``closes`` false: this is known), it ends at the first
+    tag or text that cannot stand in a head.
+    """
+    first = None
+    while at < len(page) and (closes or first is None):
+        token = _TOKEN.match(page, at)
+        tag = (token["tag"] or "").lower()
+        if tag == "head" and token["end"]:
+            return token.end(), True
+        if tag == "body" and not token["end"]:
+            return at, True
+        if first is None and (tag not in _IN_HEAD if tag else (token["text"] or "").strip()):
+            first = at
+        at = token.end()
+        if tag in _HEAD_CONTENTS and not token["end"]:
+            at = _contents_end(page, tag, at)
+    return len(page) if first is None else first, False
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks of a page in order, without those that have no text."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, links, at, page = 0, 0, 0, page or ""
+    head_closes = True
 
     def close() -> None:
         nonlocal parts, linked
@@ -76,8 +111,6 @@ def blocks(page: str | None) -> list[Block]:
 
     while at < len(page):
         token = _TOKEN.match(page, at)
-        if token is None:  # a quote that is never closed: the rest is inside a tag
-            break
         at = token.end()
         if (text := token["text"]) is not None:
             parts.append(text)
@@ -94,10 +127,11 @@ def blocks(page: str | None) -> list[Block]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-        elif tag in SILENT:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)" if tag != "head" else r"</head\b[^>]*>|(?=<body\b)", re.IGNORECASE).search(page, at)
+        elif tag == "head":
+            at, head_closes = _head_end(page, at, head_closes)
+        elif tag in SILENT and not (tag in _FOREIGN and token["attributes"].endswith("/")):
             close()
-            at = end.end() if end else len(page)
+            at = _contents_end(page, tag, at)
         elif tag not in VOID and not token["attributes"].endswith("/"):
             if tag in _ENDS_P and stack and any(t == "p" for t, _ in stack):
                 while stack.pop()[0] != "p":

@@ -219,6 +219,49 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def block_texts(page):
+    return [b.text for b in html.blocks(page)]
+
+
+@pytest.mark.parametrize("icon", ["<svg/>", "<svg width=1 />", '<math display="block"/>', "<SVG/>"])
+def test_self_closed_drawings_have_no_contents(icon):
+    assert block_texts(f"<p>{icon}First.</p><p>Second.</p>") == ["First.", "Second."]
+    assert block_texts(f"<p>{icon}First.</p><svg><text>drawn</text></svg><p>Second.</p>") == ["First.", "Second."]
+
+
+@pytest.mark.parametrize(
+    "head",
+    [
+        "<head><title>T</title><meta name=a><script>'</head><body><p>'</script><style>p {}</style>",
+        "<head><!-- </head> --><link rel=x><base href=/><noscript><p>none</p></noscript><template><p>none</p></template>",
+        "<head>",
+    ],
+)
+def test_a_head_without_an_end(head):
+    assert block_texts(f"<html>{head}<p>First.</p><p>Second.</p>") == ["First.", "Second."]
+    assert block_texts(f"<html>{head}First.<p>Second.") == ["First.", "Second."]
+    assert block_texts(f"<html>{head}<body><p>First.</p>") == block_texts(f"<html>{head}</head><p>First.</p>") == ["First."]
+    assert block_texts(head) == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p data-by=O'Brien>First.</p><p>It is Anna's house.</p>",
+        "<p title='a > b' data-by = \"c > d\">First.</p><p \">It is Anna's house.</p>",
+        "<a href=/?q=\"x>First.</a><p>It is Anna's house.</p>",
+    ],
+)
+def test_quotes_open_a_value_only_after_an_equals_sign(page):
+    assert block_texts(page) == ["First.", "It is Anna's house."]
+
+
+def test_a_quote_without_an_end_is_no_text():
+    assert block_texts("<p data-by=O'Brien>First.</p><p>Second.</p>") == ["First.", "Second."]
+    assert block_texts("<p>First.</p><p class=\"a>Second.</p>") == ["First.", "Second."]
+    assert block_texts("<p>First.</p><a href=\"http://x") == ["First."]
+
+
 def test_stages_return_the_columns_of_documents(spark, docs, tmp_path, benchmark):
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
