@@ -18,10 +18,10 @@ similarity of their sets is 0.8 or more.
 5. Components across tiles follow by contraction.
 
 Defined results: texts without words (null, empty, blank) have no set, link to
-nothing and are each their own class. Rows without ``doc_id`` are rated like
-others, and are kept by ``deduplicate``. Of repeated rows one stays. An empty
-table gives no rows. Extra columns are ignored by ``link`` and kept by
-``deduplicate``.
+nothing and are each their own class. Rows without ``doc_id``, and several texts
+under one ``doc_id``, are rated and decided like others; null ids come last. Of
+repeated rows one stays. An empty table gives no rows. Extra columns are ignored
+by ``link`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _digests(shingles: np.ndarray, offsets: np.ndarray, n_words: np.ndarray) ->
 
 
 def _row_key():
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -214,21 +214,20 @@ def _verified(met: DataFrame) -> DataFrame:
     return _by_tile(met).mapInArrow(run, "digest binary, root binary, texts bigint, docs bigint")
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, n_linked_texts`` of every row of ``docs``.
+def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``signed`` rows, and ``digest, lowest, copies, texts, docs, root`` of each class of equal words.
 
-    ``class_id`` is the smallest ``doc_id`` of the texts that links connect,
-    ``n_links`` the number of other rows at the threshold or above, copies
-    included, and ``n_linked_texts`` that of other classes of equal words.
+    Classes that links connect share the ``root``. ``lowest`` is the first row
+    of the class: its struct (is null, id, place) orders null ids last.
     """
     members = materialise(signed(docs), "minhash-members")
     nodes = materialise(
         members.where("digest is not null").groupBy("digest").agg(
-            F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies"), F.first("place").alias("place"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "place")).alias("lowest"), F.count(F.lit(1)).alias("copies"),
             F.first("n_words").alias("n_words"), F.first("signature").alias("signature"),
         ),
         "minhash-nodes",
-    )
+    ).withColumn("place", F.col("lowest.place"))
     tiles = tiled(_buckets(nodes), "bucket", "digest", F.col("n_words"), TILE_ROWS, TILE_WORDS)
     signature = nodes.select(F.col("digest").alias("d"), "copies", "place", "signature")
     met = materialise(
@@ -249,24 +248,48 @@ def link(docs: DataFrame) -> DataFrame:
         .join(roots.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left")
         .withColumn("root", F.coalesce("root", "digest"))
     )
-    classes = known.groupBy(F.col("root").alias("r")).agg(F.min("lowest").alias("class_id"))
-    rated = known.join(classes, F.col("root") == F.col("r")).select(
-        F.col("digest").alias("d"), "class_id",
+    return members, known
+
+
+def _firsts(known: DataFrame) -> DataFrame:
+    """``r, first``: the first row of the classes of each root."""
+    return known.groupBy(F.col("root").alias("r")).agg(F.min("lowest").alias("first"))
+
+
+def link_keyed(docs: DataFrame) -> DataFrame:
+    """``link`` with ``class_key``, which names the class where ``class_id`` is null or shared by classes."""
+    members, known = _connected(docs)
+    rated = known.join(_firsts(known), F.col("root") == F.col("r")).select(
+        F.col("digest").alias("d"), F.col("first.doc_id").alias("class_id"), F.lower(F.hex("root")).alias("class_key"),
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
     )
-    return members.select("doc_id", "digest").join(rated, F.col("digest") == F.col("d"), "left").select(
-        "doc_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    wordless = F.col("digest").isNull()
+    return members.select("doc_id", "place", "digest").join(rated, F.col("digest") == F.col("d"), "left").select(
+        "doc_id", F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked_texts", F.lit(0)).alias("n_linked_texts"),
+        F.when(wordless, F.lower(F.hex("place"))).otherwise(F.col("class_key")).alias("class_key"),
     )
 
 
+def link(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links, n_linked_texts`` of every row of ``docs``.
+
+    ``class_id`` is the smallest ``doc_id`` of the texts that links connect,
+    ``n_links`` the number of other rows at the threshold or above, copies
+    included, and ``n_linked_texts`` that of other classes of equal words.
+    """
+    return link_keyed(docs).drop("class_key")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest ``doc_id``; columns unchanged."""
-    (key,) = fresh(docs, "kept_id")
-    kept = link(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(key)).distinct()
-    stays = docs.join(kept, F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each class, that of the smallest ``doc_id`` (null: last) and place; columns unchanged."""
+    row, key = fresh(docs, "row_place", "kept_place")
+    members, known = _connected(docs)
+    kept = _firsts(known).select(F.col("first.place").alias(key)).union(members.where("digest is null").select("place")).distinct()
+    # Repeated rows are folded first, as all rows of one place meet in one task.
+    rows = docs.dropDuplicates(["doc_id", "text"]).withColumn(row, _row_key())
+    return rows.join(kept, F.col(row) == F.col(key), "left_semi").drop(row)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(read(spark, sf_dir, "documents"))
+    return link_keyed(read(spark, sf_dir, "documents"))

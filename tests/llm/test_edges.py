@@ -146,6 +146,38 @@ def test_minhash(docs, nothing):
     assert minhash.link(nothing).count() == 0 and minhash.deduplicate(nothing).count() == 0
 
 
+def worded(name, changed=None):
+    """Sixty words; with one of them changed, a near copy."""
+    return " ".join("other" if i == changed else f"{name}{i}" for i in range(60))
+
+
+def kept_texts(spark, rows):
+    kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    return sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+
+
+def test_rows_without_ids_are_deduplicated(spark):
+    a, b, c = worded("a"), worded("b"), worded("c")
+    rows = [(None, a), (None, a), (None, worded("a", 3)), (9, worded("a", 59)), (None, b), (None, b), (None, worded("b", 0)), (None, c), (None, None), (None, None), (None, " ")]
+    kept = kept_texts(spark, rows)
+    assert [r for r in kept if r[1] and "a5" in r[1]] == [(9, worded("a", 59))]
+    assert len([r for r in kept if r[1] and "b5" in r[1]]) == 1
+    assert [r for r in kept if not r[1] or "a5" not in r[1] and "b5" not in r[1]] == sorted([(None, c), (None, None), (None, " ")], key=str)
+
+
+def test_texts_under_one_id_are_deduplicated(spark):
+    rows = [(1, worded("a")), (2, worded("a", 3)), (2, worded("b")), (5, worded("c")), (5, worded("c", 0))]
+    kept = kept_texts(spark, rows)
+    assert kept[:2] == [(1, worded("a")), (2, worded("b"))] and len(kept) == 3 and kept[2] in rows[3:]
+
+
+def test_names_of_classes_that_share_an_id(spark):
+    rows = [(1, worded("a")), (1, worded("b")), (2, worded("b", 0)), (None, worded("c")), (None, worded("c", 0)), (None, worded("d")), (4, None), (None, None), (None, "")]
+    found = minhash.link_keyed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    keys = sorted((str(r.class_id), n) for (r, n) in ((r, sum(r.class_key == o.class_key for o in found)) for r in found))
+    assert keys == sorted([("1", 1), ("1", 2), ("1", 2), ("None", 2), ("None", 2), ("None", 1), ("4", 1), ("None", 1), ("None", 1)])
+
+
 def test_lines(docs, nothing):
     rows = {r.doc_id: r for r in lines.decide(docs).collect()}
     assert rows[2].removed == [0] and rows[1].removed == [] and rows[5].removed == []
