@@ -51,6 +51,8 @@ _SIZE_BITS, _PLACE_BITS = 14, 12
 _LOW = _SIZE_BITS + _PLACE_BITS
 #: Bytes of a word's hash that the upper bits of a key take.
 _WORD_BYTES = 5
+#: Bits of a line's index in the number that words are sorted by.
+_LINE_BITS = 22
 _POSTING = ["key", "ref", "parity", "parity2", "side"]
 
 
@@ -69,12 +71,15 @@ class _Sets:
         words: Words = words_of(lists.flatten())
         lines, hashes = words.rows(), words.hashes
         rank = np.zeros(1, np.uint64) if counts is None else counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
-        # One number orders by line, rarity and most bits of the hash.
-        packed = (lines.astype(np.uint64) << np.uint64(42)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
-        order = np.argsort(packed)
-        packed = packed[order]
-        same = np.flatnonzero(packed[1:] == packed[:-1])
-        if (hashes[order[same]] != hashes[order[same + 1]]).any():  # the bits left out would decide
+        exact = len(self.rows) > 1 << _LINE_BITS  # one long text of very short lines
+        if not exact:
+            # One number orders by line, rarity and most bits of the hash.
+            packed = (lines.astype(np.uint64) << np.uint64(64 - _LINE_BITS)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
+            order = np.argsort(packed)
+            packed = packed[order]
+            same = np.flatnonzero(packed[1:] == packed[:-1])
+            exact = (hashes[order[same]] != hashes[order[same + 1]]).any()  # the bits left out would decide
+        if exact:
             order = np.lexsort((hashes, np.broadcast_to(rank, len(hashes)), lines))
         lines, hashes = lines[order], hashes[order]
         fresh_word = np.ones(len(hashes), bool)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +190,17 @@ def test_lines(docs, nothing):
     assert lines.decide(nothing).count() == 0 and lines.remove_lines(nothing).count() == 0
 
 
+@pytest.mark.parametrize("ranked", [False, True])
+def test_a_text_of_more_lines_than_an_index_of_22_bits(ranked):
+    counts = np.arange(lines.COUNT_BUCKETS, dtype=np.uint64) % np.uint64(300) if ranked else None
+    first, last = "one two three four five six", "seven eight nine ten eleven twelve"
+    short = lines._Sets(pa.array([f"{first}\n{last}"]), counts)
+    long = lines._Sets(pa.array([first + "\n" * (1 << 22) + last]), counts)
+    assert len(long.rows) == (1 << 22) + 1 and long.sizes[[0, -1]].tolist() == [6, 6] and long.sizes.sum() == 12
+    assert long.words.tolist() == short.words.tolist()
+    assert long.digests()[[0, -1]].tolist() == short.digests().tolist()
+
+
 def test_quality(docs, nothing):
     rows = quality.rate(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
