@@ -16,6 +16,9 @@ MODULES = {
     "op8_decontamination": "decontamination",
     "op9_neighbours": "neighbours",
     "op10_html": "html",
+    "op11_tokens": "tokens",
+    "op12_codes": "codes",
+    "op13_whitening": "whitening",
 }
 
 
