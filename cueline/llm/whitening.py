@@ -206,6 +206,8 @@ def solve(r: np.ndarray, n: int, components: int = COMPONENTS) -> Whitening:
     """Whitening directions of ``n`` centred rows whose triangle is ``r``."""
     a, b, reflectors = bidiagonalise(r)
     norm = max(np.abs(a).max(initial=0), np.abs(b).max(initial=0))
+    if norm == 0:
+        return Whitening(np.zeros(0), np.zeros(0), np.zeros((len(a), 0)))
     squares = dqds(a, b)
     squares = squares[: min(components, n - 1)]
     squares = squares[squares > (len(a) * _EPS) ** 2 * squares.max(initial=0)]
