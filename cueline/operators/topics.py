@@ -9,35 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cueline.functions.text import ellipsis
-from cueline.operators.ordered import Fold, dense_position, ordered_fold, over_neighbours, running_max, running_total
+from cueline.operators.cuts import cut_runs
+from cueline.operators.ordered import dense_position, over_neighbours
 from cueline.params import TopicParams
 
 SUMMARY_CHARS = 200
 
 
-class TopicCuts(Fold):
-    """Marks the rows that open a topic.
-
-    The state is the speech collected since the last cut. A row opens a new
-    topic if it follows a silence and enough was collected, or if too much was.
-    """
-
-    def __init__(self, min_ms: float, max_ms: float, pos: str):
-        self.min_ms, self.max_ms, self.pos, self.collected = min_ms, max_ms, pos, None
-
-    def push(self, row):
-        length = row["end_ms"] - row["start_ms"]
-        have = self.collected
-        opens = have is None or (
-            have >= self.min_ms and (have >= self.max_ms or row["after_silence"])
-        )
-        self.collected = length if opens else have + length
-        return [(row[self.pos], opens)]
-
-    def state(self):
-        return (self.collected,)
-
-
 def after_silence(df: DataFrame, keys: Sequence[str], params: TopicParams, pos: str = "pos", **options) -> DataFrame:
     """Flag rows whose predecessor ends where some silence starts.
 
@@ -57,20 +35,17 @@ def after_silence(df: DataFrame, keys: Sequence[str], params: TopicParams, pos:
 
 
 def segment_topics(
-    df: DataFrame, keys: Sequence[str], params: TopicParams = TopicParams(), pos: str = "pos", total: str = "n_rows", **options
+    df: DataFrame, keys: Sequence[str], params: TopicParams = TopicParams(), pos: str = "pos", **options
 ) -> DataFrame:
-    """Segments with ``topic_no`` (1, 2, …) and ``topic_start``, the first ``pos`` of the topic."""
-    keys = list(keys)
-    flagged = after_silence(df.select(*keys, pos, total, "start_ms", "end_ms"), keys, params, pos)
-    fields = [T.StructField(pos, T.LongType()), T.StructField("_opens", T.BooleanType())]
+    """Segments with ``topic_no`` (1, 2, …) and ``topic_start``, the first ``pos`` of the topic.
+
+    A row opens a new topic if it follows a silence and enough speech was collected
+    since the last cut, or if too much was.
+    """
+    flagged = after_silence(df, keys, params, pos).withColumn("_length", F.col("end_ms") - F.col("start_ms"))
     low, high = params.min_topic_s * 1000, params.max_topic_s * 1000
-    cuts = ordered_fold(flagged, keys, pos, total, lambda key: TopicCuts(low, high, pos), fields, name="topics", **options)
-    marked = df.join(cuts.drop("_block", "_seq"), [*keys, pos]).withColumns(
-        {"_one": F.col("_opens").cast("long"), "_at": F.when(F.col("_opens"), F.col(pos))}
-    )
-    counted = running_total(marked, keys, pos, {"_before": "_one"})
-    located = running_max(counted, keys, pos, {"topic_start": "_at"})
-    return located.withColumn("topic_no", F.col("_before") + F.col("_one")).drop("_opens", "_one", "_at", "_before")
+    rows = cut_runs(flagged, keys, pos, "_length", "after_silence", low, high, "topic_no", "topic_start", **options)
+    return rows.drop("after_silence", "_length")
 
 
 def keyword_counts(df: DataFrame, keys: Sequence[str], params: TopicParams = TopicParams(), pos: str = "pos", text: str = "text") -> DataFrame:

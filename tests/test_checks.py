@@ -119,7 +119,7 @@ def test_topics(spark):
     rows = [(i * 3000, i * 3000 + 2000, "时间 分岔" if i < 5 else "花园 花园") for i in range(10)]
     params = TopicParams(min_topic_s=10.0, max_topic_s=600.0, silence_s=1.0)
     whole = topics.segment_topics(segments_of(spark, rows), KEY, params)
-    small = topics.segment_topics(segments_of(spark, rows), KEY, params, size=3, warmup=1)
+    small = topics.segment_topics(segments_of(spark, rows), KEY, params, size=3, fan_out=2)
     take = lambda df: [(r.pos, r.topic_no, r.topic_start) for r in df.orderBy("pos").collect()]
     assert take(whole) == take(small) == [(i, 1 + (i >= 5), 5 * (i >= 5)) for i in range(10)]
     got = topics.assemble_topics(whole, KEY, params).orderBy("topic_no").collect()
