@@ -33,6 +33,7 @@ def load() -> None:
         queries_experiments,
         queries_files,
         queries_merging,
+        queries_rules,
         queries_scores,
         queries_text,
         queries_timeline,
