@@ -111,9 +111,26 @@ def supported_files(df: DataFrame, extensions: Sequence[str], path: str = "path"
 # -- interval joins -------------------------------------------------------------------
 
 
-def _buckets(start: Column, end: Column, size: int) -> Column:
-    first = F.floor(F.least(start, end) / size)
-    return F.sequence(first, F.floor(F.greatest(start, end) / size))
+def _size_class(start: Column, end: Column, bucket_ms: int) -> Column:
+    """The least ``c`` for which ``bucket_ms * 2**c`` is not below the length."""
+    length = F.greatest(start, end) - F.least(start, end)
+    ratio = F.greatest(F.lit(1), F.ceil(length / bucket_ms)).cast("long")
+    return F.length(F.bin(ratio - 1)).cast("int") * (ratio > 1).cast("int")
+
+
+def _in_classes(df: DataFrame, start: str, end: str, other: Sequence[int], bucket_ms: int) -> DataFrame:
+    """One row for each bucket that an interval touches in its own size class (``_own``)
+    and in the larger ones that the other side uses; two of a class at most."""
+    low, high, own = F.least(start, end), F.greatest(start, end), F.col("_class")
+    larger = F.filter(F.array(*map(F.lit, other)).cast("array<int>"), lambda c: c > own)
+
+    def places(c: Column) -> Column:
+        width = (F.pow(F.lit(2.0), c) * bucket_ms).cast("long")
+        first, last = F.floor(low / width), F.floor(high / width)
+        return F.transform(F.sequence(first, last), lambda b: F.struct(c.alias("_level"), b.alias("_bucket"), first.alias("_first")))
+
+    levels = F.concat(F.array(own), larger)
+    return df.where(low.isNotNull() & high.isNotNull()).select("*", F.inline(F.flatten(F.transform(levels, places))))
 
 
 def interval_join(
@@ -121,21 +138,24 @@ def interval_join(
 ) -> DataFrame:
     """Pairs of entries and clips of one key that share a stretch of time.
 
-    Both sides are cut into time buckets and joined on (key, bucket), so a long
-    recording is spread over many tasks; a pair that meets in several buckets
-    is kept in the first. Clip times must be named ``clip_start_ms/clip_end_ms``.
+    Intervals fall into size classes of doubling width, from ``bucket_ms`` on. A pair meets in
+    the larger class of the two, where either touches two buckets at most, and is kept in
+    the first bucket that both touch. An interval therefore becomes two rows for each class
+    that the other side uses, however long it is (ten years: under 50), and short ones
+    stay as cheap as in one class. The classes in use, at most 64, are looked up first. Clip
+    times must be named ``clip_start_ms/clip_end_ms``.
     """
-    left = entries.withColumn(
-        "_first", F.floor(F.least("start_ms", "end_ms") / bucket_ms)
-    ).withColumn("_bucket", F.explode(_buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms)))
-    right = clips.withColumn(
-        "_clip_first", F.floor(F.least("clip_start_ms", "clip_end_ms") / bucket_ms)
-    ).withColumn("_bucket", F.explode(_buckets(F.col("clip_start_ms"), F.col("clip_end_ms"), bucket_ms)))
-    return (
-        left.join(right, [key, "_bucket"])
-        .where(condition & (F.col("_bucket") == F.greatest("_first", "_clip_first")))
-        .drop("_bucket", "_first", "_clip_first")
-    )
+    left = entries.withColumn("_class", _size_class(F.col("start_ms"), F.col("end_ms"), bucket_ms))
+    right = clips.withColumn("_class", _size_class(F.col("clip_start_ms"), F.col("clip_end_ms"), bucket_ms))
+
+    def used(df: DataFrame) -> list[int]:
+        return sorted(r[0] for r in df.select("_class").where("_class is not null").distinct().collect())
+
+    left_classes, right_classes = used(left), used(right)
+    left = _in_classes(left, "start_ms", "end_ms", right_classes, bucket_ms)
+    right = _in_classes(right, "clip_start_ms", "clip_end_ms", left_classes, bucket_ms).withColumnsRenamed({"_class": "_clip_class", "_first": "_clip_first"})
+    meets = (F.col("_level") == F.greatest("_class", "_clip_class")) & (F.col("_bucket") == F.greatest("_first", "_clip_first"))
+    return left.join(right, [key, "_level", "_bucket"]).where(condition & meets).drop("_level", "_bucket", "_class", "_clip_class", "_first", "_clip_first")
 
 
 def _clip_columns(clips: DataFrame) -> DataFrame:
