@@ -64,6 +64,16 @@ def breaks_platform_limits(rows: DataFrame, duration_s: str = "duration_s") -> D
     return rows.where(F.col(duration_s) > F.col("max_duration_s"))
 
 
+def broken_limits(duration_s: Column | None = None, size_gb: Column | None = None, subtitle_chars: Column | None = None) -> Column:
+    """The names of a platform's limits that a row of :func:`platform_fan_out` exceeds.
+
+    ``subtitle_chars`` is the length of the longest subtitle line. A limit that the
+    platform does not state, or a measure that is null, breaks nothing.
+    """
+    pairs = (("max_duration_s", duration_s), ("max_file_size_gb", size_gb), ("max_subtitle_chars", subtitle_chars))
+    return F.array_compact(F.array(*[F.when(value > F.col(limit), F.lit(limit)) for limit, value in pairs if value is not None]))
+
+
 def quiet_runs(
     frames: DataFrame, keys: Sequence[str], threshold_db: float, pos: str = "frame_idx", frame_ms: int = 100, **options
 ) -> DataFrame:

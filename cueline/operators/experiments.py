@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -208,6 +208,22 @@ def resolve_settings(base: SubtitleParams, settings: Sequence[tuple[str, dict]])
     return {name: base.with_values(**changes) for name, changes in settings}
 
 
+def checked_settings(settings: DataFrame, keys: Sequence[str], known: Sequence[str] | None = None) -> DataFrame:
+    """Named parameter sets (one row per ``name, value`` of a set) as one row per set.
+
+    ``changes`` maps the known names to their values (the last ``value_order`` wins), ``rejected``
+    lists the unknown ones in order, and ``usable`` tells sets without any.
+    """
+    known = [f.name for f in fields(SubtitleParams)] if known is None else list(known)
+    rows = settings.groupBy(*keys, "name").agg(F.max_by("value", "value_order").alias("value"))
+    entry = F.struct("name", "value")
+    sets = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col("name").isin(known), entry))).alias("_changes"),
+        F.sort_array(F.collect_list(F.when(~F.col("name").isin(known), F.col("name")))).alias("rejected"),
+    )
+    return sets.select(*keys, F.map_from_entries("_changes").alias("changes"), "rejected", (F.size("rejected") == 0).alias("usable"))
+
+
 def best_setting(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The setting with the highest score, then fewest criticals, then warnings."""
     order = F.struct(F.col("alignment_score"), -F.col("critical_count"), -F.col("warning_count"))

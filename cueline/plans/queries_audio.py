@@ -132,6 +132,29 @@ def platform_limit_breaks(spark, sf):
     return audio.breaks_platform_limits(rows).select("o_orderkey", "duration_s", "platform")
 
 
+# The platforms' limits, written out for the check.
+@query("platform_limits", """
+with limits(platform, max_duration_s, max_file_size_gb, max_subtitle_chars) as (
+  values ('bilibili', null, 8.0, null), ('douyin', 900.0, null, 12), ('youtube', null, null, null)),
+measured as (
+  select doc_id, length(text) / 2 as duration_s, octet_length(encode(text)) / 500 as size_gb,
+    list_max(list_transform(string_split(text, chr(10)), lambda l: length(l))) as subtitle_chars from documents),
+broken as (
+  select doc_id, platform, concat_ws(',', case when duration_s > max_duration_s then 'max_duration_s' end,
+    case when size_gb > max_file_size_gb then 'max_file_size_gb' end, case when subtitle_chars > max_subtitle_chars then 'max_subtitle_chars' end) as broken
+  from measured, limits)
+select * from broken where broken <> ''""")
+def platform_limits(spark, sf):
+    """Documents as subtitle tracks of exports: which limit of which platform they break."""
+    lines = F.transform(F.split("text", "\n"), F.length)
+    assets = X.table(spark, sf, "documents").select(
+        "doc_id", (F.length("text") / 2).alias("duration_s"), (F.octet_length("text") / 500).alias("size_gb"), F.array_max(lines).alias("subtitle_chars")
+    )
+    rows = audio.platform_fan_out(assets, ["bilibili", "douyin", "youtube"])
+    broken = audio.broken_limits(F.col("duration_s"), F.col("size_gb"), F.col("subtitle_chars"))
+    return rows.select("doc_id", "platform", F.array_join(broken, ",").alias("broken")).where("broken <> ''")
+
+
 _STYLES = """
 style_frames as (
   select l_orderkey % 300 as video_id, l_orderkey * 10 + l_linenumber as frame_no, ['white', 'black', 'gold', 'red'][l_partkey % 4 + 1] as text_color,

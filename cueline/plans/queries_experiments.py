@@ -221,6 +221,25 @@ def latest_log(spark, sf):
     return experiments.latest_log(log, 20, tie=["event_id"]).select("event_id")
 
 
+@query("parameter_sets", """
+with named as (
+  select o_custkey as set_id, ['reading_speed', 'max_chars', 'min_gap_s', 'crossfade_ms', 'max_display_s', 'breath_mode', 'min_display_s'][o_orderkey % 7 + 1] as name,
+    o_orderkey as value_order, o_orderkey % 50 + 0.5 as value from orders),
+latest as (select set_id, name, arg_max(value, value_order) as value from named group by all)
+select set_id, coalesce(string_agg(name || '=' || cast(value as double), ',' order by name) filter (name not in ('crossfade_ms', 'breath_mode')), '') as changes,
+  coalesce(string_agg(name, ',' order by name) filter (name in ('crossfade_ms', 'breath_mode')), '') as rejected,
+  count(*) filter (name in ('crossfade_ms', 'breath_mode')) = 0 as usable
+from latest group by set_id""")
+def parameter_sets(spark, sf):
+    """Named parameter sets, and the names in them that no parameter has."""
+    names = F.array(*map(F.lit, ("reading_speed", "max_chars", "min_gap_s", "crossfade_ms", "max_display_s", "breath_mode", "min_display_s")))
+    o = F.col("o_orderkey")
+    rows = X.table(spark, sf, "orders").select(F.col("o_custkey").alias("set_id"), F.get(names, (o % 7).cast("int")).alias("name"), o.alias("value_order"), (o % 50 + 0.5).cast("double").alias("value"))
+    found = experiments.checked_settings(rows, ["set_id"])
+    shown = F.transform(F.map_entries("changes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("set_id", F.array_join(F.sort_array(shown), ",").alias("changes"), F.array_join("rejected", ",").alias("rejected"), "usable")
+
+
 @query("keep_or_discard")
 def keep_or_discard(spark, sf):
     """Three trials over the whole corpus; each measures a full merge and audit."""

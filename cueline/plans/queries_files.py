@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cueline.functions import timecode
 from cueline.operators import scoring
+from cueline.operators.ordered import dense_position
 from cueline.plans import fixtures as X
 from cueline.plans import jobs
 from cueline.plans import oracle as O
@@ -223,54 +224,68 @@ def clips_per_series(spark, sf):
     return X.clips(spark, sf).rollup("series").agg(F.count(F.lit(1)).alias("n_clips"))
 
 
-_ITEM_WORDS = "string_split(text, ' ')"
+FILE_RULES = 256
+"""Rules of one file."""
 
+ITEM_WORDS = """
+with worded as (select item_id, string_split(text, ' ') as w from benchmark),
+placed as (select item_id, w, unnest(range(1, len(w) + 1)) as i from worded),
+listed as (
+  select item_id, i, row_number() over (order by item_id, i) - 1 as rule_order, w[i] as word, case when (item_id + i) % 3 > 0 then w[i + 1] end as next_word,
+    case when (item_id + i) % 4 > 0 then w[i] end as maybe, w[i + 2] as third from placed)"""
 
-def _rule_file(spark, sf, name: str) -> str:
-    """The rule lists of a project as one JSON file, made of the benchmark's first words."""
-    word = lambda i: F.get(F.split("text", " "), F.lit(i))
-    rules = X.table(spark, sf, "benchmark").select(
-        "item_id", word(0).alias("pattern"), F.when(F.col("item_id") % 3 > 0, word(1)).alias("replacement"),
-        F.when(F.col("item_id") % 4 > 0, word(0)).alias("maybe"), word(2).alias("third"),
-        F.concat(word(0), F.lit("-"), F.col("item_id").cast("string")).alias("wrong"),
+
+def _rule_files(spark, sf, name: str) -> str:
+    """The rule lists of a project as JSON files of bounded length, made of all words of the benchmark."""
+    words = X.table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"), F.posexplode(F.split("text", " ")).alias("i", "word"))
+    words = words.withColumns({"i": F.col("i") + 1, "_range": F.floor(F.col("item_id") / 64)})
+    at = lambda n: F.get("w", F.col("i") + (n - 1))
+    rules = dense_position(words, [], ["_range"], ["item_id", "i"], "rule_order").select(
+        "rule_order", F.floor(F.col("rule_order") / FILE_RULES).alias("file"), "word", F.when((F.col("item_id") + F.col("i")) % 3 > 0, at(1)).alias("next_word"),
+        F.when((F.col("item_id") + F.col("i")) % 4 > 0, F.col("word")).alias("maybe"), at(2).alias("third"), F.concat_ws("-", "word", "item_id", "i").alias("wrong"),
     )
-    regex = F.struct("item_id", "pattern", "replacement")
-    semantic = F.struct("item_id", F.col("maybe").alias("pattern"), F.col("replacement").alias("correction"), F.col("third").alias("description"))
-    pair = F.struct("item_id", "wrong", "replacement")
-    lists = rules.agg(*[F.sort_array(F.collect_list(x)).alias(n) for n, x in (("a", regex), ("s", semantic), ("c", pair))])
-    corrections = F.map_from_entries(F.transform("c", lambda x: F.struct(x["wrong"], F.coalesce(x["replacement"], F.lit("")))))
+    lists = rules.groupBy("file").agg(F.min("rule_order").alias("first_order"), F.sort_array(F.collect_list(F.struct("rule_order", "word", "next_word", "maybe", "third", "wrong"))).alias("r"))
+    each = lambda *pairs: F.transform("r", lambda x: F.struct(*[x[c].alias(n) for c, n in pairs]))
+    value = F.to_json(F.struct(
+        "first_order", each(("word", "pattern"), ("next_word", "replacement")).alias("asr_phonetic_patterns"),
+        each(("maybe", "pattern"), ("next_word", "correction"), ("third", "description")).alias("semantic_patterns"),
+        F.map_from_entries(F.transform("r", lambda x: F.struct(x["wrong"], F.coalesce(x["next_word"], F.lit(""))))).alias("corrections"),
+    ))
     path = scratch(spark, name)
-    lists.select(F.to_json(F.struct(F.col("a").alias("asr_phonetic_patterns"), F.col("s").alias("semantic_patterns"), corrections.alias("corrections"))).alias("value")).write.text(path)
+    lists.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
-@query("regex_rule_file", f"""
-select row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] as pattern, {_ITEM_WORDS}[2] as replacement from benchmark
-qualify item_id % 3 > 0""")
+@query("regex_rule_file", ITEM_WORDS + """
+select rule_order, word as pattern, next_word as replacement from listed where next_word is not null""")
 def regex_rule_file(spark, sf):
-    """Regex rules of a project file in list order; those without a replacement are left out."""
+    """Regex rules of project files in list order; those without a replacement are left out."""
     from cueline.operators.rules import usable_regex
 
-    found = usable_regex(readers.read_regex_rules(spark, _rule_file(spark, sf, "regex-rules")))
-    return found.withColumn("rule_order", F.col("rule_order").cast("long"))
+    return usable_regex(readers.read_regex_rules(spark, _rule_files(spark, sf, "regex-rules")))
 
 
-@query("semantic_rule_file", f"""
-select row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] as pattern,
-  case when item_id % 3 > 0 then {_ITEM_WORDS}[2] end as correction, {_ITEM_WORDS}[3] as description from benchmark
-qualify item_id % 4 > 0""")
+@query("semantic_rule_file", ITEM_WORDS + """
+select rule_order, maybe as pattern, next_word as correction, third as description from listed where maybe is not null""")
 def semantic_rule_file(spark, sf):
-    """Semantic rules of a project file in list order; the correction may be missing."""
+    """Semantic rules of project files in list order; the correction may be missing."""
     from cueline.operators.rules import usable_semantic
 
-    found = usable_semantic(readers.read_semantic_rules(spark, _rule_file(spark, sf, "semantic-rules")))
-    return found.withColumn("rule_order", F.col("rule_order").cast("long"))
+    return usable_semantic(readers.read_semantic_rules(spark, _rule_files(spark, sf, "semantic-rules")))
 
 
-@query("flat_corrections", f"""
-select 'custom' as category, row_number() over (order by item_id) - 1 as rule_order, {_ITEM_WORDS}[1] || '-' || item_id as wrong,
-  case when item_id % 3 > 0 then {_ITEM_WORDS}[2] else '' end as correct from benchmark""")
+@query("flat_corrections", ITEM_WORDS + """
+select 'custom' as category, rule_order, word || '-' || item_id || '-' || i as wrong, coalesce(next_word, '') as correct from listed""")
 def flat_corrections(spark, sf):
-    """Flat corrections of a project file as rules."""
-    found = readers.read_corrections(spark, _rule_file(spark, sf, "corrections"))
-    return found.withColumn("rule_order", F.col("rule_order").cast("long"))
+    """Flat corrections of project files as rules."""
+    return readers.read_corrections(spark, _rule_files(spark, sf, "corrections"))
+
+
+@query("transcript_headers", O.with_(O.SEGMENTS) + """
+select transcript_id::varchar as transcript_id, 'whisper' as engine, 'zh' as language, count(*) as segment_count, count(*) as n_segments,
+  count(distinct seg_idx // 50) as n_parts from segments group by 1""")
+def transcript_headers(spark, sf):
+    """Headers of canonical transcripts: every part tells the length of the whole."""
+    path = scratch(spark, "headers")
+    writers.write_canonical(X.segments(spark, sf).withColumn("transcript_id", F.col("transcript_id").cast("string")), path, part_rows=50, engine="whisper")
+    return readers.canonical_headers(spark, path).select("transcript_id", "engine", "language", "segment_count", "n_segments", "n_parts")

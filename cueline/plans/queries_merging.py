@@ -6,11 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from cueline.operators import merging
+from cueline.operators import merging, rules
 from cueline.params import LATIN
 from cueline.plans import fixtures as X
 from cueline.plans import jobs
 from cueline.plans import oracle as O
+from cueline.plans.queries_text import laid_out
 from cueline.plans.registry import query
 
 KEY = ["transcript_id"]
@@ -230,17 +231,17 @@ _NUMBERED = O.with_(O.SEGMENTS) + f""",
 kept as (select *, {O.replaced(O.strip('text'), O.flat_rules())} as t from segments where {O.strip('text')} <> ''),
 cleaned as (select *, row_number() over (partition by transcript_id order by seg_idx) as index,
   case when t like '%。' then substr(t, 1, length(t) - 1) else t end as shown from kept),
-clamped as (select transcript_id, index, start_ms, shown,
-  case when end_ms - start_ms < 1000 then start_ms + 1000 when end_ms - start_ms > 7000 then start_ms + 7000 else end_ms end as end_ms from cleaned)
-select transcript_id, index, case when start_ms - lag(end_ms) over w < 67 then lag(end_ms) over w + 67 else start_ms end as start_ms, end_ms,
-  length(shown) <= 42 as one_line
-from clamped window w as (partition by transcript_id order by index)"""
+clamped as (select transcript_id, index, start_ms, shown as text,
+  case when end_ms - start_ms < 1000 then start_ms + 1000 when end_ms - start_ms > 7000 then start_ms + 7000 else end_ms end as end_ms from cleaned),
+timed_rows as (select transcript_id, index, case when start_ms - lag(end_ms) over w < 67 then lag(end_ms) over w + 67 else start_ms end as start_ms, end_ms, text
+  from clamped window w as (partition by transcript_id order by index))""" + laid_out(42, "timed_rows", "transcript_id, index, start_ms, end_ms", "chr(10)").replace("as lines", "as text")
 
 
 @query("simple_subtitles", _NUMBERED)
 def simple_subtitles(spark, sf):
-    rows = jobs.simple_subtitles(X.segments(spark, sf), KEY, LATIN, O.flat_rules())
-    return rows.select("transcript_id", "index", "start_ms", "end_ms", (~F.col("text").contains("\n")).alias("one_line"))
+    flat = rules.inline_rules(rules.flatten_rules(X.rule_table(spark)))
+    rows = jobs.simple_subtitles(X.segments(spark, sf), KEY, LATIN, flat)
+    return rows.select("transcript_id", "index", "start_ms", "end_ms", "text")
 
 
 @query("merged_clip_entries")

@@ -224,20 +224,21 @@ def ellipsis_titles(spark, sf):
 _MARK = "[，。！？、；：“”‘’（）\\s,]"
 
 
-def _two_lines(cap: int) -> str:
+def laid_out(cap: int, rows: str, kept: str, mark: str) -> str:
+    """Tables and the final select that lay the ``text`` of ``rows`` on two lines."""
     size = lambda t: f"""(case when length({t}) <= {cap} then length({t})
       when length(regexp_extract(substr({t}, 1, {cap + 5}), '(?s)^(.*{_MARK})', 1)) > 0
       then length(regexp_extract(substr({t}, 1, {cap + 5}), '(?s)^(.*{_MARK})', 1)) else {cap} end)"""
     return f""",
-m as (select *, length(text) // 2 as mid, list_filter(range(length(text)), lambda i: regexp_matches(substr(text, i + 1, 1), '{_MARK}')) as marks from segments),
+m as (select *, length(text) // 2 as mid, list_filter(range(length(text)), lambda i: regexp_matches(substr(text, i + 1, 1), '{_MARK}')) as marks from {rows}),
 cuts as (select *, list_reduce(marks, lambda best, p: case when abs(p - mid) < abs(best - mid) then p + 1 else best end, mid) as cut,
   substr(text, 1, {size('text')}) as l1, substr(text, {size('text')} + 1) as rest from m)
-select transcript_id, seg_idx, case when length(text) <= {cap} then text
-  when length(text) <= {2 * cap} then substr(text, 1, cut) || '|' || substr(text, cut + 1)
-  when rest = '' then l1 else l1 || '|' || substr(rest, 1, {size('rest')}) end as lines from cuts"""
+select {kept}, case when length(text) <= {cap} then text
+  when length(text) <= {2 * cap} then substr(text, 1, cut) || {mark} || substr(text, cut + 1)
+  when rest = '' then l1 else l1 || {mark} || substr(rest, 1, {size('rest')}) end as lines from cuts"""
 
 
-@query("two_line_layout", O.with_(O.SEGMENTS) + _two_lines(42))
+@query("two_line_layout", O.with_(O.SEGMENTS) + laid_out(42, "segments", "transcript_id, seg_idx", "'|'"))
 def two_line_layout(spark, sf):
     return X.segments(spark, sf).select("transcript_id", "seg_idx", F.array_join(txt.two_lines(F.col("text"), 42, 2), "|").alias("lines"))
 

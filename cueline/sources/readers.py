@@ -92,6 +92,16 @@ def read_canonical(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
 
 
+def canonical_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row per transcript: its header, the number of its documents and of the segments they hold."""
+    docs = spark.read.schema(CANONICAL).json(path)
+    return docs.groupBy("transcript_id").agg(
+        F.max("source_file").alias("source_file"), F.max("engine").alias("engine"), F.max(F.coalesce("language", F.lit("zh"))).alias("language"),
+        F.max("duration_s").alias("duration_s"), F.max("segment_count").alias("segment_count"), F.count(F.lit(1)).alias("n_parts"),
+        F.sum(F.size("segments")).alias("n_segments"),
+    )
+
+
 def _ordered_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """Lines of every file, whatever their line ends, with their number in the file.
 
@@ -174,25 +184,33 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("category", "rule_order", F.col("e.key").alias("wrong"), F.col("e.value").alias("correct"))
 
 
+_FIRST = "first_order bigint"
+"""A list may be spread over many files, each with the place of its first rule in the whole list."""
+
+
+def _rule_order() -> Column:
+    return (F.coalesce("first_order", F.lit(0)) + F.col("_at")).cast("long").alias("rule_order")
+
+
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     """Flat corrections ``{"corrections": {wrong: correct}}`` as rules of category custom."""
-    docs = spark.read.schema("corrections map<string,string>").option("multiLine", True).json(path)
-    return docs.select(F.posexplode(F.map_entries("corrections")).alias("rule_order", "e")).select(
-        F.lit("custom").alias("category"), "rule_order", F.col("e.key").alias("wrong"), F.col("e.value").alias("correct")
+    docs = spark.read.schema(f"{_FIRST}, corrections map<string,string>").option("multiLine", True).json(path)
+    return docs.select("first_order", F.posexplode(F.map_entries("corrections")).alias("_at", "e")).select(
+        F.lit("custom").alias("category"), _rule_order(), F.col("e.key").alias("wrong"), F.col("e.value").alias("correct")
     )
 
 
 def read_regex_rules(spark: SparkSession, path: str) -> DataFrame:
     """Regex rules ``rule_order, pattern, replacement`` in list order, usable or not."""
-    docs = spark.read.schema("asr_phonetic_patterns array<struct<pattern:string,replacement:string>>").option("multiLine", True).json(path)
-    return docs.select(F.posexplode("asr_phonetic_patterns").alias("rule_order", "r")).select("rule_order", "r.pattern", "r.replacement")
+    docs = spark.read.schema(f"{_FIRST}, asr_phonetic_patterns array<struct<pattern:string,replacement:string>>").option("multiLine", True).json(path)
+    return docs.select("first_order", F.posexplode("asr_phonetic_patterns").alias("_at", "r")).select(_rule_order(), "r.pattern", "r.replacement")
 
 
 def read_semantic_rules(spark: SparkSession, path: str) -> DataFrame:
     """Semantic rules ``rule_order, pattern, correction, description`` in list order, usable or not."""
     fields = "semantic_patterns array<struct<pattern:string,correction:string,description:string>>"
-    docs = spark.read.schema(fields).option("multiLine", True).json(path)
-    return docs.select(F.posexplode("semantic_patterns").alias("rule_order", "r")).select("rule_order", "r.pattern", "r.correction", "r.description")
+    docs = spark.read.schema(f"{_FIRST}, {fields}").option("multiLine", True).json(path)
+    return docs.select("first_order", F.posexplode("semantic_patterns").alias("_at", "r")).select(_rule_order(), "r.pattern", "r.correction", "r.description")
 
 
 def read_char_map(spark: SparkSession, path: str) -> DataFrame:

@@ -61,19 +61,20 @@ def write_canonical(
     """Canonical transcript JSON: header and segments.
 
     A transcript is one document per ``part_rows`` segments, so the array is
-    bounded whatever the length of the transcript."""
+    bounded whatever the length of the transcript. Every document's header has the
+    ``segment_count`` of the whole transcript."""
     has = lambda c, default: F.col(c) if c in segments.columns else F.lit(default)
     segment = F.struct(
         "seg_idx", "start_ms", "end_ms", "text",
         has("speaker", None).cast("string").alias("speaker"), has("confidence", 1.0).cast("double").alias("confidence"),
     )
     docs = segments.groupBy("transcript_id", F.floor(F.col("seg_idx") / part_rows).alias("part")).agg(
-        F.count(F.lit(1)).alias("segment_count"),
         F.array_sort(F.collect_list(segment)).alias("segments"),
         F.max(has("source_file", None).cast("string")).alias("source_file"),
         F.max(has("duration_s", None).cast("double")).alias("duration_s"),
     )
-    docs.withColumns({"engine": F.lit(engine), "language": F.lit(language)}).write.mode(mode).json(path)
+    counts = segments.groupBy("transcript_id").agg(F.count(F.lit(1)).alias("segment_count"))
+    docs.join(counts, "transcript_id").withColumns({"engine": F.lit(engine), "language": F.lit(language)}).write.mode(mode).json(path)
 
 
 def clip_metadata(clips: DataFrame, entries: DataFrame, keys: Sequence[str], extra: dict[str, Column] | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ def test_an_entry_of_ten_years_is_few_rows(spark):
     classed = entries.withColumn("_class", timeline._size_class(F.col("start_ms"), F.col("end_ms"), 60_000))
     rows = timeline._in_classes(classed, "start_ms", "end_ms", range(40), 60_000).groupBy("e").count().collect()
     assert max(r["count"] for r in rows) < 90 and {r.e: r["_class"] for r in classed.collect()} == {1: 23, 2: 0}
-    got = timeline.interval_join(entries, clips, "k", F.col("start_ms") < F.col("clip_end_ms")).collect()
+    got = timeline.interval_join(entries, clips, "k", (F.col("start_ms") < F.col("clip_end_ms")) & (F.col("end_ms") > F.col("clip_start_ms"))).collect()
     assert sorted(r.c for r in got) == list(range(24)) and {r.e for r in got} == {1}
 
 
