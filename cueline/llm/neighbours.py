@@ -16,7 +16,7 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without ``vec_id``. Vectors meet those of
 their own dimension. Rows with the query's ``vec_id`` are its own. A repeated
 ``vec_id`` is listed once with its best score, and is one query (of its smallest
-vector). An empty table gives no rows. Extra columns are ignored.
+vector that takes part). An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueline.llm.tables import read
+from cueline.llm.vectors import is_finite
 from cueline.session import materialise
 
 NEAREST = 5
@@ -133,9 +134,14 @@ class _Best:
         self.level[q[last]] = s[last]
 
 
+def _takes_part(vector: Column) -> Column:
+    """Whether a vector is finite and not zero; null, empty and unusable ones are left out before ids are folded."""
+    return is_finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = NEAREST, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows of ``index`` to each query (vec_id, embedding)."""
-    queries = queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = queries.where(F.col("vec_id").isNotNull() & _takes_part(F.col("embedding"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-queries.count() // block))
     found = None
     for number in range(blocks):

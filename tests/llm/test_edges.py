@@ -312,3 +312,11 @@ def test_stages_return_the_columns_of_documents(spark, docs, tmp_path, benchmark
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_a_query_with_unusable_repeats_is_kept(spark):
+    rows = [(50, v) for v in ([0.0, 0.0, 0.0], [float("nan"), 1.0, 1.0], [float("-inf"), 1.0, 1.0], None, [], [None, 1.0, 1.0], [1.0, 2.0, 3.0])]
+    rows += [(51, [1.0, 2.0, 3.1]), (100, [0.0, 0.0]), (150, [-1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    found = neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 50 = 0")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in found] == [(50, 1, 51)]
