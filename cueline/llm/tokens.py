@@ -63,6 +63,12 @@ _LONG, _RUN = 1 << 20, 1 << 16
 # Fixed value: the pattern of byte-level pre-tokenizers.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Bytes that byte-level vocabularies write as the character of their number; the
+# others are written as the characters from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_AS_BYTES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
@@ -119,6 +125,11 @@ class Encoder:
         """Tokens of each text, by the library."""
         return [len(e.ids) for e in self._library.encode_batch(list(texts), add_special_tokens=False)]
 
+    def piece_lengths(self, pieces: Iterable[str]) -> list[int]:
+        """Tokens of each pre-token, by the library's model alone."""
+        tokenize = self._library.model.tokenize
+        return [len(tokenize(p.encode().decode("latin-1").translate(_AS_BYTES))) for p in pieces]
+
     def pieces(self, text: str) -> tuple[int, list[str]]:
         """The number of special strings in a text, and the texts between them."""
         if self._special is None or self._special.search(text) is None:
@@ -153,7 +164,7 @@ class Lengths(dict):
         if len(self.kept) + len(new) > CACHE_SIZE:
             self.kept, new = {}, list(set().union(*runs).difference(self))
         self.rest = {}
-        for piece, n in zip(new, self.encoder.lengths(new)):
+        for piece, n in zip(new, self.encoder.piece_lengths(new)):
             (self.kept if len(piece) <= LONGEST else self.rest)[piece] = n
 
     def total(self, run: list[str]) -> int:
@@ -231,7 +242,7 @@ def frequent_pre_tokens(docs: DataFrame, path: str | None = None, column: str =
     found = docs.select(column).mapInArrow(run, "piece string, n bigint")
     best = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "piece").limit(size)
     pieces = [r.piece for r in best.select("piece").collect()]
-    return dict(zip(pieces, _encoder(path).lengths(pieces))) if pieces else {}
+    return dict(zip(pieces, _encoder(path).piece_lengths(pieces))) if pieces else {}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, column: str = "text", frequent: dict[str, int] | None = None) -> DataFrame:
