@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 from typing import NamedTuple
@@ -92,10 +93,29 @@ def _head_end(page: str, at: int, closes: bool) -> tuple[int, bool]:
     return len(page) if first is None else first, False
 
 
+class _Open(NamedTuple):
+    """An open tag, the nearest block tag up to it, and the distinct words of all tags up to it."""
+
+    tag: str
+    block: str
+    words: tuple[str, ...]
+    known: frozenset[str]
+
+    def inner(self, tag: str, words: list[str]) -> _Open:
+        new = tuple(w for w in dict.fromkeys((tag, *words)) if w not in self.known)
+        block = tag if tag in BLOCKS else self.block
+        return _Open(tag, block, self.words + new, self.known.union(new)) if new else _Open(tag, block, self.words, self.known)
+
+
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks of a page in order, without those that have no text."""
+    """Leaf blocks of a page in order, without those that have no text.
+
+    What a block needs of its ancestors is carried by the innermost open tag, so the
+    time does not grow with the depth of the page.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = [_Open("", "", (), frozenset())]
+    depth: Counter[str] = Counter()
     parts: list[str] = []
     linked, links, at, page = 0, 0, 0, page or ""
     head_closes = True
@@ -105,10 +125,15 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                tag = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                found.append(Block(text, tag, tuple(dict.fromkeys(w for _, words in stack for w in words)), linked))
+                found.append(Block(text, stack[-1].block, stack[-1].words, linked))
         parts, linked = [], 0
 
+    def leave(tag: str) -> None:
+        last = None
+        while last != tag:
+            last = stack.pop().tag
+            depth[last] -= 1
+
     while at < len(page):
         token = _TOKEN.match(page, at)
         at = token.end()
@@ -124,23 +149,22 @@ def blocks(page: str | None) -> list[Block]:
         if token["end"]:
             if tag == "a":
                 links = max(0, links - 1)
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if depth[tag]:
+                leave(tag)
         elif tag == "head":
             at, head_closes = _head_end(page, at, head_closes)
         elif tag in SILENT and not (tag in _FOREIGN and token["attributes"].endswith("/")):
             close()
             at = _contents_end(page, tag, at)
         elif tag not in VOID and not token["attributes"].endswith("/"):
-            if tag in _ENDS_P and stack and any(t == "p" for t, _ in stack):
-                while stack.pop()[0] != "p":
-                    pass
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
+            if tag in _ENDS_P and depth["p"]:
+                leave("p")
+            if tag == "li" and stack[-1].tag == "li":
+                leave("li")
             links += tag == "a"
             words = [w for m in _ATTRIBUTE.finditer(token["attributes"]) for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()) if w] if token["attributes"] else []
-            stack.append((tag, (tag, *(f".{w}" for w in words))))
+            stack.append(stack[-1].inner(tag, [f".{w}" for w in words]))
+            depth[tag] += 1
     close()
     return found
 

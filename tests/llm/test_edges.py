@@ -320,3 +320,16 @@ def test_a_query_with_unusable_repeats_is_kept(spark):
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
     found = neighbours.search(neighbours.build_index(vectors), vectors.where("vec_id % 50 = 0")).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in found] == [(50, 1, 51)]
+
+
+def test_deep_pages_take_linear_time():
+    """Ten times the depth in under fifteen times the time (and a little for the clock)."""
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert len(html.blocks("<div class=a>x." * n + "</div>" * n)) == n
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 15 * seconds(4_000) + 0.3
