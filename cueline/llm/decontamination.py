@@ -29,26 +29,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueline.llm.tables import read
-from cueline.llm.words import ALPHANUMERIC, Words, mix, slices, words_of
+from cueline.llm.words import ALPHANUMERIC, FOLD, Words, mix, slices, words_of
 
 WINDOW = 10
 #: Words of a block of the shift table.
 BLOCK = 3
 #: Text ends that one lane of the search covers.
 LANE = 256
-#: Benchmark bytes of one pass; a larger benchmark is searched in several.
-PASS_BYTES = 16 << 20
+#: Expected most bytes of benchmark texts and ids in one pass; a larger benchmark is searched in several.
+PASS_BYTES = 4 << 20
 
 
 class Strings(NamedTuple):
     """All test strings of one length, in the order of the hash of their last block."""
 
     length: int
-    hashes: np.ndarray
+    first: np.ndarray  # number of the first word
     suffixes: np.ndarray
-    texts: list[bytes]
-    items: list[tuple[str, ...]]
     shifts: np.ndarray
+    offsets: np.ndarray  # string ``i`` stands in ``rows[offsets[i]:offsets[i + 1]]``
+    rows: np.ndarray
+
+
+class Compiled(NamedTuple):
+    """One pass of the benchmark: its words in one buffer, joined by single spaces, and the strings over them.
+
+    Nothing but numbers is held per word and string: some 10 bytes for each byte of text.
+    """
+
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    ids: list[list[str]]  # of each row
+    strings: list[Strings]
+
+    def bytes_of(self, first: int, last: int) -> bytes:
+        return self.text[self.starts[first] : self.ends[last - 1]]
 
 
 def _blocks(hashes: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
@@ -59,33 +76,47 @@ def _blocks(hashes: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def compile_strings(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Strings]:
-    """Test strings of ``(item_id, text)`` rows with their shift tables."""
+def compile_strings(items: list[tuple[list[str], str | None]], window: int = WINDOW) -> Compiled:
+    """Test strings of ``(item ids, text)`` rows with their shift tables."""
     words = words_of(pa.array([text for _, text in items], pa.string()), ALPHANUMERIC)
-    found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
-    for row, (item, _) in enumerate(items):
-        first, last = words.offsets[row], words.offsets[row + 1]
-        length = min(window, last - first)
-        for start in range(first, last - length + 1 if length else first):
-            text = words.bytes_of(start, start + length)
-            found.setdefault(text, (words.hashes[start : start + length], set()))[1].update([] if item is None else [item])
-    by_length: dict[int, list[bytes]] = {}
-    for text, (hashes, _) in found.items():
-        by_length.setdefault(len(hashes), []).append(text)
-    return [_compile(length, texts, found) for length, texts in sorted(by_length.items())]
-
-
-def _compile(length: int, texts: list[bytes], found: dict) -> Strings:
-    width = min(BLOCK, length)
-    hashes = np.array([found[t][0] for t in texts], np.uint64)
-    flat, row = hashes.ravel(), np.arange(len(texts)) * length
-    suffixes = _blocks(flat, row + length - 1, width)
-    size = 1 << max(12, int(8 * len(texts) * length).bit_length())
-    shifts = np.full(size, length - width + 1, np.int32)
+    sizes = words.ends - words.starts
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    text = np.full(int(ends[-1]) + 1 if len(ends) else 0, ord(" "), np.uint8)
+    if len(ends):
+        text[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = FOLD[words.data[ALPHANUMERIC[words.data]]]
+    compiled = Compiled(text.tobytes(), starts.astype(np.int32), ends.astype(np.int32), words.hashes, [ids for ids, _ in items], [])
+    counts = np.diff(words.offsets)
+    lengths = np.minimum(counts, window)
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        each = counts[rows] - length + 1
+        first = np.repeat(words.offsets[rows] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        compiled.strings.append(_compile(compiled, length, first, np.repeat(rows, each)))
+    return compiled
+
+
+def _compile(compiled: Compiled, length: int, first: np.ndarray, rows: np.ndarray) -> Strings:
+    """Strings of ``length`` words from the places where they stand; equal ones are one string."""
+    hashes, width = compiled.hashes, min(BLOCK, length)
+    suffixes, wholes = _blocks(hashes, first + length - 1, width), _blocks(hashes, first + length - 1, length)
+    order = np.lexsort((rows, wholes, suffixes))
+    first, rows, suffixes, wholes = first[order], rows[order], suffixes[order], wholes[order]
+    new = np.ones(len(first), bool)
+    new[1:] = (suffixes[1:] != suffixes[:-1]) | (wholes[1:] != wholes[:-1])
+    for i in np.flatnonzero(~new).tolist():  # equal hashes: the bytes decide
+        new[i] = compiled.bytes_of(first[i], first[i] + length) != compiled.bytes_of(first[i - 1], first[i - 1] + length)
+    # Windows overlap, so there are hardly more blocks than words.
+    size = 1 << max(12, int(8 * (len(first) + length)).bit_length())
+    shifts = np.full(size, length - width + 1, np.min_scalar_type(length - width + 1))
+    heads = first[new]
     for end in range(width - 1, length):
-        np.minimum.at(shifts, _blocks(flat, row + end, width) & np.uint64(size - 1), length - 1 - end)
-    order = np.argsort(suffixes, kind="stable")
-    return Strings(length, hashes[order], suffixes[order], [texts[i] for i in order], [tuple(sorted(found[texts[i]][1])) for i in order], shifts)
+        np.minimum.at(shifts, _blocks(hashes, heads + end, width) & np.uint64(size - 1), shifts.dtype.type(length - 1 - end))
+    string = np.cumsum(new) - 1
+    fresh_row = new.copy()
+    fresh_row[1:] |= rows[1:] != rows[:-1]
+    offsets = np.searchsorted(string[fresh_row], np.arange(len(heads) + 1))
+    return Strings(length, heads.astype(np.int32), suffixes[new], shifts, offsets.astype(np.int32), rows[fresh_row].astype(np.int32))
 
 
 def _candidates(words: Words, strings: Strings) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +129,7 @@ def _candidates(words: Words, strings: Strings) -> tuple[np.ndarray, np.ndarray]
     mask, ends, blocks = np.uint64(len(strings.shifts) - 1), [], []
     while len(at):
         block = _blocks(words.hashes, at, width)
-        shift = strings.shifts[block & mask]
+        shift = strings.shifts[block & mask].astype(np.int64)
         stop = shift == 0
         if stop.any():
             ends.append(at[stop])
@@ -115,29 +146,30 @@ def _candidates(words: Words, strings: Strings) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(end, count), place
 
 
-def _occurrences(words: Words, strings: Strings) -> Iterator[tuple[int, int]]:
+def _occurrences(words: Words, compiled: Compiled, strings: Strings) -> Iterator[tuple[int, int]]:
     """``(first word, string)`` of every occurrence."""
     end, place = _candidates(words, strings)
     first = end - strings.length + 1
     for i in range(strings.length):
-        same = words.hashes[first + i] == strings.hashes[place, i]
+        same = words.hashes[first + i] == compiled.hashes[strings.first[place] + i]
         first, place = first[same], place[same]
-    for start, string in zip(first.tolist(), place.tolist()):
-        if words.bytes_of(start, start + strings.length) == strings.texts[string]:
+    for start, string, at in zip(first.tolist(), place.tolist(), strings.first[place].tolist()):
+        if words.bytes_of(start, start + strings.length) == compiled.bytes_of(at, at + strings.length):
             yield start, string
 
 
-def search(texts: pa.Array, compiled: list[Strings]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+def search(texts: pa.Array, compiled: Compiled) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
     """For each text: its words, the runs ``[first, last)`` of hit words, the ids of items that occur."""
     words = words_of(texts, ALPHANUMERIC)
     n_rows = len(texts)
     edges = np.zeros(len(words.hashes) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(n_rows)]
-    for strings in compiled:
-        for start, string in _occurrences(words, strings):
+    met: list[set[int]] = [set() for _ in range(n_rows)]
+    for strings in compiled.strings:
+        for start, string in _occurrences(words, compiled, strings):
             edges[start] += 1
             edges[start + strings.length] -= 1
-            items[int(np.searchsorted(words.offsets, start, "right")) - 1].update(strings.items[string])
+            met[int(np.searchsorted(words.offsets, start, "right")) - 1].update(strings.rows[strings.offsets[string] : strings.offsets[string + 1]].tolist())
+    items = [{i for row in rows for i in compiled.ids[row]} for rows in met]
     hit = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
     hit_first, hit_last = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(~hit[1:] & hit[:-1])
     runs: list[list[tuple[int, int]]] = [[] for _ in range(n_rows)]
@@ -151,17 +183,18 @@ def search(texts: pa.Array, compiled: list[Strings]) -> tuple[list[int], list[li
     return np.diff(words.offsets).tolist(), runs, [sorted(i) for i in items]
 
 
-def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
-    """Rows of about ``pass_bytes`` of the benchmark, and whether they are the last.
+def _passes(benchmark: DataFrame, pass_bytes: int) -> Iterator[tuple[list[tuple[list[str], str]], bool]]:
+    """``(item ids, text)`` rows of the benchmark, about ``pass_bytes`` at a time, and whether they are the last.
 
-    The driver holds one pass at a time.
+    Equal texts are one row with all their ids. The driver holds one pass at a time.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = benchmark.where("text is not null").groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    bytes_of_ids = F.aggregate("ids", F.lit(0).cast("bigint"), lambda total, i: total + F.octet_length(i))
+    total = rows.agg(F.sum(F.octet_length("text") + bytes_of_ids)).first()[0] or 0
     parts = 1 if total <= pass_bytes else -(-2 * total // pass_bytes)
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part) if parts > 1 else rows
-        yield [(r.item_id, r.text) for r in mine.collect()], part == parts - 1
+        yield [(r.ids, r.text) for r in mine.collect()], part == parts - 1
 
 
 def _merged(runs: list[tuple[int, int]], more: list[dict]) -> list[tuple[int, int]]:
@@ -186,12 +219,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text")
     for items, last in _passes(benchmark, pass_bytes):
-        compiled = compile_strings(items, window)
+        shared = docs.sparkSession.sparkContext.broadcast(compile_strings(items, window))  # bounded by ``pass_bytes``
 
-        def run(batches: Iterator[pa.RecordBatch], compiled=compiled, last=last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    n_words, runs, ids = search(part.column("text"), compiled)
+                    n_words, runs, ids = search(part.column("text"), shared.value)
                     if "hits" in part.schema.names:
                         runs = [_merged(r, m) for r, m in zip(runs, part.column("hits").to_pylist())]
                         ids = [sorted({*i, *m}) for i, m in zip(ids, part.column("items").to_pylist())]
@@ -207,12 +240,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` without the rows in which a test string occurs; columns unchanged."""
     for items, _ in _passes(benchmark, pass_bytes):
-        compiled = compile_strings(items, window)
+        shared = docs.sparkSession.sparkContext.broadcast(compile_strings(items, window))
 
-        def run(batches: Iterator[pa.RecordBatch], compiled=compiled) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, "text"):
-                    _, runs, _ = search(part.column("text"), compiled)
+                    _, runs, _ = search(part.column("text"), shared.value)
                     yield part.filter(pa.array([not r for r in runs]))
 
         docs = docs.mapInArrow(run, docs.schema)
