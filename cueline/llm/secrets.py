@@ -18,7 +18,7 @@ rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as syntax
@@ -195,18 +195,37 @@ def spans(text: Column, rule: Rule) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     zipped = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("match"), F.transform(kept, F.length).alias("kept"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def used(x: Column) -> Column:
+        return x["gap"] + F.coalesce(x["match"], F.lit(0))
 
     def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["match"], F.lit(0))
-        span = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(
-            end.cast("int").alias("at"),
-            F.when(x["kept"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"),
+        begin, end = state["at"] + x["gap"], state["at"] + used(x)
+        span = F.struct(begin.alias("start"), end.alias("end"))
+        found = F.when(x["kept"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
+        return F.struct(end.alias("at"), found.alias("found"))
+
+    # To append copies what is there. So the pieces are cut into blocks, about as many as a block has pieces: the
+    # places where blocks start come from their sums, and each block lists its own spans from there.
+    def cut(pieces: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(pieces), width), lambda at: F.slice(pieces, at, width))
+
+    def listed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda total, x: total + used(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        return F.zip_with(
+            blocks, F.slice(starts, 1, F.size(blocks)),
+            lambda block, at: F.aggregate(block, F.struct(at.alias("at"), nothing.alias("found")), step)["found"],
         )
 
-    return F.aggregate(zipped, start, step)["found"]
+    return F.flatten(_given(_given(zipped, cut), listed))
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
