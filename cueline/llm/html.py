@@ -299,17 +299,25 @@ def labelled_pages(n: int, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
     def links(count: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{i}">{words(1, 4)}</a></{tag}>' for i in range(count))
 
+    def wrapped(text: str) -> str:
+        return rng.choice((text, f"<p>{text}</p>", f"<p>{text}</p>", f"<div><p>{text}</p></div>"))
+
+    def listed_comments() -> str:
+        tag, body = rng.choice(("ol", "ul")), rng.choice(("comment-body", "comment-content", "text"))
+        each = lambda: rng.choice((f"<p>{sentence(3, 45)}</p>", f'<b>{words(1, 2)}</b><div class="{body}"><p>{sentence(3, 45)}</p></div>', sentence(3, 45)))
+        return f'<{tag} {named("comments", "comment-list", "replies", "discussion")}>' + "".join(f'<li class="{rng.choice(("comment", "comment even", "reply"))}">{each()}</li>' for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
     def junk(place: str) -> str:
         made = {
             "menu": lambda: rng.choice([f"<nav><ul>{links(rng.randint(2, 9))}</ul></nav>", f'<div {named("menu", "navbar", "breadcrumbs", "main-nav")}><ul>{links(rng.randint(2, 8))}</ul></div>']),
             "header": lambda: f'<header {named("site-header", "banner", "top")}><a href="/">{words(1, 3)}</a><p>{words(2, 8)}</p></header>',
-            "footer": lambda: f'<footer>{rng.choice(("&copy; ", "", "© 2024 "))}{words(1, 6)} &middot; {sentence(2, 15)}</footer>',
-            "side": lambda: rng.choice([f"<aside><h3>{words(1, 4)}</h3><p>{sentence(2, 25)}</p></aside>", f'<div {named("sidebar", "related-posts", "widget")}><h4>{words(1, 4)}</h4><ul>{links(rng.randint(2, 6))}</ul><p>{sentence()}</p></div>']),
-            "notice": lambda: f'<div {named("cookie-notice", "consent", "newsletter", "popup", "alert notice")}><p>{sentence(3, 25)}</p><button>{words(1, 2)}</button></div>',
+            "footer": lambda: f'<footer>{wrapped(rng.choice(("&copy; ", "", "© 2024 ", "")) + words(1, 6) + rng.choice((" &middot; ", " ")) + sentence(2, 25))}</footer>',
+            "side": lambda: f"<aside>{wrapped(sentence(2, 30))}</aside>" if rng.random() < 0.35 else rng.choice([f"<aside><h3>{words(1, 4)}</h3><p>{sentence(2, 25)}</p></aside>", f'<div {named("sidebar", "related-posts", "widget")}><h4>{words(1, 4)}</h4><ul>{links(rng.randint(2, 6))}</ul><p>{sentence()}</p></div>']),
+            "notice": lambda: f'<div {named("cookie-notice", "consent", "newsletter", "popup", "alert notice", "newsletter-content", "subscribe box")}>{wrapped(sentence(3, 35))}{rng.choice((f"<button>{words(1, 2)}</button>", ""))}</div>',
             "advert": lambda: f'<div {named("ad", "ads", "advert", "sponsored", "ad-slot")}>{rng.choice((sentence(2, 15), f"<p>{sentence(2, 20)}</p>", f"<a href=x>{words(2, 9)}</a>"))}</div>',
             "share": lambda: f'<div {named("share", "social-links", "tags")}>{links(3, "span")}</div>',
-            "form": lambda: f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><p>{sentence(2, 10)}</p><button>{words(1, 2)}</button></form>',
-            "comment": lambda: f'<{(tag := rng.choice(("section", "div")))} {named("comments", "comment-list", "discussion")}><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentence(3, 45)}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{tag}>",
+            "form": lambda: f"<form>{wrapped(sentence(2, 15))}<input name=q></form>" if rng.random() < 0.4 else f'<form action="/s"><label>{words(1, 3)}</label><input name="q"><p>{sentence(2, 10)}</p><button>{words(1, 2)}</button></form>',
+            "comment": lambda: listed_comments() if rng.random() < 0.4 else f'<{(tag := rng.choice(("section", "div")))} {named("comments", "comment-list", "discussion")}><h3>{words(1, 3)}</h3>' + "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentence(3, 45)}</p></div>' for _ in range(rng.randint(1, 4))) + f"</{tag}>",
         }
         return made[place]()
 
@@ -345,8 +353,8 @@ def labelled_pages(n: int, seed: int = 5) -> Iterator[tuple[str, list[str]]]:
         middle, outer = [f"<h1>{keep(words(1, 10))}</h1>" if rng.random() < 0.85 else ""], rng.random()
         for _ in range(rng.choice((0, 1, 2, 4, 8, 14))):
             middle.append(content())
-            if rng.random() < 0.1:
-                middle.append(junk(rng.choice(["advert", "side", "share", "notice", "form", "comment", "menu", "footer"])))
+            if rng.random() < 0.3:
+                middle.append(junk(rng.choice(["advert", "side", "share", "notice", "form", "comment", "menu", "footer", "header"])))
         opening, closing = ("<article>", "</article>") if outer < 0.6 else ("<main>", "</main>") if outer < 0.75 else (f'<div {named("content", "post-body", "article", "entry-content", "main")}>', "</div>")
         after = "".join(junk(k) for k in rng.sample(["comment", "side", "share", "advert", "form", "menu", "notice"], rng.randint(0, 3)))
         last = junk("footer") if rng.random() < 0.8 else ""
