@@ -38,7 +38,7 @@ THRESHOLD = 0.5
 #: Prior share of good texts that a labeller calls poor, and the prior's weight.
 FALSE_ALARMS, PRIOR_WEIGHT = 0.002, 0.2
 #: Hashed features, and bytes of a run.
-WIDTH, RUN = 1_024, 5
+WIDTH, RUN = 2_048, 5
 #: Runs that say nothing, added to every text: short texts give little evidence.
 SMOOTHING = 64
 
@@ -238,7 +238,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
 
 def _sample(docs: DataFrame, total: int, rows: int) -> pa.Table:
-    """Patterns, figures and frequencies of about ``rows`` documents, chosen by a hash; never over twice as many."""
+    """Patterns, figures and frequencies of about ``rows`` different documents, chosen by a hash; never over twice as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +257,8 @@ def _sample(docs: DataFrame, total: int, rows: int) -> pa.Table:
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     spread = 1 << 40
     chosen = docs.where("text is not null").select(place.alias("place"), "text").where(F.pmod("place", F.lit(spread)) < int(spread * min(1.0, rows / max(total, 1))))
+    # Rows that repeat share their place: one of them stands for all, so that they neither fill nor change the sample.
+    chosen = chosen.groupBy("place").agg(F.min("text").alias("text"))
     return chosen.mapInArrow(run, "place bigint, pattern string, figures binary, frequencies binary").limit(2 * rows).toArrow()
 
 
