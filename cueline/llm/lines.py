@@ -2,8 +2,8 @@
 
 A line's set is its distinct words (white space apart, A-Z in lower case). A line
 is removed if an earlier line, by ``doc_id`` and line number, has a Jaccard
-similarity of 0.8 or more. Lines of equal sets are one class with one first
-place; what follows joins classes.
+similarity of 0.8 or more. Lines of the same words, each as often, are one class
+with one first place; what follows joins classes.
 
 1. Words are counted over the whole table in a histogram of hashes of fixed size;
    a set is ordered by rarity (that count, then the hash).
@@ -28,6 +28,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,42 +61,64 @@ def _ceil(n: np.ndarray | int, part: int, whole: int):
     return -(-n * part // whole)
 
 
-class _Sets:
-    """The word sets of all lines of a slice, in order of row and line."""
+class _Lines:
+    """All lines of a slice, in order of row and line, with their words as they stand."""
 
-    def __init__(self, column: pa.Array, counts: np.ndarray | None):
+    def __init__(self, column: pa.Array):
         lists = pc.split_pattern(pc.fill_null(column, ""), "\n")
         self.rows = pc.list_parent_indices(lists).to_numpy()
         sizes = pc.list_value_length(lists).to_numpy()
         self.numbers = np.arange(len(self.rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        words: Words = words_of(lists.flatten())
-        lines, hashes = words.rows(), words.hashes
-        rank = np.zeros(1, np.uint64) if counts is None else counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
-        exact = len(self.rows) > 1 << _LINE_BITS  # one long text of very short lines
-        if not exact:
-            # One number orders by line, rarity and most bits of the hash.
-            packed = (lines.astype(np.uint64) << np.uint64(64 - _LINE_BITS)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
-            order = np.argsort(packed)
-            packed = packed[order]
-            same = np.flatnonzero(packed[1:] == packed[:-1])
-            exact = (hashes[order[same]] != hashes[order[same + 1]]).any()  # the bits left out would decide
-        if exact:
-            order = np.lexsort((hashes, np.broadcast_to(rank, len(hashes)), lines))
-        lines, hashes = lines[order], hashes[order]
-        fresh_word = np.ones(len(hashes), bool)
-        fresh_word[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
-        self.words = hashes[fresh_word]
-        self.sizes = np.bincount(lines[fresh_word], minlength=len(self.rows))
-        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.all: Words = words_of(lists.flatten())
+        self.n_words = np.diff(self.all.offsets)
 
     def digests(self) -> np.ndarray:
-        """128 bits of each set, as two columns."""
+        """128 bits of the words of each line and how often each stands there, as two columns; no order is needed."""
         out = np.empty((len(self.rows), 2), np.uint64)
         for half, factor in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.words * np.uint64(factor)))])
-            out[:, half] = mix(sums[self.offsets[1:]] - sums[self.offsets[:-1]] + self.sizes.astype(np.uint64))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.all.hashes * np.uint64(factor)))])
+            out[:, half] = mix(sums[self.all.offsets[1:]] - sums[self.all.offsets[:-1]] + self.n_words.astype(np.uint64))
         return out
 
+    def sets_of(self, lines: np.ndarray) -> list[bytes]:
+        """The words' hashes of each of ``lines``, ascending and without repeats."""
+        sizes, starts = self.n_words[lines], self.all.offsets[lines]
+        inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        owners, words = _distinct(np.repeat(np.arange(len(lines)), sizes), self.all.hashes[inside], np.zeros(1, np.uint64), len(lines))
+        ends = np.cumsum(np.bincount(owners, minlength=len(lines))) * 8
+        data = words.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def _distinct(lines: np.ndarray, hashes: np.ndarray, rank: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of the distinct words of each line, in order of line, rank and hash."""
+    exact = n_lines > 1 << _LINE_BITS  # one long text of very short lines
+    if not exact:
+        # One number orders by line, rarity and most bits of the hash.
+        packed = (lines.astype(np.uint64) << np.uint64(64 - _LINE_BITS)) | (rank << np.uint64(32)) | (hashes >> np.uint64(32))
+        order = np.argsort(packed)
+        packed = packed[order]
+        same = np.flatnonzero(packed[1:] == packed[:-1])
+        exact = (hashes[order[same]] != hashes[order[same + 1]]).any()  # the bits left out would decide
+    if exact:
+        order = np.lexsort((hashes, np.broadcast_to(rank, len(hashes)), lines))
+    lines, hashes = lines[order], hashes[order]
+    fresh_word = np.ones(len(hashes), bool)
+    fresh_word[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
+    return lines[fresh_word], hashes[fresh_word]
+
+
+class _Sets(_Lines):
+    """The lines of a slice with their word sets in order of rarity."""
+
+    def __init__(self, column: pa.Array, counts: np.ndarray | None):
+        super().__init__(column)
+        hashes = self.all.hashes
+        rank = np.zeros(1, np.uint64) if counts is None else counts[(hashes & np.uint64(COUNT_BUCKETS - 1)).astype(np.int64)]
+        lines, self.words = _distinct(self.all.rows(), hashes, rank, len(self.rows))
+        self.sizes = np.bincount(lines, minlength=len(self.rows))
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+
     def parities(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits in two numbers, each bit the parity of the number of words that hash to it."""
         bit, half = np.uint64(1) << (self.words >> np.uint64(58)), (self.words >> np.uint64(57)) & np.uint64(1)
@@ -319,9 +342,9 @@ def _filter(rows: DataFrame, column: str):
     return rows.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
 
-def _passing(wanted: np.ndarray, sets: _Sets, digests: np.ndarray) -> np.ndarray:
+def _passing(wanted: np.ndarray, found: _Lines, digests: np.ndarray) -> np.ndarray:
     """Lines of a slice that have words and pass a filter."""
-    return np.flatnonzero(wanted[(digests[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (sets.sizes > 0))
+    return np.flatnonzero(wanted[(digests[:, 0] & np.uint64(FILTER_BITS - 1)).astype(np.int64)] & (found.n_words > 0))
 
 
 def _full_sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -332,12 +355,11 @@ def _full_sets(docs: DataFrame, refs: DataFrame) -> DataFrame:
         wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = _Sets(part.column("text"), None)
-                digests = sets.digests()
-                lines = _passing(wanted, sets, digests)
+                found = _Lines(part.column("text"))
+                digests = found.digests()
+                lines = _passing(wanted, found, digests)
                 lines = lines[_firsts(digests[lines])[0]]
-                words = [sets.words[a:b].tobytes() for a, b in zip(sets.offsets[lines], sets.offsets[lines + 1])]
-                yield pa.RecordBatch.from_arrays([_signed(digests[lines, 0]), _signed(digests[lines, 1]), pa.array(words, pa.binary())], names=["d1", "d2", "words"])
+                yield pa.RecordBatch.from_arrays([_signed(digests[lines, 0]), _signed(digests[lines, 1]), pa.array(found.sets_of(lines), pa.binary())], names=["d1", "d2", "words"])
 
     return docs.where("text is not null").select("text").mapInArrow(run, "d1 bigint, d2 bigint, words binary")
 
@@ -400,11 +422,11 @@ def _occurrences(docs: DataFrame, classes: DataFrame, later: DataFrame) -> DataF
         wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = _Sets(part.column("text"), None)
-                digests = sets.digests()
-                lines = _passing(wanted, sets, digests)
-                rows = pa.array(sets.rows[lines])
-                arrays = [_signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(rows), part.column("place").take(rows), pa.array(sets.numbers[lines].astype(np.int32))]
+                found = _Lines(part.column("text"))
+                digests = found.digests()
+                lines = _passing(wanted, found, digests)
+                rows = pa.array(found.rows[lines])
+                arrays = [_signed(digests[lines, 0]), _signed(digests[lines, 1]), part.column("doc_id").take(rows), part.column("place").take(rows), pa.array(found.numbers[lines].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["d1", "d2", "doc_id", "place", "line"])
 
     lines = docs.where("text is not null").select("doc_id", _place().alias("place"), "text").mapInArrow(
@@ -428,13 +450,23 @@ def decide(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     )
 
 
+def _without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+    """The texts without the lines of these numbers, in one walk over each."""
+
+    def cut(text: str, gone: np.ndarray) -> str:
+        pieces = np.array(text.split("\n"), object)
+        return "\n".join(np.delete(pieces, gone))
+
+    return pd.Series([None if text is None else cut(text, gone) for text, gone in zip(texts, numbers)], dtype=object)
+
+
 def remove_lines(docs: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; columns unchanged."""
     place, lines = fresh(docs, "line_place", "line_numbers")
     removed = removed_lines(docs, tile_rows).select(F.col("place").alias(place), F.col("lines").alias(lines))
     joined = docs.join(removed, _place() == F.col(place), "left")
-    pieces = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col(lines), i)), "\n")
+    cut = F.pandas_udf(_without, "string")
+    kept = cut(F.when(F.col(lines).isNotNull(), F.col("text")), F.col(lines))
     return joined.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
