@@ -234,9 +234,10 @@ def _connected(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _met(tiles.join(signature, F.col("digest") == F.col("d")).select("bucket", "low", "high", "tile", "digest", "copies", "place", "signature")),
         "minhash-met",
     )
-    texts = docs.select(_row_key().alias("p"), "text")
+    # One text of each place, folded before the shuffle: a row may repeat in a third of the table.
+    texts = docs.select(_row_key().alias("p"), "text").groupBy("p").agg(F.first("text").alias("text"))
     wanted = met.select("digest", "place").distinct()
-    found = wanted.join(texts, F.col("place") == F.col("p")).select(F.col("digest").alias("d"), "text").dropDuplicates(["d"])
+    found = wanted.join(texts, F.col("place") == F.col("p")).select(F.col("digest").alias("d"), "text")
     links = materialise(
         _verified(met.join(found, F.col("digest") == F.col("d")).select("bucket", "low", "high", "tile", "digest", "copies", "signature", "text")),
         "minhash-links",
