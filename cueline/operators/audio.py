@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueline.operators.checks import loudness_compliance
 from cueline.operators.ordered import over_neighbours, running_max
 from cueline.params import AudioParams
 
@@ -139,6 +140,18 @@ def abrupt_edges(frames: DataFrame, keys: Sequence[str], order: str = "frame_idx
     return edge(F.col(order).asc(), "abrupt_start").unionByName(edge(F.col(order).desc(), "abrupt_end"))
 
 
+def file_issues(
+    loudness: DataFrame, frames: DataFrame, keys: Sequence[str], params: AudioParams = AudioParams(), **options
+) -> DataFrame:
+    """All issues that the verification of audio files counts, as ``keys, issue_type,
+    severity, value``: loudness, true peak and range, and abrupt edges with the level
+    of the edge. ``options`` go to :func:`abrupt_edges`."""
+    keys = list(keys)
+    measured = loudness.select(*keys, F.inline(loudness_compliance(params))).drop("detail")
+    edges = abrupt_edges(frames, keys, **options)
+    return measured.unionByName(edges.select(*keys, "issue_type", "severity", F.col("edge_db").alias("value")))
+
+
 def merge_styles(frames: DataFrame, keys: Sequence[str], trusted: float = 0.3) -> DataFrame:
     """One style per video from its frames: the most confident frame, with the
     commonest colour and median size of the trusted frames, the majority of the

@@ -38,7 +38,7 @@ def breaths(spark, sf):
     return audio.breaths(X.audio_frames(spark, sf), KEY)
 
 
-_EDGE = """
+EDGE = """
 heard as (select *, row_number() over (partition by file_id order by frame_idx) as a, row_number() over (partition by file_id order by frame_idx desc) as z,
   count(*) over (partition by file_id) as n from frames where rms_db > -60)"""
 
@@ -50,12 +50,18 @@ from (select file_id, any_value(n) as n, max(rms_db) filter ({rank} = 1) as edge
 where n > 2 and edge_db > (case when n > 5 then next_db else all_db end) + 15"""
 
 
-@query("abrupt_edges", O.with_(O.FRAMES, _EDGE) + _edge("a", "abrupt_start") + "\nunion all\n" + _edge("z", "abrupt_end"))
-def abrupt_edges(spark, sf):
+EDGES = _edge("a", "abrupt_start") + "\nunion all\n" + _edge("z", "abrupt_end")
+
+
+def heard_frames(spark, sf):
     """The lowest level stands for silence without a level."""
-    frames = X.audio_frames(spark, sf)
     level = F.when(F.col("rms_db") > -60.0, F.col("rms_db")).otherwise(F.lit(float("-inf")))
-    return audio.abrupt_edges(frames.withColumn("rms_db", level), KEY)
+    return X.audio_frames(spark, sf).withColumn("rms_db", level)
+
+
+@query("abrupt_edges", O.with_(O.FRAMES, EDGE) + EDGES)
+def abrupt_edges(spark, sf):
+    return audio.abrupt_edges(heard_frames(spark, sf), KEY)
 
 
 _TARGETS = """

@@ -9,6 +9,7 @@ from cueline.params import LATIN, LATIN_PUBLISHING
 from cueline.plans import audit
 from cueline.plans import fixtures as X
 from cueline.plans import oracle as O
+from cueline.plans import queries_audio as A
 from cueline.plans import queries_checks as C
 from cueline.plans.queries_checks import KEY, named
 from cueline.plans.registry import query
@@ -158,6 +159,10 @@ loud_issues as (
   select file_id, 'loudness_out_of_range' as issue_type, 'warning' as severity, lufs as value from loudness where abs(lufs + 14) > 2
   union all select file_id, 'true_peak_exceeded', 'critical', true_peak from loudness where true_peak > -1
   union all select file_id, 'lra_too_high', 'warning', lra from loudness where lra > 10)"""
+AUDIO_ISSUES = f"""{A.EDGE.strip()},
+audio_issues as (
+  select file_id, issue_type, severity, value from loud_issues
+  union all select file_id, issue_type, severity, edge_db from ({A.EDGES}))"""
 AUDIO_SCORE = """
 audio_score as (
   select l.file_id, case when l.file_id % 10 = 7 then 1 else coalesce(c, 0) end as critical_count,
@@ -165,16 +170,20 @@ audio_score as (
     case when l.file_id % 10 = 7 then 0.0::double else greatest(0.0::double, 100 - 15 * coalesce(c, 0) - 3 * coalesce(w, 0)) end as score,
     l.file_id % 10 <> 7 and coalesce(c, 0) = 0 as passed
   from loudness l left join (select file_id, count(*) filter (severity = 'critical') as c, count(*) filter (severity = 'warning') as w
-    from loud_issues group by file_id) i on l.file_id = i.file_id)"""
+    from audio_issues group by file_id) i on l.file_id = i.file_id)"""
 
 
 def loud_issues(spark, sf):
     return X.loudness(spark, sf).select("file_id", F.inline(checks.loudness_compliance())).drop("detail")
 
 
+def audio_issues_of(spark, sf):
+    return audio.file_issues(X.loudness(spark, sf), A.heard_frames(spark, sf), ["file_id"])
+
+
 def audio_scores_of(spark, sf):
     files = X.loudness(spark, sf).select("file_id", (F.col("file_id") % 10 != 7).alias("present"))
-    return scoring.audio_score(loud_issues(spark, sf), files)
+    return scoring.audio_score(audio_issues_of(spark, sf), files)
 
 
 @query("loudness_issues", O.with_(O.LOUDNESS, LOUD_ISSUES) + "select * from loud_issues")
@@ -194,7 +203,15 @@ def loudness_issues_by_platform(spark, sf):
     return rows.select("file_id", "platform", F.inline(family)).drop("severity", "detail")
 
 
-@query("audio_scores", O.with_(O.LOUDNESS, LOUD_ISSUES, AUDIO_SCORE) + "select * from audio_score")
+@query("audio_file_issues", O.with_(O.LOUDNESS, O.FRAMES, LOUD_ISSUES, AUDIO_ISSUES) + "select * from audio_issues")
+def audio_file_issues(spark, sf):
+    return audio_issues_of(spark, sf)
+
+
+_SOUND = (O.LOUDNESS, O.FRAMES, LOUD_ISSUES, AUDIO_ISSUES, AUDIO_SCORE)
+
+
+@query("audio_scores", O.with_(*_SOUND) + "select * from audio_score")
 def audio_scores(spark, sf):
     return audio_scores_of(spark, sf)
 
@@ -208,7 +225,7 @@ def audio_by_transcript(spark, sf):
     return audio_scores_of(spark, sf).withColumnRenamed("file_id", "transcript_id")
 
 
-@query("full_validation", O.with_(*AUDIT, O.LOUDNESS, LOUD_ISSUES, AUDIO_SCORE, _BY_TRANSCRIPT) + """
+@query("full_validation", O.with_(*AUDIT, *_SOUND, _BY_TRANSCRIPT) + """
 select transcript_id, content_score * 0.30::double + timing_score * 0.20::double + alignment_score * 0.25::double
     + coalesce(audio_score, 0) * 0.25::double as overall_score,
   content_passed and timing_passed and alignment_passed and coalesce(apass, true) and critical_issues + coalesce(acrit, 0) = 0 as all_passed,
@@ -315,7 +332,7 @@ report as (
         + coalesce(style_score, 0.0) * 0.20::double + coalesce(efficiency_score, 100.0) * 0.20::double as base
       from (select 'v' || file_id as version_key from loudness) left join af using (version_key) left join tf using (version_key)
       left join cf using (version_key) left join style using (version_key) left join efficiency using (version_key) left join pen using (version_key))))"""
-REPORT_BASE = (*AUDIT, O.LOUDNESS, LOUD_ISSUES, AUDIO_SCORE, _SUMMARIES, EFFICIENCY, _STYLE_FILES, STYLE, _PER_FILE, REPORT)
+REPORT_BASE = (*AUDIT, *_SOUND, _SUMMARIES, EFFICIENCY, _STYLE_FILES, STYLE, _PER_FILE, REPORT)
 
 
 def version(df, column="transcript_id"):
@@ -346,14 +363,14 @@ _REPORT_ISSUES = f"""
 report_issues as (
   select {_VERSION} as version_key, issue_type, severity from timing_issues
   union all select {_VERSION}, issue_type, severity from content_issues where severity in ('critical', 'warning')
-  union all select 'v' || file_id, issue_type, severity from loud_issues)"""
+  union all select 'v' || file_id, issue_type, severity from audio_issues)"""
 
 
 def report_issues(spark, sf):
     timing = version(C.found(spark, sf, C.timing(spark))).select("version_key", "issue_type", "severity")
     content = version(C.found(spark, sf, C.content(spark))).where(F.col("severity").isin("critical", "warning"))
-    loud = version(loud_issues(spark, sf), "file_id")
-    return timing.unionByName(content.select(*timing.columns)).unionByName(loud.select(*timing.columns))
+    sound = version(audio_issues_of(spark, sf), "file_id")
+    return timing.unionByName(content.select(*timing.columns)).unionByName(sound.select(*timing.columns))
 
 
 METRICS = f"""
