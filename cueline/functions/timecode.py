@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _part(ms: Column, modulus: int | None, unit: int) -> Column:
+    """Whole units, towards zero; the parts of a negative time are negative or zero."""
     left = ms % modulus if modulus else ms
-    return F.floor(left / unit).cast("int")
+    return (left / unit).cast("int")
 
 
 def srt_time(ms: Column) -> Column:
@@ -32,14 +33,14 @@ def _number(code: Column, group: int, pattern: str) -> Column:
 
 
 def parse_srt_time(code: Column) -> Column:
-    """Milliseconds, or NULL where the code is malformed."""
-    p = r"^\s*(\d+)[:,](\d+)[:,](\d+)[:,](\d+)"
+    """Milliseconds, or NULL where the code is malformed. Parts may be negative, as :func:`srt_time` writes them."""
+    p = r"^\s*(-?\d+)[:,](-?\d+)[:,](-?\d+)[:,](-?\d+)"
     n = [_number(code, i, p) for i in range(1, 5)]
     return n[0] * 3_600_000 + n[1] * 60_000 + n[2] * 1000 + n[3]
 
 
 def parse_ass_time(code: Column) -> Column:
-    p = r"^\s*(\d+)[:.](\d+)[:.](\d+)[:.](\d+)"
+    p = r"^\s*(-?\d+)[:.](-?\d+)[:.](-?\d+)[:.](-?\d+)"
     n = [_number(code, i, p) for i in range(1, 5)]
     return n[0] * 3_600_000 + n[1] * 60_000 + n[2] * 1000 + n[3] * 10
 

@@ -87,3 +87,12 @@ def test_time_codes(value):
     assert value(tc.parse_srt_time, "00:00:02,000", "bad", "01:02:05,042") == [2000, None, 3725042]
     assert value(tc.parse_ass_time, "1:02:05.04") == [3725040]
     assert [tuple(r) for r in value(tc.aspect_ratio, "16:9", "9x16", "4/3", "?")] == [(16, 9), (9, 16), (4, 3), (16, 9)]
+
+
+def test_negative_times(value):
+    """A line may start before the zero of its transcript; parts go towards zero and are read back."""
+    ms = lambda f: lambda c: f(c.cast("bigint"))
+    assert value(ms(tc.srt_time), "-200", "-3725042") == ["00:00:00,-200", "-1:-2:-5,-42"]
+    assert value(ms(tc.ass_time), "-205", "-5") == ["0:00:00.-20", "0:00:00.00"]
+    assert value(lambda c: tc.parse_srt_time(tc.srt_time(c.cast("bigint"))), "-200", "-3725042", "61200") == [-200, -3725042, 61200]
+    assert value(lambda c: tc.parse_ass_time(tc.ass_time(c.cast("bigint"))), "-205", "-3725040") == [-200, -3725040]
