@@ -102,27 +102,33 @@ def canonical_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _ordered_lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+def _ordered_lines(spark: SparkSession, path: str, suffix: str, folders: bool) -> DataFrame:
     """Lines of every file, whatever their line ends, with their number in the file.
 
-    Files are read in splits. A line's place is (split offset, order in the
-    split); numbering needs no more than one split in one task."""
+    With ``folders`` the part files of a folder are one document, in order of
+    name, as :func:`cueline.sources.writers.write_text` leaves them; its path is
+    the folder's. Files are read in splits. A line's place is (file, split
+    offset, order in the split); numbering needs no more than one split in one
+    task."""
+    file = F.col("_metadata.file_path")
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}")
     lines = reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        (F.regexp_replace(file, "/[^/]*$", "") if folders else file).alias("path"),
+        F.element_at(F.split(file, "/"), -1).alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value"),
     )
-    return dense_position(materialise(lines, "lines"), ["path"], ["_split"], ["_id"], "line_no").drop("_split", "_id")
+    return dense_position(materialise(lines, "lines"), ["path"], ["_file", "_split"], ["_id"], "line_no").drop("_file", "_split", "_id")
 
 
-def read_srt(spark: SparkSession, path: str, suffix: str = "srt") -> DataFrame:
+def read_srt(spark: SparkSession, path: str, suffix: str = "srt", folders: bool = False) -> DataFrame:
     """Entries of a folder of SRT files; blocks that do not parse are skipped.
 
     Blocks end at an empty line. Lines may end in CR, LF or both, mixed in a
-    file. ``line_no`` is the number of the block's first line."""
-    lines = _ordered_lines(spark, path, suffix).withColumn("_empty", (F.col("value") == "").cast("int"))
+    file. ``line_no`` is the number of the block's first line. ``folders``: each
+    folder is one document in part files."""
+    lines = _ordered_lines(spark, path, suffix, folders).withColumn("_empty", (F.col("value") == "").cast("int"))
     marked = running_total(lines, ["path"], "line_no", {"_number": "_empty"}).where("_empty = 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda line: line["value"]), "\n")
     blocks = marked.groupBy("path", "_number").agg(F.min("line_no").alias("line_no"), joined.alias("value")).withColumn(
@@ -142,13 +148,15 @@ def read_srt(spark: SparkSession, path: str, suffix: str = "srt") -> DataFrame:
     )
 
 
-def read_ass(spark: SparkSession, path: str, suffix: str = "ass") -> DataFrame:
+def read_ass(spark: SparkSession, path: str, suffix: str = "ass", folders: bool = False) -> DataFrame:
     """Dialogue entries of a folder of ASS files, numbered from 1 per file.
 
     Only dialogue lines of the events section count. Override tags are removed;
     empty lines, drawing commands and texts starting with a digit are dropped.
+    ``folders``: each folder is one document in part files, of which only the
+    first has the header.
     """
-    lines = materialise(_ordered_lines(spark, path, suffix).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
+    lines = materialise(_ordered_lines(spark, path, suffix, folders).withColumn("value", F.regexp_replace("value", r"(?U)^\s+|\s+$", "")), "ass-lines")
     events = F.col("value") == "[Events]"
     other = F.col("value").rlike(r"^\[.*\]$") & ~events
     marked = lines.withColumns({"_e": F.when(events, F.col("line_no")), "_o": F.when(other, F.col("line_no"))})

@@ -133,3 +133,17 @@ def test_transcript_beyond_the_size_of_a_variant(spark, tmp_path):
     (tmp_path / "broken.json").write_text('{"segments": [')
     rows = readers.read_transcripts(spark, str(tmp_path))
     assert rows.selectExpr("count(*) n", "max(seg_idx) last", "max(start_ms) start", "max(duration_s) d").first()[:] == (2_100, 2_099, 2_099_500, 3.0)
+
+
+def test_document_in_part_files(spark, tmp_path):
+    """A document cut into part files keeps the entries of its later parts and their numbers."""
+    rows = segments_of(spark, [(i * 1000 - 200, i * 1000 + 500, f"line {i}") for i in range(40)]).withColumn("index", F.col("seg_idx") + 1)
+    rows = rows.withColumn("transcript_id", F.lit(7))
+    for name, lines, read in [
+        ("ass", writers.ass_lines(rows, ["transcript_id"], F.lit("t")), readers.read_ass), ("srt", writers.srt_cues(rows, ["transcript_id"]), readers.read_srt),
+    ]:
+        path = str(tmp_path / name)
+        lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("transcript_id", "value").write.partitionBy("transcript_id").text(path)
+        back = read(spark, path, suffix="txt", folders=True).orderBy("start_ms").collect()
+        assert [(r["index"], r.start_ms, r.end_ms, r.text) for r in back] == [(i + 1, i * 1000 - 200, i * 1000 + 500, f"line {i}") for i in range(40)]
+        assert {r.file_id for r in back} == {"transcript_id=7"}
