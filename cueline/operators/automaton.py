@@ -27,6 +27,9 @@ from cueline.operators.rules import issue, no_issues
 PASS_BYTES = 16 << 20
 """Bytes of rules that one pass holds."""
 
+PIECE_BYTES = 1 << 20
+"""Bytes of input that a worker turns into Python values at a time."""
+
 KEPT = 4
 """Automata that a worker keeps for its next tasks."""
 
@@ -133,8 +136,24 @@ def shared(df: DataFrame, value: Any, build: Callable[[Any], Any]) -> Callable[[
     return get
 
 
+def bounded(batches: Iterator[pa.RecordBatch], columns: Sequence[str], most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces whose ``columns`` hold about ``most`` bytes each, or one row.
+
+    A batch has a fixed number of rows, so its size follows the length of its texts, and
+    the Python values made of it are several times as large."""
+    for batch in batches:
+        at = [(0, batch.num_rows)]
+        while at:
+            first, n = at.pop()
+            piece = batch.slice(first, n)
+            if n > 1 and sum(piece.column(c).nbytes for c in columns) > most:
+                at += [(first + n // 2, n - n // 2), (first, n // 2)]
+            else:
+                yield piece
+
+
 def map_column(df: DataFrame, inputs: Sequence[str], out: str, kind: T.DataType, make: Callable[[], Callable]) -> DataFrame:
-    """``df`` with ``out``, computed from the values of ``inputs`` row by row inside Arrow batches."""
+    """``df`` with ``out``, computed from the values of ``inputs`` row by row inside pieces of Arrow batches."""
     schema = T.StructType([f for f in df.schema.fields if f.name != out]).add(out, kind)
     arrow = T.StructType().add(out, kind)
 
@@ -142,7 +161,7 @@ def map_column(df: DataFrame, inputs: Sequence[str], out: str, kind: T.DataType,
         from pyspark.sql.pandas.types import to_arrow_schema
 
         function, target = make(), to_arrow_schema(arrow).field(0).type
-        for batch in batches:
+        for batch in bounded(batches, inputs):
             values = [function(*row) for row in zip(*(batch.column(c).to_pylist() for c in inputs))]
             kept = [n for n in batch.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(values, target)], names=[*kept, out])

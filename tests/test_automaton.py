@@ -103,3 +103,13 @@ def test_phrases_go_before_characters(spark):
     table = spark.createDataFrame([("乾", "干"), ("隆", "隆"), ("乾隆", "乾隆"), ("髮", "发"), ("頭", "头"), ("發", "发"), ("", "x"), ("頭髮", "头发")], "traditional string, simplified string")
     df = spark.createDataFrame([("乾隆的頭髮乾了發",), (None,), ("",)], "text string")
     assert [r.text for r in A.convert_phrases(df, table).collect()] == ["乾隆的头发干了发", None, ""]
+
+
+def test_pieces_of_long_texts():
+    """A batch of long texts is worked on in bounded pieces that hold all its rows in order."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"i": list(range(101)), "text": ["x" * 20_000] * 50 + [None, "y" * 3_000_000] + ["z"] * 49})
+    pieces = list(A.bounded(iter([batch, batch.slice(0, 0)]), ["text"], 1 << 20))
+    assert pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(101))
+    assert len(pieces) > 3 and all(p.column("text").nbytes <= 1 << 20 or p.num_rows == 1 for p in pieces)
