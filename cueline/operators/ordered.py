@@ -78,7 +78,8 @@ def time_position(
     ``heavy_rows`` rows (many rows at one instant) is split by its exact time
     and by ranges of ``tie``, a row number unique in the key, so no block
     exceeds ``heavy_rows``. The table of heavy buckets has at most
-    ``rows / heavy_rows`` rows; how it is joined is left to Spark.
+    ``rows / heavy_rows`` rows; how it is joined is left to Spark. Whether there
+    are any is counted first, so that without them ``df`` is shuffled once.
     """
     coarse = F.floor(F.col(time) / bucket).cast("long")
     tagged = df.withColumn("_b0", coarse)
@@ -88,6 +89,8 @@ def time_position(
         .where(F.col("_n") > heavy_rows)
         .select(*keys, "_b0", F.lit(True).alias("_heavy"))
     )
+    if heavy.isEmpty():
+        return dense_position(tagged, keys, ["_b0"], [time, tie], out, total).drop("_b0")
     tagged = (
         tagged.join(heavy, [*keys, "_b0"], "left")
         .withColumn("_b1", F.when(F.col("_heavy"), F.col(time)).otherwise(F.lit(0)).cast("long"))
@@ -269,7 +272,7 @@ def ordered_fold(
             .sortWithinPartitions(*keys, "_block", pos)
         )
         runner = _block_runner(keys, pos, total, make_fold, to_arrow_schema(schema), len(out_names))
-        table = materialise(blocks.mapInArrow(runner, schema), name)
+        table = materialise(blocks.mapInArrow(runner, schema), name, "zstd")
         left = table.where("_mark = 'exit'").select(*keys, (F.col("_block") + 1).alias("_block"), "_state")
         entered = table.where("_mark = 'entry'").select(*keys, "_block", F.col("_state").alias("_entered"))
         wrong = left.join(entered, [*keys, "_block"]).where(F.col("_state") != F.col("_entered"))

@@ -47,12 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of the written table."""
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of the written table.
+
+    ``zstd`` suits tables of many lines of text that are read about once."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{shared_dir(spark)}/cueline/{app}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -107,3 +107,10 @@ def test_ordered_fold_equals_one_run(placed, fold, size, warmup):
         for r in placed.where(F.col("k") == k).orderBy("pos").collect():
             want |= {(k, *out) for out in machine.push(r.asDict())}
     assert {tuple(r) for r in got.drop("_block", "_seq").collect()} == want
+
+
+def test_time_position_shuffles_rows_once(skewed, capsys):
+    """Without heavy buckets the rows are not joined with a table of them."""
+    ordered.time_position(skewed, ["k"], "at", "tie", total="n", bucket=2000).explain()
+    plan = capsys.readouterr().out
+    assert "_b0" in plan and "_heavy" not in plan and "_b1" not in plan
