@@ -55,6 +55,7 @@ class Limits:
         self.split_at = re.compile(char_class(params.split_marks))
         self.max_ms = params.max_display_s * 1000
         self.min_ms = params.min_display_s * 1000
+        self.capacity, self.max_speed = params.capacity, params.max_speed
 
     def count(self, text: str) -> int:
         return len(self._counted.findall(text))
@@ -72,9 +73,9 @@ class Limits:
         """Joined, the two stay within characters, time on screen and speed."""
         chars, length = a.chars + b.chars, b.end - a.start
         return (
-            chars <= self.params.capacity
+            chars <= self.capacity
             and length <= self.max_ms
-            and self.rate(chars, length) <= self.params.max_speed
+            and self.rate(chars, length) <= self.max_speed
         )
 
 
@@ -104,16 +105,18 @@ class JoinShort(Step):
 
     def push(self, seg):
         lim, now = self.limits, self.now
-        seg = seg._replace(text=seg.text.strip())
+        text = seg.text.strip()
+        if len(text) != len(seg.text):
+            seg = seg._replace(text=text)
         if now is None:
             self.now = seg
             return []
         span, chars = seg.end - now.start, now.chars + seg.chars
         fits = (
             seg.start - now.end <= MAX_JOIN_GAP_MS
-            and chars <= lim.params.capacity
+            and chars <= lim.capacity
             and span <= lim.max_ms
-            and lim.rate(chars, span) <= lim.params.max_speed
+            and lim.rate(chars, span) <= lim.max_speed
         )
         if fits and not self._complete():
             self.now = now.joined(seg)
@@ -126,7 +129,7 @@ class JoinShort(Step):
         return (
             now.chars >= 4
             and now.length >= lim.min_ms
-            and lim.rate(now.chars, now.length) <= lim.params.max_speed
+            and lim.rate(now.chars, now.length) <= lim.max_speed
             and lim.closes_sentence(now.text)
         )
 
@@ -334,9 +337,18 @@ class SegmentChain(Fold):
         self.newest = -math.inf
 
     def push(self, row):
-        self.newest = row["start_ms"]
-        segs = [self.limits.seg(row["start_ms"], row["end_ms"], row["text"], (row[self.pos],))]
-        return self._through(segs, 0)
+        return self.take(self.segment(row))
+
+    def segment(self, row) -> Seg:
+        return self.limits.seg(row["start_ms"], row["end_ms"], row["text"], (row[self.pos],))
+
+    def take(self, seg: Seg) -> list[tuple]:
+        """Pass a segment on. What waits for its order is looked at when the first step releases something."""
+        self.newest = seg.start
+        segs = self.steps[0].push(seg)
+        if isinstance(self.steps[0], InStartOrder):
+            segs = segs + self.steps[0].release(self._floor(0))
+        return self._through(segs, 1) if segs else []
 
     def _through(self, segs, first):
         for i, step in enumerate(self.steps[first:], first):
@@ -395,13 +407,24 @@ def run_steps(
 
 
 class ManyChains(Fold):
-    """The same steps under several settings over one pass of the rows."""
+    """The same steps under several settings over one pass of the rows.
+
+    Characters are counted once for all settings that count the same ones."""
 
     def __init__(self, names: Sequence[str], settings: Mapping[str, SubtitleParams], pos: str):
         self.chains = {k: SegmentChain(names, p, pos) for k, p in settings.items()}
+        self.alike: dict[str, list[tuple[str, SegmentChain]]] = {}
+        for k, p in settings.items():
+            self.alike.setdefault(p.count_class, []).append((k, self.chains[k]))
 
     def push(self, row):
-        return [(k, *out) for k, chain in self.chains.items() for out in chain.push(row)]
+        out = []
+        for chains in self.alike.values():
+            seg = chains[0][1].segment(row)
+            for k, chain in chains:
+                if made := chain.take(seg):
+                    out += [(k, *values) for values in made]
+        return out
 
     def flush(self):
         return [(k, *out) for k, chain in self.chains.items() for out in chain.flush()]

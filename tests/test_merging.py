@@ -5,7 +5,7 @@ from conftest import segments_of
 from pyspark.sql import functions as F
 
 from cueline.operators import merging
-from cueline.params import SubtitleParams
+from cueline.params import LATIN, SubtitleParams
 
 P = SubtitleParams(max_chars=18, max_lines=2)
 LIMITS = merging.Limits(P)
@@ -143,3 +143,19 @@ def test_settings_side_by_side(spark):
     for name, params in settings.items():
         got = both.where(F.col("param_id") == name).orderBy("pos").collect()
         assert [(r.start_ms, r.end_ms, r.text, r.source_rows) for r in got] == run(merging.FULL_CHAIN, SCENARIO, params)
+
+
+def test_settings_share_the_count_of_characters(monkeypatch):
+    """A row's characters are counted once, not once per setting; results are those of the single chains."""
+    settings = {"a": LATIN, "b": LATIN.with_values(max_chars=50), "c": LATIN.with_values(max_display_s=10.0)}
+    rows = [{"pos": i, "start_ms": i * 400, "end_ms": i * 400 + 380, "text": w} for i, w in enumerate("some words. that may join, or not".split() * 9)]
+    steps = ["join_short", "start_order", "join_fragments"]
+    alone = {k: merging.SegmentChain(steps, p) for k, p in settings.items()}
+    want = {k: [out for r in rows for out in c.push(r)] + c.flush() for k, c in alone.items()}
+    counted, count = [], merging.Limits.count
+    monkeypatch.setattr(merging.Limits, "count", lambda self, text: counted.append(text) or count(self, text))
+    many = merging.ManyChains(steps, settings, "pos")
+    got = [out for r in rows for out in many.push(r)]
+    assert len(counted) == len(rows)
+    got += many.flush()
+    assert {k: [v for n, *v in got if n == k] for k in settings} == {k: [list(v) for v in w] for k, w in want.items()}
