@@ -37,7 +37,7 @@ def _first_present(item: Column, names: tuple[str, ...], make) -> Column:
     return value
 
 
-def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_transcripts(spark: SparkSession, path: str, recursive: bool = False, packed: bool = False) -> DataFrame:
     """Recogniser output, one JSON document per transcript, in either shape.
 
     An object has ``segments`` with times in seconds; segments without numeric
@@ -45,14 +45,23 @@ def read_transcripts(spark: SparkSession, path: str, recursive: bool = False) ->
     seconds below 100000 and milliseconds from there on, tested per field;
     empty text is kept as ''. ``begin`` and ``sentence`` are accepted for
     ``start`` and ``text``.
+
+    ``packed``: files hold many documents, one per line after its name and a tab
+    (:func:`cueline.sources.writers.write_packed`), so that the number of files
+    does not grow with the number of transcripts. The name is the source file.
     """
-    reader = spark.read.option("recursiveFileLookup", recursive).option("wholetext", True).text(path)
+    reader = spark.read.option("recursiveFileLookup", recursive).option("wholetext", not packed).text(path)
+    name = F.col("_metadata.file_path")
+    if packed:
+        name = F.substring_index("value", "\t", 1)
+        reader = reader.select(name.alias("name"), F.substr("value", F.length(name) + 2).alias("value"))
+        name = F.col("name")
     # Each segment is a variant of its own: one for the document would be NULL above a size limit.
     bare = F.col("value").rlike(r"^\s*\[")
     parsed = F.from_json("value", "struct<duration:variant,segments:array<variant>>")
     docs = reader.select(
-        file_id(F.col("_metadata.file_path")).alias("transcript_id"),
-        F.col("_metadata.file_path").alias("source_file"),
+        file_id(name).alias("transcript_id"),
+        name.alias("source_file"),
         bare.alias("bare"),
         F.when(~bare, parsed).alias("doc"),
         F.when(bare, F.from_json("value", "array<variant>")).alias("in_array"),

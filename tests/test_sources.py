@@ -154,3 +154,17 @@ def test_document_in_part_files(spark, tmp_path):
         back = read(spark, path, suffix="txt", folders=True).orderBy("start_ms").collect()
         assert [(r["index"], r.start_ms, r.end_ms, r.text) for r in back] == [(i + 1, i * 1000 - 200, i * 1000 + 500, f"line {i}") for i in range(40)]
         assert {r.file_id for r in back} == {"transcript_id=7"}
+
+
+def test_many_documents_in_few_files(spark, tmp_path):
+    """Neither packed transcripts nor reports take a file per document."""
+    from pathlib import Path
+
+    docs = spark.range(300).coalesce(2).withColumn("value", F.format_string('[{"start":1,"end":2,"text":"a b %d"}]', "id"))
+    writers.write_packed(docs, str(tmp_path / "t"), F.format_string("folder/%d.json", "id"))
+    rows = readers.read_transcripts(spark, str(tmp_path / "t"), packed=True).collect()
+    assert {(r.transcript_id, r.seg_idx, r.start_ms, r.text, r.source_file) for r in rows} == {(str(i), 0, 1000, f"a b {i}", f"folder/{i}.json") for i in range(300)}
+    reports = spark.range(300).coalesce(2).select(F.col("id").cast("string").alias("version_key"), F.lit(80.0).alias("overall_score"))
+    writers.write_reports(reports, str(tmp_path / "r"))
+    assert {r.version_key for r in readers.read_reports(spark, str(tmp_path / "r")).collect()} == {str(i) for i in range(300)}
+    assert len(list(Path(tmp_path).glob("*/**/part-*"))) == 4
