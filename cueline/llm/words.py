@@ -1,9 +1,10 @@
 """Words of Arrow text columns as numpy arrays, shared by the operators on words.
 
 A word is a maximal run of bytes of one class. All words of a slice of rows are
-found and hashed at once: with ``p`` a byte's place in the slice, the running
-sum of ``T[byte] * R**p`` modulo 2**64 gives every word's polynomial hash as a
-difference of two entries, divided by ``R**start``.
+found and hashed at once. Short words are gathered eight bytes at a time and mixed. For
+long ones, with ``p`` a byte's place in the slice, the running sum of
+``T[byte] * R**p`` modulo 2**64 gives every word's polynomial hash as a difference of
+two entries, divided by ``R**start``.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ _R_INVERSE = pow(_R, -1, 1 << 64)
 #: ``T(byte)``: the byte times the first, plus the second, its upper half mixed into the lower. Arithmetic is faster than a table.
 _SPREAD, _SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes of a word that is hashed eight bytes at a time, words that are at a time, and what is kept of eight bytes by length.
+_SHORT, _WORDS = 32, 1 << 14
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: Lower case for A-Z, all other bytes as they are.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -113,6 +117,44 @@ def _hash_piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (sums[ends] - sums[starts]) * _power(_R_INVERSE, len(data) + 1)[starts]
 
 
+def _chain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of words of any length, by a running sum over all bytes."""
+    hashes, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        origin = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, origin + _PIECE, "right")))
+        until = int(ends[last - 1])
+        hashes[first:last] = _hash_piece(data[origin:until], starts[first:last] - origin, ends[first:last] - origin)
+        first = last
+    return mix(hashes)
+
+
+def _hashes(padded: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of every word; ``padded`` is the data and eight bytes more.
+
+    Words of up to ``_SHORT`` bytes take eight bytes at a time, which the length and a chain of mixes tell apart.
+    """
+    octets = np.ndarray(len(padded) - 7, np.dtype("<u8"), padded, strides=(1,))
+    hashes = np.empty(len(starts), np.uint64)
+    for first in range(0, len(starts), _WORDS):
+        begin, sizes = starts[first : first + _WORDS], ends[first : first + _WORDS] - starts[first : first + _WORDS]
+        found = hashes[first : first + _WORDS]
+        found[:] = mix((octets[begin] & _MASKS.take(sizes, mode="clip")) + sizes.astype(np.uint64) * np.uint64(_R))
+        rest, done = np.flatnonzero((sizes > 8) & (sizes <= _SHORT)), 8
+        while len(rest):
+            more = octets[begin[rest] + done] & _MASKS.take(sizes[rest] - done, mode="clip")
+            found[rest] = mix(found[rest] * _SPREAD + more)
+            done += 8
+            rest = rest[sizes[rest] > done]
+    long = np.flatnonzero(ends - starts > _SHORT)
+    if len(long):  # only their bytes are walked
+        sizes = ends[long] - starts[long]
+        after = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(padded[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist())), np.uint8)
+        hashes[long] = _chain(data, after - sizes, after)
+    return hashes
+
+
 def words_of(column: pa.Array, is_word: np.ndarray = NON_SPACE, fold: np.ndarray = FOLD) -> Words:
     """All words of a string column; equal words (after ``fold``) have equal hashes."""
     data, rows = text_bytes(column)
@@ -126,14 +168,8 @@ def words_of(column: pa.Array, is_word: np.ndarray = NON_SPACE, fold: np.ndarray
     inner = inner[(edge[inner] == 1) & (edge[inner + 1] == 1)]
     if len(inner):  # one row's last word touches the next row's first
         starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
-    folded, hashes, first = np.frombuffer(raw.translate(fold.tobytes()), np.uint8), np.empty(len(starts), np.uint64), 0
-    while first < len(starts):
-        origin = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, origin + _PIECE, "right")))
-        until = int(ends[last - 1])
-        hashes[first:last] = _hash_piece(folded[origin:until], starts[first:last] - origin, ends[first:last] - origin)
-        first = last
-    return Words(data, starts, ends, mix(hashes), np.searchsorted(starts, rows, "left"))
+    hashes = _hashes(raw.translate(fold.tobytes()) + bytes(8), starts, ends)
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, rows, "left"))
 
 
 def shingles_of(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -407,3 +407,19 @@ def test_a_row_that_repeats_does_not_fill_the_sample(spark):
     rows = [(1, "one and the same text.")] * 400 + [(i, f"text number {i} of the others.") for i in range(2, 40)]
     sample = quality._sample(spark.createDataFrame(rows, "doc_id long, text string"), len(rows), 1_000)
     assert sample.num_rows == 39 and len(set(sample.column("place").to_pylist())) == 39
+
+
+def test_lines_are_counted_without_splitting_texts(spark):
+    given = [(1, None), (2, ""), (3, "\n"), (4, "a\n\nb\n"), (5, "é\n漢\r\n😀"), (6, "no end")]
+    found = lines.decide(spark.createDataFrame(given, "doc_id long, text string"))
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.n_lines for r in found.collect()} == {i: 0 if t is None else t.count("\n") + 1 for i, t in given}
+
+
+def test_words_of_every_length_have_hashes_of_their_own():
+    from cueline.llm.words import words_of
+
+    given = ["\0" * n for n in range(1, 70)] + ["ab"[n % 2] + "x" * n for n in range(70)] + ["x" * n + "yz"[n % 2] for n in range(70)]
+    one = words_of(pa.array([" ".join(given)])).hashes
+    assert len(set(one.tolist())) == len(set(given))
+    assert (one == words_of(pa.array(given)).hashes).all() and (one == words_of(pa.array([t.upper() for t in given])).hashes).all()
