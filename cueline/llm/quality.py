@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ FALSE_ALARMS, PRIOR_WEIGHT = 0.002, 0.2
 WIDTH, RUN = 2_048, 5
 #: Runs that say nothing, added to every text: short texts give little evidence.
 SMOOTHING = 64
+#: Features that are scaled at a time.
+_COLUMNS = 64
 
 #: Classes of bytes: lower letters, capitals, digits, blanks, line ends, marks of sentences, "!", symbols, other letters.
 _LOWER, _CAPITAL, _DIGIT, _BLANK, _LINE, _MARK, _SHOUT, _SYMBOL, _OTHER = range(9)
@@ -208,12 +211,8 @@ def _squashed(figures: Shares) -> np.ndarray:
     return np.where(figures.n_words[:, None] >= least, scaled, -0.5)
 
 
-def train_scorer(frequencies: np.ndarray, figures: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Scorer:
+def train_scorer(design: np.ndarray, scale: np.ndarray, target: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Scorer:
     """Cross entropy to the posterior labels, by gradient steps over all sampled rows."""
-    scale = 1 / (frequencies.std(axis=0) + 1e-3)
-    design = np.ones((len(target), WIDTH + figures.shape[1] + 1), np.float32)
-    np.multiply(frequencies, scale, out=design[:, :WIDTH], casting="same_kind")
-    design[:, WIDTH:-1] = figures
     weights, first, second = np.zeros(design.shape[1]), np.zeros(design.shape[1]), np.zeros(design.shape[1])
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(design @ weights.astype(np.float32), -60, 60)))
@@ -237,6 +236,21 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def _frequencies(features: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed features that each row has, their frequencies, and the rows' offsets; nothing is kept for absent ones."""
+    per_row = np.diff(offsets)
+    keys, counts = np.unique(np.repeat(np.arange(len(per_row)) * WIDTH, per_row) + features, return_counts=True)
+    rows = keys // WIDTH
+    shares = (counts / (per_row + SMOOTHING)[rows]).astype(np.float32)
+    return (keys % WIDTH).astype(np.uint16), shares, np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(per_row)))])
+
+
+def _pieces(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between neighbouring offsets, one row each."""
+    data, ends = values.tobytes(), (offsets * values.itemsize).tolist()
+    return pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 def _sample(docs: DataFrame, total: int, rows: int) -> pa.Table:
     """Patterns, figures and frequencies of about ``rows`` different documents, chosen by a hash; never over twice as many."""
 
@@ -244,22 +258,20 @@ def _sample(docs: DataFrame, total: int, rows: int) -> pa.Table:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, row_bytes = _parsed(part.column("text"))
-                figures, (features, offsets) = shares(words, row_bytes), hashed(words, row_bytes)
-                n, per_row = part.num_rows, np.diff(offsets)
-                counts = np.bincount(np.repeat(np.arange(n) * WIDTH, per_row) + features, minlength=n * WIDTH).reshape(n, WIDTH)
-                frequencies = (counts / (per_row + SMOOTHING)[:, None]).astype(np.float32)
+                figures = shares(words, row_bytes)
+                features, frequencies, offsets = _frequencies(*hashed(words, row_bytes))
                 arrays = [
                     part.column("place"), pa.array(_names(votes(figures)), pa.string()),
-                    pa.array([r.tobytes() for r in _squashed(figures)], pa.binary()), pa.array([r.tobytes() for r in frequencies], pa.binary()),
+                    pa.array([r.tobytes() for r in _squashed(figures)], pa.binary()), _pieces(features, offsets), _pieces(frequencies, offsets),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["place", "pattern", "figures", "frequencies"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["place", "pattern", "figures", "features", "frequencies"])
 
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     spread = 1 << 40
     chosen = docs.where("text is not null").select(place.alias("place"), "text").where(F.pmod("place", F.lit(spread)) < int(spread * min(1.0, rows / max(total, 1))))
     # Rows that repeat share their place: one of them stands for all, so that they neither fill nor change the sample.
     chosen = chosen.groupBy("place").agg(F.min("text").alias("text"))
-    return chosen.mapInArrow(run, "place bigint, pattern string, figures binary, frequencies binary").limit(2 * rows).toArrow()
+    return chosen.mapInArrow(run, "place bigint, pattern string, figures binary, features binary, frequencies binary").limit(2 * rows).toArrow()
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
@@ -271,14 +283,33 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     model = fit_labels(cast, counts)
     sample = _sample(docs, int(counts.sum()), sample_rows).sort_by("place")
     target = model.posterior(np.array([[int(v) for v in p] for p in sample.column("pattern").to_pylist()]))
-    return train_scorer(_rows(sample, "frequencies", np.float32), _rows(sample, "figures", np.float64), target)
+    return train_scorer(*_design(sample), target)
 
 
-def _rows(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    """A binary column of equally long rows as a matrix, without a copy."""
+def _values(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    """All values of a binary column, row after row, without a copy."""
     values = table.column(column).combine_chunks()
     offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-    return np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(values), -1)
+    return np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
+def _design(sample: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A row of scaled frequencies, figures and a one per sampled document, and the frequencies' scale.
+
+    The matrix is the one large array that the driver holds: it is filled from what the documents have, and scaled in place.
+    """
+    n = sample.num_rows
+    design = np.zeros((n, WIDTH + len(LABELLERS) + 1), np.float32)
+    sizes = pc.binary_length(sample.column("features")).to_numpy() // 2
+    design[np.repeat(np.arange(n), sizes), _values(sample, "features", np.uint16)] = _values(sample, "frequencies", np.float32)
+    design[:, WIDTH:-1] = _values(sample, "figures", np.float64).reshape(n, -1)
+    design[:, -1] = 1
+    scale = np.empty(WIDTH, np.float32)
+    for first in range(0, WIDTH, _COLUMNS):
+        some = design[:, first : min(first + _COLUMNS, WIDTH)]
+        scale[first : first + _COLUMNS] = 1 / (some.std(axis=0) + 1e-3)
+        some *= scale[first : first + _COLUMNS]
+    return design, scale
 
 
 def rate(docs: DataFrame, scorer: Scorer | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -409,6 +409,29 @@ def test_a_row_that_repeats_does_not_fill_the_sample(spark):
     assert sample.num_rows == 39 and len(set(sample.column("place").to_pylist())) == 39
 
 
+def test_the_sample_holds_only_what_documents_have(spark):
+    import tracemalloc
+
+    texts = [f"Document {i} says so, and {'again ' * (i % 7)}ends." for i in range(600)] + [LONG[:50_000]]
+    sample = quality._sample(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), len(texts), 1_000)
+    assert sample.num_rows == len(texts) and sample.nbytes < sample.num_rows * quality.WIDTH  # a float for every feature takes four times that
+    tracemalloc.start()
+    design, scale = quality._design(sample)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * design.nbytes
+    # The same matrix from all features of every row.
+    words, row_bytes = quality._parsed(pa.array(texts))
+    features, offsets = quality.hashed(words, row_bytes)
+    rows = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    dense = np.zeros((len(texts), quality.WIDTH))
+    np.add.at(dense, (rows, features), 1)
+    dense = (dense / (np.diff(offsets) + quality.SMOOTHING)[:, None]).astype(np.float32)
+    assert np.allclose(scale, 1 / (dense.std(axis=0) + 1e-3), rtol=1e-4)
+    plain = np.column_stack([dense * scale, quality._squashed(quality.shares(words, row_bytes)), np.ones(len(texts))]).astype(np.float32)
+    assert np.array_equal(sorted(plain.tolist()), sorted(design.tolist()))
+
+
 def test_lines_are_counted_without_splitting_texts(spark):
     given = [(1, None), (2, ""), (3, "\n"), (4, "a\n\nb\n"), (5, "é\n漢\r\n😀"), (6, "no end")]
     found = lines.decide(spark.createDataFrame(given, "doc_id long, text string"))
