@@ -28,8 +28,9 @@ def strip(text: Column) -> Column:
 
 
 def counted(text: Column, count_class: str) -> Column:
-    """Number of characters in the counted class."""
-    return F.regexp_count(text, F.lit(count_class))
+    """Number of characters in the counted class: what is missing once runs of it are
+    taken out, which makes no value for each of them."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{count_class})+", ""))
 
 
 def speed(chars: Column, duration_ms: Column, when_zero: float = 999.0) -> Column:

@@ -84,7 +84,8 @@ def reading_speed(params: SubtitleParams) -> Column:
 def line_shape(params: SubtitleParams) -> Column:
     """Number of lines and counted characters of each line."""
     lines = F.split("text", "\n")
-    lengths = F.transform(lines, lambda t: counted(t, params.count_class))
+    several = F.transform(lines, lambda t: counted(t, params.count_class))
+    lengths = F.when(F.col("text").contains("\n"), several).otherwise(F.array("chars"))
     return family(
         when(F.size(lines) > params.max_lines, "too_many_lines", "warning", F.size(lines)),
         each(F.filter(lengths, lambda n: n > params.max_chars), "line_too_long", "warning", as_value=True),
@@ -147,11 +148,11 @@ def with_segment_context(
     return measured(with_previous(df, keys, pos, **options), params)
 
 
-def timing_family(params: SubtitleParams, rules: Rules = Rules()) -> Column:
+def timing_family(params: SubtitleParams, rules: Rules = Rules(), places: bool = True) -> Column:
     """All checks of the timing score, on rows from :func:`with_entry_context`."""
     return family(
         display_duration(params), reading_speed(params), line_shape(params), gap_to_previous(params),
-        text_quality(params), word_level(params, rules), overlap_with_next(),
+        text_quality(params), word_level(params, rules, places=places), overlap_with_next(),
     )
 
 
@@ -224,13 +225,17 @@ def match_positions(text: Column, matches: Column) -> Column:
     return F.aggregate(matches, start, locate, lambda acc: acc["found"])
 
 
-def word_patterns(params: SubtitleParams) -> Column:
-    """Stutters, filler sounds and confusable phrases; the value is the position."""
+def word_patterns(params: SubtitleParams, places: bool = True) -> Column:
+    """Stutters, filler sounds and confusable phrases; the value is the position.
+
+    Without ``places`` the issues have neither value nor detail, which is all that
+    scores need: finding a position costs a walk over the text per match."""
 
     def hits(pattern: str, name: str) -> Column:
+        if not places:
+            return F.array_repeat(issue(f"word_level_{name}", "warning"), F.regexp_count("text", F.lit(pattern)))
         found = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-        places = match_positions(F.col("text"), found)
-        return F.zip_with(found, places, lambda m, at: issue(f"word_level_{name}", "warning", at, m))
+        return F.zip_with(found, match_positions(F.col("text"), found), lambda m, at: issue(f"word_level_{name}", "warning", at, m))
 
     parts = [hits(pattern, name) for pattern, name in params.word_checks]
     return F.concat(*parts) if parts else no_issues()
@@ -260,13 +265,13 @@ def word_disambiguation(rules: Rules, distinct: bool = False) -> Column:
     return F.when(F.size(once) > 0, repeated).otherwise(no_issues())
 
 
-def word_level(params: SubtitleParams, rules: Rules = Rules(), custom: Sequence[tuple[str, str]] = (), distinct: bool = False) -> Column:
-    return family(word_corrections(rules, custom), word_disambiguation(rules, distinct), word_patterns(params))
+def word_level(params: SubtitleParams, rules: Rules = Rules(), custom: Sequence[tuple[str, str]] = (), distinct: bool = False, places: bool = True) -> Column:
+    return family(word_corrections(rules, custom), word_disambiguation(rules, distinct), word_patterns(params, places))
 
 
 def word_level_score(df: DataFrame, params: SubtitleParams, rules: Rules, custom: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Per entry: words, criticals, warnings and max(0, 100 − 10c − 3w)."""
-    rows = df.withColumn("_found", word_level(params, rules, custom))
+    rows = df.withColumn("_found", word_level(params, rules, custom, places=False))
     rows = rows.withColumns(
         {
             "n_words": F.size(tokens(F.col("text"), rules.dictionary)),
@@ -284,6 +289,7 @@ def content_family(
     words: bool = True,
     overlaps: bool = True,
     extra: Sequence[Column] = (),
+    places: bool = True,
 ) -> Column:
     """All checks of the content score, on rows from :func:`with_entry_context`.
 
@@ -303,7 +309,7 @@ def content_family(
         contextual_hits(body, F.col("context"), rules),
     ]
     if words:
-        parts.append(word_level(params, rules))
+        parts.append(word_level(params, rules, places=places))
     if overlaps:
         parts.append(overlap_with_next())
     return family(*parts, *extra)

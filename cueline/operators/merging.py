@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,21 +50,22 @@ class Limits:
 
     def __init__(self, params: SubtitleParams):
         self.params = params
-        self._counted = re.compile(params.count_class)
-        self._closing = re.compile(char_class(params.sentence_end) + "$")
+        # a class stands for one character, so the lengths of its runs add up to the number of matches
+        self._counted = re.compile(f"(?:{params.count_class})+")
+        self._closing = frozenset(params.sentence_end)
         self.split_at = re.compile(char_class(params.split_marks))
         self.max_ms = params.max_display_s * 1000
         self.min_ms = params.min_display_s * 1000
         self.capacity, self.max_speed = params.capacity, params.max_speed
 
     def count(self, text: str) -> int:
-        return len(self._counted.findall(text))
+        return sum(map(len, self._counted.findall(text)))
 
     def seg(self, start: int, end: int, text: str, rows: tuple[int, ...]) -> Seg:
         return Seg(start, end, text, rows, self.count(text))
 
     def closes_sentence(self, text: str) -> bool:
-        return bool(text) and bool(self._closing.search(text.strip()))
+        return text.strip()[-1:] in self._closing
 
     def rate(self, chars: int, length_ms: int) -> float:
         return chars / (length_ms / 1000) if length_ms > 0 else 0
@@ -101,48 +102,43 @@ class JoinShort(Step):
     """
 
     def __init__(self, limits: Limits):
-        self.limits, self.now = limits, None
+        self.limits, self.rows = limits, []
 
     def push(self, seg):
-        lim, now = self.limits, self.now
-        text = seg.text.strip()
-        if len(text) != len(seg.text):
-            seg = seg._replace(text=text)
-        if now is None:
-            self.now = seg
-            return []
-        span, chars = seg.end - now.start, now.chars + seg.chars
-        fits = (
-            seg.start - now.end <= MAX_JOIN_GAP_MS
-            and chars <= lim.capacity
-            and span <= lim.max_ms
-            and lim.rate(chars, span) <= lim.max_speed
-        )
-        if fits and not self._complete():
-            self.now = now.joined(seg)
-            return []
-        self.now = seg
-        return [self._closed(now)]
+        start, end, text, rows, chars = seg
+        lim, text = self.limits, text.strip()
+        if self.rows:
+            span, total = end - self.start, self.chars + chars
+            fits = (
+                total <= lim.capacity
+                and start - self.end <= MAX_JOIN_GAP_MS
+                and span <= lim.max_ms
+                and lim.rate(total, span) <= lim.max_speed
+            )
+            if fits and not self._complete():
+                self.end, self.chars = end, total
+                self.parts.append(text)
+                self.rows += rows
+                return []
+        released = self.flush()
+        self.start, self.end, self.chars, self.parts, self.rows = start, end, chars, [text], [*rows]
+        return released
 
     def _complete(self):
-        now, lim = self.now, self.limits
+        lim, length = self.limits, self.end - self.start
         return (
-            now.chars >= 4
-            and now.length >= lim.min_ms
-            and lim.rate(now.chars, now.length) <= lim.max_speed
-            and lim.closes_sentence(now.text)
+            self.chars >= 4
+            and length >= lim.min_ms
+            and lim.rate(self.chars, length) <= lim.max_speed
+            and lim.closes_sentence("".join(self.parts))
         )
 
-    @staticmethod
-    def _closed(seg):
-        return seg._replace(text=seg.text.strip())
-
     def flush(self):
-        return [self._closed(self.now)] if self.now else []
+        return list(self.held)
 
     @property
     def held(self):
-        return (self.now,) if self.now else ()
+        return (Seg(self.start, self.end, "".join(self.parts), tuple(self.rows), self.chars),) if self.rows else ()
 
 
 class SplitLong(Step):
@@ -335,18 +331,20 @@ class SegmentChain(Fold):
         self.steps = [STEPS[n](self.limits) for n in names]
         self.pos = pos
         self.newest = -math.inf
+        self.first_orders = isinstance(self.steps[0], InStartOrder)
 
     def push(self, row):
         return self.take(self.segment(row))
 
     def segment(self, row) -> Seg:
-        return self.limits.seg(row["start_ms"], row["end_ms"], row["text"], (row[self.pos],))
+        text = row["text"]
+        return Seg(row["start_ms"], row["end_ms"], text, (row[self.pos],), self.limits.count(text))
 
     def take(self, seg: Seg) -> list[tuple]:
         """Pass a segment on. What waits for its order is looked at when the first step releases something."""
         self.newest = seg.start
         segs = self.steps[0].push(seg)
-        if isinstance(self.steps[0], InStartOrder):
+        if self.first_orders:
             segs = segs + self.steps[0].release(self._floor(0))
         return self._through(segs, 1) if segs else []
 
@@ -403,7 +401,7 @@ def run_steps(
         rows, keys, pos, total, lambda key: SegmentChain(names, params, pos), SEGMENT_FIELDS,
         name="segments", **options,
     )
-    return _renumber(folded, keys)
+    return _numbered(folded, keys)
 
 
 class ManyChains(Fold):
@@ -451,8 +449,19 @@ def run_settings(
     return _renumber(folded, ["param_id", *keys])
 
 
+def _numbered(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Positions of the results of a fold whose ``_seq`` counts the results of a block
+    from 0: only block sizes are added up, no row is ranked again."""
+    sizes = folded.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_n").over(whole.orderBy("_block")) - F.col("_n")
+    offsets = sizes.select(*keys, "_block", before.alias("_before"), F.sum("_n").over(whole).alias("n_rows"))
+    rows = folded.join(offsets, [*keys, "_block"]).withColumn("pos", F.col("_before") + F.col("_seq"))
+    return rows.select(*keys, *[f.name for f in SEGMENT_FIELDS], "n_rows", "pos")
+
+
 def _renumber(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positions of the results in the order in which the steps released them."""
+    """Positions of the results of each setting in the order in which the steps released them."""
     return dense_position(folded, keys, ["_block"], ["_seq"], "pos", "n_rows").drop("_block", "_seq")
 
 

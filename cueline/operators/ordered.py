@@ -287,6 +287,14 @@ def ordered_fold(
         size, warmup = size * 16, warmup * 16
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values; the common types without a scalar object for each value."""
+    kind = column.type
+    if pa.types.is_string(kind) or (not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind))):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _block_runner(keys, pos, total, make_fold, arrow_schema, width):
     blanks = (None,) * width
 
@@ -306,17 +314,18 @@ def _block_runner(keys, pos, total, make_fold, arrow_schema, width):
 
         for batch in batches:
             rows = []
-            for record in batch.to_pylist():
-                key = tuple(record[k] for k in keys)
-                group = (*key, record["_block"])
+            names, columns = batch.schema.names, [_values(c) for c in batch.columns]
+            groups = zip(*(columns[names.index(c)] for c in (*keys, "_block")))
+            for group, values in zip(groups, zip(*columns)):
+                record = dict(zip(names, values))
                 if group != current:
                     rows += leave()
-                    current, fold, own, done, seq = group, make_fold(key), False, False, 0
+                    current, fold, own, done, seq = group, make_fold(group[:-1]), False, False, 0
                 if not own and record["_home"] == record["_block"]:
                     own = True
                     rows.append((*current, "entry", repr(fold.state()), None, *blanks))
                 emitted = fold.push(record)
-                if own:
+                if own and (emitted or record[pos] == record[total] - 1):
                     if record[pos] == record[total] - 1:
                         emitted = emitted + fold.flush()
                         done = True

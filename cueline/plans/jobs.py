@@ -188,7 +188,7 @@ def measure_corpus(segments: DataFrame, keys: Sequence[str], rules: Rules = Rule
     def measure(params: SubtitleParams) -> DataFrame:
         entries = merging.transcript_to_entries(segments, keys, params)
         context = checks.with_entry_context(entries, keys, "pos", params=params)
-        scores = scoring.timing_score(context, keys, checks.timing_family(params, rules))
+        scores = scoring.timing_score(context, keys, checks.timing_family(params, rules, places=False))
         return scores.agg(
             F.avg("score").alias("overall_score"), F.sum("critical_count").alias("critical_issue_count"),
             F.sum("warning_count").alias("warning_count"), F.lit(0).alias("subtitle_fragment_count"),

@@ -104,12 +104,12 @@ _PLAIN = "select transcript_id, total_entries, critical_count, warning_count, sc
 
 @query("timing_scores", O.with_(*BASE, TIMING_ISSUES, TIMING_SCORE) + _PLAIN + " from timing_score")
 def timing_scores(spark, sf):
-    return scoring.timing_score(C.entries(spark, sf), KEY, C.timing(spark))
+    return scoring.timing_score(C.entries(spark, sf), KEY, checks.timing_family(LATIN, C.latin_rules(spark), places=False))
 
 
 @query("content_scores", O.with_(*BASE, CONTENT_ISSUES, CONTENT_SCORE) + _PLAIN + ", errata_error_count, accuracy_rate from content_score")
 def content_scores(spark, sf):
-    return scoring.content_score(C.entries(spark, sf), KEY, C.content(spark))
+    return scoring.content_score(C.entries(spark, sf), KEY, checks.content_family(LATIN, C.latin_rules(spark), places=False))
 
 
 @query("coverage", O.with_(O.SEGMENTS, COVERAGE) + "select * from coverage")
