@@ -86,15 +86,29 @@ def _sums() -> list[Column]:
     ]
 
 
+def _timing_result(c: Column, w: Column) -> tuple[Column, Column]:
+    return _floor0((100 - 15 * c - 2 * w).cast("double")), c == 0
+
+
+def _content_result(c: Column, w: Column, e: Column, n: Column) -> tuple[Column, Column, Column]:
+    accuracy = F.when(n > 0, (n - e) / n * 100).otherwise(F.lit(100.0))
+    score = _floor0(100 - c * 15 - F.least(w * F.lit(0.1), F.lit(15.0)))
+    return score, accuracy, (c == 0) & ~((accuracy < 99.9) & (e > 0))
+
+
+def _critical_errors(found: Column, error_types: Sequence[str]) -> Column:
+    return F.size(F.filter(found, lambda i: (i["severity"] == "critical") & i["issue_type"].isin(*error_types)))
+
+
 def timing_score(df: DataFrame, keys: Sequence[str], found: Column) -> DataFrame:
     """max(0, 100 − 15 criticals − 2 warnings) per key; passed without criticals."""
-    c, w = F.col("critical_count"), F.col("warning_count")
+    score, passed = _timing_result(F.col("critical_count"), F.col("warning_count"))
     return (
         df.withColumn("_found", found)
         .select(*keys, *[v.alias(k) for k, v in _counts(F.col("_found")).items()])
         .groupBy(*keys)
         .agg(*_sums())
-        .withColumns({"score": _floor0((100 - 15 * c - 2 * w).cast("double")), "passed": c == 0})
+        .withColumns({"score": score, "passed": passed})
     )
 
 
@@ -107,19 +121,33 @@ def content_score(
     critical issues of ``error_types`` against the number of entries; below
     99.9 % with any such error fails.
     """
-    critical_errors = F.filter(F.col("_found"), lambda i: (i["severity"] == "critical") & i["issue_type"].isin(*error_types))
     c, w, n, e = (F.col(x) for x in ("critical_count", "warning_count", "total_entries", "errata_error_count"))
-    accuracy = F.when(n > 0, (n - e) / n * 100).otherwise(F.lit(100.0))
+    score, accuracy, passed = _content_result(c, w, e, n)
     return (
         df.withColumn("_found", found)
-        .select(*keys, *[v.alias(k) for k, v in _counts(F.col("_found")).items()], F.size(critical_errors).alias("_e"))
+        .select(*keys, *[v.alias(k) for k, v in _counts(F.col("_found")).items()], _critical_errors(F.col("_found"), error_types).alias("_e"))
         .groupBy(*keys)
         .agg(*_sums(), F.sum("_e").alias("errata_error_count"))
-        .withColumns({"score": _floor0(100 - c * 15 - F.least(w * F.lit(0.1), F.lit(15.0))), "accuracy_rate": accuracy})
-        .withColumn("passed", (c == 0) & ~((F.col("accuracy_rate") < 99.9) & (e > 0)))
+        .withColumns({"score": score, "accuracy_rate": accuracy, "passed": passed})
     )
 
 
+def entry_scores(
+    df: DataFrame, keys: Sequence[str], timing: Column, content: Column, error_types: Sequence[str] = CONTENT_ERROR_TYPES
+) -> DataFrame:
+    """:func:`timing_score` and :func:`content_score` in one pass of the entries, as
+    ``content_score, accuracy_rate, content_passed, timing_score, timing_passed`` and the
+    counts ``_cc, _cw, _tc, _tw``. What both families check is evaluated once."""
+    counts = {f"_{name}{k[1:]}": v for name, col in (("c", "_content"), ("t", "_timing")) for k, v in _counts(F.col(col)).items()}
+    rows = df.select(*keys, timing.alias("_timing"), content.alias("_content"))
+    rows = rows.select(*keys, *[v.alias(k) for k, v in counts.items()], _critical_errors(F.col("_content"), error_types).alias("_e"))
+    rows = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(k).alias(k) for k in (*counts, "_e")])
+    of_content = _content_result(F.col("_cc"), F.col("_cw"), F.col("_e"), F.col("_n"))
+    of_timing = _timing_result(F.col("_tc"), F.col("_tw"))
+    names = ("content_score", "accuracy_rate", "content_passed", "timing_score", "timing_passed")
+    return rows.select(*keys, *counts, *[v.alias(k) for k, v in zip(names, (*of_content, *of_timing))])
+
+
 def coverage(df: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """Span, covered time and text density of each transcript."""
     length = F.col("end_ms") - F.col("start_ms")
@@ -247,13 +275,12 @@ def audio_score(
     )
 
 
-def combined_iteration(content: DataFrame, timing: DataFrame, alignment: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """0.40 content + 0.35 alignment + 0.25 timing; all must pass."""
+def combined_iteration(entries: DataFrame, alignment: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """0.40 content + 0.35 alignment + 0.25 timing; all must pass. ``entries`` come from
+    :func:`entry_scores`, ``alignment`` from :func:`alignment_report`."""
     keys = list(keys)
-    c = content.select(*keys, F.col("score").alias("content_score"), "accuracy_rate", F.col("passed").alias("content_passed"), F.col("critical_count").alias("_cc"), F.col("warning_count").alias("_cw"))
-    t = timing.select(*keys, F.col("score").alias("timing_score"), F.col("passed").alias("timing_passed"), F.col("critical_count").alias("_tc"), F.col("warning_count").alias("_tw"))
     a = alignment.select(*keys, "alignment_score", F.col("passed").alias("alignment_passed"), "publishing_ready", F.col("critical_count").alias("_ac"), F.col("warning_count").alias("_aw"))
-    rows = c.join(t, keys).join(a, keys)
+    rows = entries.join(a, keys)
     return rows.select(
         *keys, "content_score", "timing_score", "alignment_score", "accuracy_rate",
         "content_passed", "timing_passed", "alignment_passed", "publishing_ready",

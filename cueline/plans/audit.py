@@ -29,7 +29,7 @@ def single_iteration(
     entries: DataFrame, segments: DataFrame, keys: Sequence[str], params: SubtitleParams, standard: SubtitleParams = PUBLISHING, rules: Rules = Rules()
 ) -> DataFrame:
     """Content, timing and alignment scores of each transcript, combined."""
-    timing = scoring.timing_score(entries, keys, checks.timing_family(params, rules))
-    content = scoring.content_score(entries, keys, checks.content_family(params, rules))
+    timing, content = (make(params, rules, places=False) for make in (checks.timing_family, checks.content_family))
+    scores = scoring.entry_scores(entries, keys, timing, content)
     aligned = scoring.alignment_report(segments, keys, checks.alignment_family(params, standard), params)
-    return scoring.combined_iteration(content, timing, aligned, keys)
+    return scoring.combined_iteration(scores, aligned, keys)
