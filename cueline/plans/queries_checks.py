@@ -289,7 +289,9 @@ def single_line_issues(spark, sf):
     _DOC.format("line_too_long", "warning", O.letters("line"), "(select doc_id, unnest(string_split(text, chr(10))) as line from documents)", f"{O.letters('line')} > 42"),
 ))
 def line_shape_issues(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", F.inline(checks.line_shape(LATIN))).drop("detail")
+    rows = checks.measured(X.table(spark, sf, "documents").select("doc_id", "text"), LATIN)
+    return rows.select("doc_id", F.inline(checks.line_shape(LATIN))).drop("detail")
+
 
 _aligned("alignment_issues", ALIGNMENT, lambda: checks.alignment_family(LATIN, LATIN_PUBLISHING))
 

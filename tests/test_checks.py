@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cueline.operators import audio, checks, scoring, topics
 from cueline.operators.rules import Rules
 from cueline.params import PUBLISHING, SubtitleParams, TopicParams
+from cueline.plans import queries_checks
 
 KEY = ["transcript_id"]
 P = SubtitleParams()
@@ -36,6 +37,17 @@ def test_timing_checks(spark):
     ]
 
 
+def test_line_shape_of_documents(spark, tmp_path):
+    texts = ["a" * 43, "short", "b" * 44 + "\nshort\n" + "c" * 45, "a1 " * 42 + "\n", "\n", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries_checks.line_shape_issues(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "issue_type", "severity", "value"]
+    assert sorted((r.doc_id, r.issue_type, r.value) for r in got.collect()) == [
+        (0, "line_too_long", 43.0), (2, "line_too_long", 44.0), (2, "line_too_long", 45.0), (2, "too_many_lines", 3.0),
+        (3, "too_many_lines", 2.0), (4, "too_many_lines", 2.0),
+    ]
+
+
 def test_text_checks(spark):
     rows = [(0, 2000, "這是,第一行\n第二行"), (2000, 4000, "一二三四五六七八九"), (4000, 6000, "的确不"), (6000, 8000, "那个那个嗯嗯嗯嗯 wrongword the")]
     family = checks.family(
