@@ -51,6 +51,19 @@ def family(*parts: Column) -> Column:
     return F.concat(*[p.cast(ISSUE) for p in parts])
 
 
+Check = tuple[Column, str, str, Column]
+"""When an issue is found, its type, its severity and its value."""
+
+
+def every(checks: Sequence[Check]) -> Column:
+    return family(*[when(*check) for check in checks])
+
+
+def how_many(checks: Sequence[Check]) -> Column:
+    """The number of issues of these checks in a row, without an array of them."""
+    return sum((F.when(condition, 1).otherwise(0) for condition, *_ in checks), F.lit(0))
+
+
 def measured(df: DataFrame, params: SubtitleParams) -> DataFrame:
     """Add ``body`` and ``chars``, so that no check evaluates them again."""
     return df.withColumns({"body": strip(F.col("text")), "chars": counted(F.col("text"), params.count_class)})
@@ -319,49 +332,65 @@ def content_family(
 
 
 def segment_duration() -> Column:
+    return every(_segment_duration())
+
+
+def _segment_duration() -> list[Check]:
     length = _length_ms()
-    return family(
-        when(length <= 0, "zero_or_negative_duration", "critical", length),
-        when((length > 0) & (length < 500), "too_short_segment", "warning", length),
-    )
+    return [
+        (length <= 0, "zero_or_negative_duration", "critical", length),
+        ((length > 0) & (length < 500), "too_short_segment", "warning", length),
+    ]
 
 
 def continuity() -> Column:
     """Overlap, large and moderate gaps to the previous segment in time order."""
+    return every(_continuity())
+
+
+def _continuity() -> list[Check]:
     gap = F.col("gap_ms")
     known = gap.isNotNull()
-    return family(
-        when(known & (gap < 0), "timestamp_overlap", "critical", -gap),
-        when(known & (gap > 2000), "large_gap", "info", gap),
-        when(known & (gap > 500) & (gap <= 2000), "moderate_gap", "info", gap),
-    )
+    return [
+        (known & (gap < 0), "timestamp_overlap", "critical", -gap),
+        (known & (gap > 2000), "large_gap", "info", gap),
+        (known & (gap > 500) & (gap <= 2000), "moderate_gap", "info", gap),
+    ]
 
 
 def speaking_speed(params: SubtitleParams) -> Column:
+    return every(_speaking_speed(params))
+
+
+def _speaking_speed(params: SubtitleParams) -> list[Check]:
     chars = F.col("chars")
     rate = speed(chars, _length_ms(), 0.0)
     known = (chars > 0) & (_length_ms() > 0)
-    return family(
-        when(known & (rate > 12), "impossible_speaking_speed", "critical", rate),
-        when(known & (rate > 8) & (rate <= 12), "fast_speaking_speed", "warning", rate),
-        when(known & (rate < 1) & (chars > 3), "slow_speaking_speed", "info", rate),
-    )
+    return [
+        (known & (rate > 12), "impossible_speaking_speed", "critical", rate),
+        (known & (rate > 8) & (rate <= 12), "fast_speaking_speed", "warning", rate),
+        (known & (rate < 1) & (chars > 3), "slow_speaking_speed", "info", rate),
+    ]
 
 
 def publishing(params: SubtitleParams = PUBLISHING) -> Column:
+    return every(_publishing(params))
+
+
+def _publishing(params: SubtitleParams) -> list[Check]:
     length = _length_ms() / 1000
     chars = F.col("chars")
     rate = speed(chars, _length_ms(), 0.0)
     gap = F.col("gap_ms")
     known = gap.isNotNull()
-    return family(
-        when(length < params.min_display_s, "subtitle_too_short", "critical", length),
-        when(length > params.max_display_s, "subtitle_too_long", "warning", length),
-        when(chars > params.capacity, "subtitle_text_too_long", "warning", chars),
-        when(rate > params.max_speed, "reading_speed_exceeded", "warning", rate),
-        when(known & (gap < -500), "subtitle_overlap", "critical", -gap),
-        when(known & (gap >= -500) & (gap < 0), "subtitle_minor_overlap", "info", -gap),
-    )
+    return [
+        (length < params.min_display_s, "subtitle_too_short", "critical", length),
+        (length > params.max_display_s, "subtitle_too_long", "warning", length),
+        (chars > params.capacity, "subtitle_text_too_long", "warning", chars),
+        (rate > params.max_speed, "reading_speed_exceeded", "warning", rate),
+        (known & (gap < -500), "subtitle_overlap", "critical", -gap),
+        (known & (gap >= -500) & (gap < 0), "subtitle_minor_overlap", "info", -gap),
+    ]
 
 
 def interruption(params: SubtitleParams) -> Column:
@@ -394,18 +423,25 @@ def interruptions(df: DataFrame, keys: Sequence[str], params: SubtitleParams, po
 
 
 def interruption_issues(params: SubtitleParams) -> Column:
+    return every(_interruption_issues(params))
+
+
+def _interruption_issues(params: SubtitleParams) -> list[Check]:
     found = interruption(params)
-    return when(
-        F.coalesce(~found["is_interruption"] & (found["overlap_ms"] > 500), F.lit(False)),
-        "large_overlap_not_interruption", "warning", found["overlap_ms"],
-    )
+    large = F.coalesce(~found["is_interruption"] & (found["overlap_ms"] > 500), F.lit(False))
+    return [(large, "large_overlap_not_interruption", "warning", found["overlap_ms"])]
 
 
-def alignment_family(params: SubtitleParams, standard: SubtitleParams = PUBLISHING) -> Column:
+def alignment_checks(params: SubtitleParams, standard: SubtitleParams = PUBLISHING) -> list[Check]:
     """All row checks of the alignment report, on rows with the previous row's columns."""
-    return family(
-        continuity(), segment_duration(), speaking_speed(params), interruption_issues(params), publishing(standard)
-    )
+    return [
+        *_continuity(), *_segment_duration(), *_speaking_speed(params), *_interruption_issues(params), *_publishing(standard)
+    ]
+
+
+def alignment_family(params: SubtitleParams, standard: SubtitleParams = PUBLISHING) -> Column:
+    """:func:`alignment_checks` as one array of issues."""
+    return every(alignment_checks(params, standard))
 
 
 # -- audio measurements ---------------------------------------------------------------

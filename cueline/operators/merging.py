@@ -8,9 +8,11 @@ is processed in many blocks at once.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -46,16 +48,21 @@ class Seg(NamedTuple):
 
 
 class Limits:
-    """Character counts and speed tests of one parameter set."""
+    """Character counts and speed tests of one parameter set.
+
+    ``over`` is set as soon as something was too long for ``max_ms``: until then, a larger limit would have given the same."""
+
+    over = False
 
     def __init__(self, params: SubtitleParams):
         self.params = params
         # a class stands for one character, so the lengths of its runs add up to the number of matches
         self._counted = re.compile(f"(?:{params.count_class})+")
-        self._closing = frozenset(params.sentence_end)
+        self.ends = frozenset(params.sentence_end)
         self.split_at = re.compile(char_class(params.split_marks))
         self.max_ms = params.max_display_s * 1000
         self.min_ms = params.min_display_s * 1000
+        self.shortest, self.gap = params.min_display_ms, params.min_gap_ms
         self.capacity, self.max_speed = params.capacity, params.max_speed
 
     def count(self, text: str) -> int:
@@ -65,24 +72,60 @@ class Limits:
         return Seg(start, end, text, rows, self.count(text))
 
     def closes_sentence(self, text: str) -> bool:
-        return text.strip()[-1:] in self._closing
+        return text.strip()[-1:] in self.ends
+
+    def closing(self, bodies: Sequence[str]) -> list[bool | None]:
+        """Whether each stripped text ends a sentence; None for a blank one, which leaves that as it was."""
+        return [body[-1] in self.ends if body else None for body in bodies]
 
     def rate(self, chars: int, length_ms: int) -> float:
         return chars / (length_ms / 1000) if length_ms > 0 else 0
 
+    def short_enough(self, length_ms: int) -> bool:
+        if length_ms <= self.max_ms:
+            return True
+        self.over = True
+        return False
+
     def pair_fits(self, a: Seg, b: Seg) -> bool:
         """Joined, the two stay within characters, time on screen and speed."""
         chars, length = a.chars + b.chars, b.end - a.start
         return (
             chars <= self.capacity
-            and length <= self.max_ms
+            and self.short_enough(length)
             and self.rate(chars, length) <= self.max_speed
         )
 
 
+class Rows:
+    """Consecutive rows as columns, prepared once for all settings that count the same characters."""
+
+    def __init__(self, columns: Mapping[str, list], pos: str, first: int, stop: int, limits: Limits):
+        self.start, self.end, self.text, self.place = (columns[c][first:stop] for c in ("start_ms", "end_ms", "text", pos))
+        self.body = [text.strip() for text in self.text]
+        self.chars = [limits.count(text) for text in self.text]
+        self._closing: dict[frozenset, list] = {}
+
+    def closing(self, limits: Limits) -> list[bool | None]:
+        if limits.ends not in self._closing:
+            self._closing[limits.ends] = limits.closing(self.body)
+        return self._closing[limits.ends]
+
+    def segments(self) -> Iterator[Seg]:
+        return (Seg(start, end, text, (at,), n) for start, end, text, at, n in zip(self.start, self.end, self.text, self.place, self.chars))
+
+
 class Step:
     """One stage of a chain. ``held`` lists the segments not yet released."""
 
+    limits: Limits | None = None
+
+    def under(self, limits: Limits) -> "Step":
+        """A copy in the same state that goes on under other limits."""
+        twin = copy.copy(self)
+        twin.__dict__ |= {k: v[:] for k, v in vars(self).items() if isinstance(v, list)} | {"limits": limits}
+        return twin
+
     def push(self, seg: Seg) -> list[Seg]:
         raise NotImplementedError
 
@@ -93,6 +136,11 @@ class Step:
     def held(self) -> tuple:
         return ()
 
+    @property
+    def earliest(self) -> float:
+        """The first start among the segments held."""
+        return min((s.start for s in self.held), default=math.inf)
+
 
 class JoinShort(Step):
     """Join a segment to the running one while the result stays readable.
@@ -112,7 +160,7 @@ class JoinShort(Step):
             fits = (
                 total <= lim.capacity
                 and start - self.end <= MAX_JOIN_GAP_MS
-                and span <= lim.max_ms
+                and lim.short_enough(span)
                 and lim.rate(total, span) <= lim.max_speed
             )
             if fits and not self._complete():
@@ -124,6 +172,46 @@ class JoinShort(Step):
         self.start, self.end, self.chars, self.parts, self.rows = start, end, chars, [text], [*rows]
         return released
 
+    def push_rows(self, rows: Rows) -> Iterator[Seg]:
+        """Push rows one after another; what is released comes at once, when ``start`` is that of the row pushed.
+
+        Most rows only lengthen the running segment: their texts and places are taken from the columns on release."""
+        lim, bodies, places = self.limits, rows.body, rows.place
+        capacity, max_ms, min_ms, fastest = lim.capacity, lim.max_ms, lim.min_ms, lim.max_speed
+        since = 0  # from here on, the rows of the running segment are not in ``parts`` and ``rows`` yet
+        if not self.rows:
+            self.start, self.end, self.chars, self.parts = rows.start[0], rows.end[0], rows.chars[0], [bodies[0]]
+            self.rows, since = [places[0]], 1
+        start, end, chars, closes = self.start, self.end, self.chars, lim.closes_sentence("".join(self.parts))
+        columns = (rows.start, rows.end, rows.chars, rows.closing(lim))
+        for at, (begin, upto, n, shut) in enumerate(zip(*(c[since:] for c in columns)), since):
+            total = chars + n
+            if (
+                total <= capacity
+                and begin - end <= MAX_JOIN_GAP_MS
+                and (span := upto - start) <= max_ms
+                and (total / (span / 1000) if span > 0 else 0) <= fastest
+                and not (
+                    closes
+                    and chars >= 4
+                    and (length := end - start) >= min_ms
+                    and (chars / (length / 1000) if length > 0 else 0) <= fastest
+                )
+            ):
+                end, chars = upto, total
+                if shut is not None:
+                    closes = shut
+                continue
+            if upto - start > max_ms and total <= capacity and begin - end <= MAX_JOIN_GAP_MS:
+                lim.over = True
+            done = Seg(start, end, "".join(self.parts + bodies[since:at]), (*self.rows, *places[since:at]), chars)
+            start, end, chars, closes, since = begin, upto, n, bool(shut), at + 1
+            self.start, self.parts, self.rows = begin, [bodies[at]], [places[at]]
+            yield done
+        self.end, self.chars = end, chars
+        self.parts += bodies[since:]
+        self.rows += places[since:]
+
     def _complete(self):
         lim, length = self.limits, self.end - self.start
         return (
@@ -140,16 +228,22 @@ class JoinShort(Step):
     def held(self):
         return (Seg(self.start, self.end, "".join(self.parts), tuple(self.rows), self.chars),) if self.rows else ()
 
+    @property
+    def earliest(self):
+        return self.start if self.rows else math.inf
+
 
 class SplitLong(Step):
     """Cut over-long segments after punctuation, sharing time by characters."""
 
+    earliest = math.inf
+
     def __init__(self, limits: Limits):
         self.limits = limits
 
     def push(self, seg):
         lim, text = self.limits, seg.text
-        if seg.chars <= lim.params.capacity and seg.length <= lim.max_ms:
+        if seg.chars <= lim.capacity and lim.short_enough(seg.end - seg.start):
             return [seg]
         per_char = seg.length / max(1, len(text))
         at = lambda i: seg.start + int(i * per_char)
@@ -202,6 +296,9 @@ class _Pairing(Step):
         return False
 
     def push(self, seg):
+        if not self.waiting and not self.needs_care(seg):
+            last, self.last = self.last, seg
+            return [last] if last else []
         released = []
         if self.waiting:
             held, self.waiting = self.waiting, None
@@ -225,18 +322,23 @@ class _Pairing(Step):
     def held(self):
         return tuple(s for s in (self.last, self.waiting) if s)
 
+    @property
+    def earliest(self):
+        start = self.last.start if self.last else math.inf
+        return min(start, self.waiting.start) if self.waiting else start
+
 
 class LengthenShort(_Pairing):
     """Too short to show: join back, else forward, else extend into the gap."""
 
     def needs_care(self, seg):
-        return seg.length < self.limits.params.min_display_ms
+        return seg.end - seg.start < self.limits.shortest
 
     def before_next(self, seg):
         return self.join_back(seg)
 
     def after_next(self, seg, following):
-        shortest, gap = self.limits.params.min_display_ms, self.limits.params.min_gap_ms
+        shortest, gap = self.limits.shortest, self.limits.gap
         if following is None:
             end = seg.start + shortest
         else:
@@ -283,7 +385,7 @@ class JoinFast(_Pairing):
 
     def needs_care(self, seg):
         lim = self.limits
-        return lim.rate(seg.chars, seg.length) > lim.params.max_speed
+        return lim.rate(seg.chars, seg.end - seg.start) > lim.max_speed
 
     def after_next(self, seg, following):
         if following is not None and self.join_back(seg):
@@ -295,12 +397,11 @@ class JoinFragments(_Pairing):
     """Fragments join forward, else back; those ending in an interjection try back first."""
 
     def needs_care(self, seg):
-        text, chars, params = seg.text.strip(), seg.chars, self.limits.params
-        return (
-            chars <= 3
-            or seg.length < params.min_display_ms
-            or (chars <= 5 and text[:1] in params.fragment_starters and text != "")
-        )
+        chars, lim = seg.chars, self.limits
+        if chars <= 3 or seg.end - seg.start < lim.shortest:
+            return True
+        text = seg.text.strip() if chars <= 5 else ""
+        return text != "" and text[:1] in lim.params.fragment_starters
 
     def before_next(self, seg):
         return seg.text[-1:] != "" and seg.text[-1] in self.limits.params.backward_endings and self.join_back(seg)
@@ -331,7 +432,14 @@ class SegmentChain(Fold):
         self.steps = [STEPS[n](self.limits) for n in names]
         self.pos = pos
         self.newest = -math.inf
-        self.first_orders = isinstance(self.steps[0], InStartOrder)
+        self.ordering = {i for i, step in enumerate(self.steps) if isinstance(step, InStartOrder)}
+        self.first_orders = 0 in self.ordering
+
+    def under(self, limits: Limits) -> "SegmentChain":
+        """A copy in the same state that goes on under other limits."""
+        twin = copy.copy(self)
+        twin.limits, twin.steps = limits, [step.under(limits) for step in self.steps]
+        return twin
 
     def push(self, row):
         return self.take(self.segment(row))
@@ -348,16 +456,35 @@ class SegmentChain(Fold):
             segs = segs + self.steps[0].release(self._floor(0))
         return self._through(segs, 1) if segs else []
 
+    def push_many(self, columns, first, stop):
+        return self.take_rows(Rows(columns, self.pos, first, stop, self.limits)) if first < stop else []
+
+    def take_rows(self, rows: Rows) -> list[tuple]:
+        """Pass rows on, together where the first step can take them so."""
+        out, entrance = [], self.steps[0]
+        if not isinstance(entrance, JoinShort):
+            return [made for seg in rows.segments() for made in self.take(seg)]
+        for seg in entrance.push_rows(rows):
+            self.newest = entrance.start
+            out += self._through([seg], 1)
+        self.newest = rows.start[-1]
+        return out
+
     def _through(self, segs, first):
-        for i, step in enumerate(self.steps[first:], first):
-            segs = [out for seg in segs for out in step.push(seg)]
-            if isinstance(step, InStartOrder):
+        for i in range(first, len(self.steps)):
+            step = self.steps[i]
+            if segs:
+                segs = step.push(segs[0]) if len(segs) == 1 else [out for seg in segs for out in step.push(seg)]
+            if i in self.ordering and step.queue:
                 segs = segs + step.release(self._floor(i))
-        return [self._row(s) for s in segs]
+        return self._rows(segs) if segs else []
 
     def _floor(self, at):
         """No segment still to come in front of step ``at`` starts before this."""
-        return min([self.newest, *(s.start for step in self.steps[:at] for s in step.held)])
+        floor = self.newest
+        for step in self.steps[:at]:
+            floor = min(floor, step.earliest)
+        return floor
 
     def flush(self):
         out = []
@@ -368,9 +495,37 @@ class SegmentChain(Fold):
     def state(self):
         return tuple(tuple((s.start, s.end, s.text, s.rows) for s in step.held) for step in self.steps)
 
-    @staticmethod
-    def _row(seg):
-        return (seg.start, seg.end, seg.text, list(seg.rows))
+    def _rows(self, segs: list[Seg]) -> list[tuple]:
+        return [(seg.start, seg.end, seg.text, list(seg.rows)) for seg in segs]
+
+
+class BesideChain(SegmentChain):
+    """Each result with the previous one and the start of the next, which is all that timing and
+    the checks of alignment look at. The previous text is given where the two overlap, the only place where it is read."""
+
+    before = last = None
+
+    def _rows(self, segs):
+        out = []
+        for seg in segs:
+            if self.last:
+                out.append(self._beside(seg.start))
+            self.before, self.last = self.last, seg
+        return out
+
+    def _beside(self, following):
+        seg, before = self.last, self.before
+        if before is None:
+            return (seg.start, seg.end, seg.text, seg.chars, following, None, None, None, None)
+        text = before.text if before.end > seg.start else None
+        return (seg.start, seg.end, seg.text, seg.chars, following, before.start, before.end, before.chars, text)
+
+    def flush(self):
+        out = super().flush()
+        return out + [self._beside(None)] if self.last else out
+
+    def state(self):
+        return (super().state(), tuple((s.start, s.end, s.text, s.rows) for s in (self.before, self.last) if s))
 
 
 SEGMENT_FIELDS = [
@@ -379,6 +534,15 @@ SEGMENT_FIELDS = [
     T.StructField("text", T.StringType()),
     T.StructField("source_rows", T.ArrayType(T.LongType())),
 ]
+BESIDE_FIELDS = [
+    *SEGMENT_FIELDS[:3],
+    T.StructField("chars", T.LongType()),
+    T.StructField("next_start_ms", T.LongType()),
+    T.StructField("prev_start_ms", T.LongType()),
+    T.StructField("prev_end_ms", T.LongType()),
+    T.StructField("prev_chars", T.LongType()),
+    T.StructField("prev_text", T.StringType()),
+]
 
 
 def run_steps(
@@ -404,31 +568,72 @@ def run_steps(
     return _numbered(folded, keys)
 
 
+@lru_cache(maxsize=8)
+def _bands(settings: tuple[tuple[str, SubtitleParams], ...]) -> list[list[tuple[Limits, list[str]]]]:
+    """Settings that differ at most in the time on screen: their limits, shortest time first, each with the settings' names."""
+    bands: dict[SubtitleParams, dict[float, list[str]]] = {}
+    for k, p in settings:
+        bands.setdefault(p.with_values(max_display_s=0.0), {}).setdefault(p.max_display_s, []).append(k)
+    return [[(Limits(p.with_values(max_display_s=most)), ks) for most, ks in sorted(levels.items())] for p, levels in bands.items()]
+
+
 class ManyChains(Fold):
     """The same steps under several settings over one pass of the rows.
 
-    Characters are counted once for all settings that count the same ones."""
-
-    def __init__(self, names: Sequence[str], settings: Mapping[str, SubtitleParams], pos: str):
-        self.chains = {k: SegmentChain(names, p, pos) for k, p in settings.items()}
-        self.alike: dict[str, list[tuple[str, SegmentChain]]] = {}
-        for k, p in settings.items():
-            self.alike.setdefault(p.count_class, []).append((k, self.chains[k]))
+    Characters are counted once for all settings that count the same ones. Settings that differ at most in
+    the time on screen share one chain, that of the shortest, until something is too long for it: then
+    the others go on with a copy of it from before these rows. ``together`` gives the names of all settings
+    that share a result as one list."""
+
+    def __init__(
+        self, names: Sequence[str], settings: Mapping[str, SubtitleParams], pos: str, chain: type[SegmentChain] = SegmentChain, together: bool = False
+    ):
+        self.order, self.together = list(settings), together
+        # per class of characters, chains with the settings that share them
+        self.alike: dict[str, list[tuple[SegmentChain, list[tuple[Limits, list[str]]]]]] = {}
+        for sharing in _bands(tuple(settings.items())):
+            limits = sharing[0][0]
+            self.alike.setdefault(limits.params.count_class, []).append((chain(names, limits.params, pos).under(limits), list(sharing)))
+
+    def _advance(self, chains: list, act: Callable[[SegmentChain], list[tuple]]) -> list[tuple]:
+        """Let every chain act; those that no longer hold for all their settings are parted."""
+        out, todo = [], chains[::-1]
+        chains.clear()
+        while todo:
+            chain, sharing = todo.pop()
+            before = chain.under(sharing[1][0]) if len(sharing) > 1 else None
+            chain.limits.over = False
+            made = act(chain)
+            if before and chain.limits.over:
+                todo.append((before, sharing[1:]))
+                sharing = sharing[:1]
+            chains.append((chain, sharing))
+            ks = [k for _, level in sharing for k in level]
+            out += [(ks, *values) for values in made] if self.together else [(k, *values) for k in ks for values in made]
+        return out
 
     def push(self, row):
         out = []
         for chains in self.alike.values():
-            seg = chains[0][1].segment(row)
-            for k, chain in chains:
-                if made := chain.take(seg):
-                    out += [(k, *values) for values in made]
+            seg = chains[0][0].segment(row)
+            out += self._advance(chains, lambda chain: chain.take(seg))
+        return out
+
+    def push_many(self, columns, first, stop):
+        out = []
+        for chains in self.alike.values() if first < stop else ():
+            rows = Rows(columns, chains[0][0].pos, first, stop, chains[0][0].limits)
+            out += self._advance(chains, lambda chain: chain.take_rows(rows))
         return out
 
     def flush(self):
-        return [(k, *out) for k, chain in self.chains.items() for out in chain.flush()]
+        return [made for chains in self.alike.values() for made in self._advance(chains, lambda chain: chain.flush())]
 
     def state(self):
-        return tuple(chain.state() for chain in self.chains.values())
+        states = {}
+        for chain, sharing in (c for chains in self.alike.values() for c in chains):
+            states |= dict.fromkeys((k for _, level in sharing for k in level), chain.state())
+        return tuple(states[k] for k in self.order)
 
 
 def run_settings(
@@ -449,6 +654,28 @@ def run_settings(
     return _renumber(folded, ["param_id", *keys])
 
 
+def run_settings_beside(
+    df: DataFrame,
+    keys: Sequence[str],
+    steps: Sequence[str],
+    settings: Mapping[str, SubtitleParams],
+    pos: str = "pos",
+    total: str = "n_rows",
+    **options,
+) -> DataFrame:
+    """:func:`run_settings` for a look at neighbours only: every result has the previous one and the start
+    of the next beside it, so none is ranked or shuffled again. ``pos`` orders those of a setting and key.
+    What settings share is one row, with their names in ``param_ids``."""
+    chosen, names = dict(settings), list(steps)
+    rows = df.select(*keys, pos, total, "start_ms", "end_ms", "text")
+    fields = [T.StructField("param_ids", T.ArrayType(T.StringType())), *BESIDE_FIELDS]
+    folded = ordered_fold(
+        rows, keys, pos, total, lambda key: ManyChains(names, chosen, pos, BesideChain, True), fields, name="sweep", **options
+    )
+    at = F.col("_block") * (1 << 40) + F.col("_seq")  # a number, as a struct can't be aggregated without sorting
+    return folded.select("param_ids", *keys, at.alias("pos"), *[f.name for f in BESIDE_FIELDS])
+
+
 def _numbered(folded: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Positions of the results of a fold whose ``_seq`` counts the results of a block
     from 0: only block sizes are added up, no row is ranked again."""

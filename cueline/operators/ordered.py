@@ -213,6 +213,13 @@ class Fold:
     def push(self, row: dict) -> list[tuple]:
         raise NotImplementedError
 
+    def push_many(self, columns: dict[str, list], first: int, stop: int) -> list[tuple]:
+        """What ``push`` returns for the rows from ``first`` to before ``stop``, one after another."""
+        out = []
+        for values in zip(*(c[first:stop] for c in columns.values())):
+            out += self.push(dict(zip(columns, values)))
+        return out
+
     def flush(self) -> list[tuple]:
         return []
 
@@ -314,23 +321,27 @@ def _block_runner(keys, pos, total, make_fold, arrow_schema, width):
 
         for batch in batches:
             rows = []
-            names, columns = batch.schema.names, [_values(c) for c in batch.columns]
-            groups = zip(*(columns[names.index(c)] for c in (*keys, "_block")))
-            for group, values in zip(groups, zip(*columns)):
-                record = dict(zip(names, values))
-                if group != current:
+            columns = dict(zip(batch.schema.names, map(_values, batch.columns)))
+            groups = list(zip(*(columns[c] for c in (*keys, "_block"))))
+            edges = [i for i in range(1, len(groups)) if groups[i] != groups[i - 1]]
+            for first, stop in zip([0, *edges], [*edges, len(groups)]):
+                if groups[first] != current:
                     rows += leave()
-                    current, fold, own, done, seq = group, make_fold(group[:-1]), False, False, 0
-                if not own and record["_home"] == record["_block"]:
-                    own = True
+                    current, fold, own, done, seq = groups[first], make_fold(groups[first][:-1]), False, False, 0
+                if not own:
+                    home, block = columns["_home"], current[-1]
+                    begin = next((i for i in range(first, stop) if home[i] == block), stop)
+                    fold.push_many(columns, first, begin)
+                    if begin == stop:
+                        continue
+                    first, own = begin, True
                     rows.append((*current, "entry", repr(fold.state()), None, *blanks))
-                emitted = fold.push(record)
-                if own and (emitted or record[pos] == record[total] - 1):
-                    if record[pos] == record[total] - 1:
-                        emitted = emitted + fold.flush()
-                        done = True
-                    rows += [(*current, "row", None, seq + n, *out) for n, out in enumerate(emitted)]
-                    seq += len(emitted)
+                emitted = fold.push_many(columns, first, stop)
+                if columns[pos][stop - 1] == columns[total][stop - 1] - 1:
+                    emitted = emitted + fold.flush()
+                    done = True
+                rows += [(*current, "row", None, seq + n, *out) for n, out in enumerate(emitted)]
+                seq += len(emitted)
             if rows:
                 yield pack(rows)
         rows = leave()

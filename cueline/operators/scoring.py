@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.operators.checks import interruption, severity_count, type_count
+from cueline.operators.checks import Check, how_many, interruption, severity_count, type_count
 from cueline.params import PUBLISHING, SubtitleParams
 
 # -- Fixed values: issue types and weights of the scores ------------------------------
@@ -184,31 +184,48 @@ def coverage_issues() -> Column:
 def alignment_report(
     df: DataFrame,
     keys: Sequence[str],
-    found: Column,
+    found: Column | Sequence[Check],
     params: SubtitleParams,
     pos: str = "pos",
 ) -> DataFrame:
     """Scores of the alignment report, unrounded.
 
-    ``found`` is the alignment family and ``df`` has the previous row's columns.
+    ``found`` is the alignment family, or the list of its checks, which are then
+    counted without issues being made; ``df`` has the previous row's columns.
     One grouped aggregation with map-side partial sums.
     """
-    length = F.col("end_ms") - F.col("start_ms")
+    return alignment_scores(alignment_counts(df, keys, found, params, pos), keys, pos)
+
+
+def alignment_counts(
+    df: DataFrame, keys: Sequence[str], found: Column | Sequence[Check], params: SubtitleParams, pos: str = "pos"
+) -> DataFrame:
+    """What one row adds to the alignment report."""
     gap = F.col("gap_ms")
     valid = F.coalesce(interruption(params)["is_interruption"], F.lit(False))
-    rows = df.withColumn("_found", found).select(
-        *keys, pos, "start_ms", "end_ms", "text",
-        *[v.alias(k) for k, v in _counts(F.col("_found")).items()],
-        type_count(F.col("_found"), TIMING_ERROR_TYPES).alias("_timing"),
+    if isinstance(found, Column):
+        df = df.withColumn("_found", found)
+        counts = _counts(F.col("_found")) | {"_timing": type_count(F.col("_found"), TIMING_ERROR_TYPES)}
+    else:
+        of = lambda severity: how_many([c for c in found if c[2] == severity])
+        counts = {"_c": of("critical"), "_w": of("warning"), "_timing": how_many([c for c in found if c[1] in TIMING_ERROR_TYPES])}
+    return df.select(
+        *keys, pos, "start_ms", "end_ms", F.length("text").alias("_chars"),
+        *[v.alias(k) for k, v in counts.items()],
         (gap < 0).cast("int").alias("_overlap"),
         (gap > 2000).cast("int").alias("_large"),
         valid.cast("int").alias("_valid"),
     )
+
+
+def alignment_scores(rows: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """The alignment report of rows from :func:`alignment_counts`."""
+    length = F.col("end_ms") - F.col("start_ms")
     agg = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_segments"),
         (F.max_by("end_ms", pos) - F.min("start_ms")).alias("span_ms"),
         F.sum(length).alias("text_ms"),
-        F.sum(F.length("text")).alias("total_chars"),
+        F.sum("_chars").alias("total_chars"),
         F.sum("_c").alias("critical_count"),
         F.sum("_w").alias("_row_warnings"),
         F.sum("_timing").alias("_timing"),

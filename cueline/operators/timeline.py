@@ -233,8 +233,9 @@ def adjust_timing(
 
 def limit(params: SubtitleParams | Mapping[str, SubtitleParams], name: str) -> Column:
     """A limit as a Column: one value, or one per setting looked up by ``param_id``."""
-    if isinstance(params, SubtitleParams):
-        return F.lit(getattr(params, name))
+    values = {getattr(p, name) for p in ([params] if isinstance(params, SubtitleParams) else params.values())}
+    if len(values) == 1:
+        return F.lit(values.pop())
     table = F.create_map(*[F.lit(v) for k, p in params.items() for v in (k, getattr(p, name))])
     return F.element_at(table, F.col("param_id"))
 
@@ -243,24 +244,36 @@ def _with_next_start(df: DataFrame, keys: Sequence[str], pos: str, **options) ->
     return over_neighbours(df, keys, pos, {"_next": lambda w: F.lead("start_ms").over(w)}, before=0, after=1, **options)
 
 
-def _trimmed(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams]) -> DataFrame:
+def trimmed_end(start: Column, end: Column, following: Column, params: SubtitleParams | Mapping[str, SubtitleParams]) -> Column:
+    """The end of an entry that leaves room for the gap to the next start."""
     gap = limit(params, "min_gap_ms")
-    spare = F.col("end_ms") - F.col("start_ms") - limit(params, "min_display_ms")
+    spare = end - start - limit(params, "min_display_ms")
     trim = F.when(
-        (gap > 0) & (F.col("_next") - F.col("end_ms") < gap) & (spare > 0),
+        (gap > 0) & (following - end < gap) & (spare > 0),
         F.least(F.floor(gap / 2), F.floor(spare / 2)),
     ).otherwise(F.lit(0))
-    return rows.withColumn("end_ms", (F.col("end_ms") - trim).cast("long"))
+    return (end - trim).cast("long")
+
+
+def extended_end(
+    start: Column, end: Column, chars: Column, following: Column, params: SubtitleParams | Mapping[str, SubtitleParams], guard_ms: int = 67
+) -> Column:
+    """The end of an entry that is shown longer when it reads too fast."""
+    fastest = limit(params, "max_speed")
+    fast = (chars > 0) & (speed(chars, end - start) > fastest)
+    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
+    wanted = F.least(start + needed, following - guard_ms)
+    return F.when(fast & (wanted > end), wanted).otherwise(end)
+
+
+def _trimmed(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams]) -> DataFrame:
+    return rows.withColumn("end_ms", trimmed_end(F.col("start_ms"), F.col("end_ms"), F.col("_next"), params))
 
 
 def _extended(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams], guard_ms: int) -> DataFrame:
     count_class = (params if isinstance(params, SubtitleParams) else next(iter(params.values()))).count_class
-    fastest = limit(params, "max_speed")
     chars = counted(F.col("text"), count_class)
-    fast = (chars > 0) & (speed(chars, F.col("end_ms") - F.col("start_ms")) > fastest)
-    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
-    wanted = F.least(F.col("start_ms") + needed, F.col("_next") - guard_ms)
-    return rows.withColumn("end_ms", F.when(fast & (wanted > F.col("end_ms")), wanted).otherwise(F.col("end_ms")))
+    return rows.withColumn("end_ms", extended_end(F.col("start_ms"), F.col("end_ms"), chars, F.col("_next"), params, guard_ms))
 
 
 def insert_gaps(
@@ -300,6 +313,25 @@ def finish_timing(
     return _extended(_trimmed(_with_next_start(df, keys, pos, **options), params), params, guard_ms).drop("_next")
 
 
+def finish_beside(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams] = SubtitleParams(), guard_ms: int = 67) -> DataFrame:
+    """:func:`finish_timing` where each row has the previous one beside it (``prev_start_ms, prev_end_ms, prev_chars``),
+    its own ``chars`` and ``next_start_ms``: both ends are finished in place. Adds the gap as :func:`with_previous` does."""
+    start, before, following = F.col("start_ms"), F.col("prev_start_ms"), F.col("next_start_ms")
+    rows = rows.withColumns(
+        {
+            "end_ms": trimmed_end(start, F.col("end_ms"), following, params),
+            "prev_end_ms": trimmed_end(before, F.col("prev_end_ms"), start, params),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "end_ms": extended_end(start, F.col("end_ms"), F.col("chars"), following, params, guard_ms),
+            "prev_end_ms": extended_end(before, F.col("prev_end_ms"), F.col("prev_chars"), start, params, guard_ms),
+        }
+    )
+    return rows.withColumn("gap_ms", start - F.col("prev_end_ms"))
+
+
 # -- nearest silence ------------------------------------------------------------------
 
 

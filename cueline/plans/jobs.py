@@ -107,17 +107,17 @@ def sweep(
 ) -> DataFrame:
     """Every parameter setting over the whole corpus in one job.
 
-    All settings run side by side over one pass of the rows; the setting is part
-    of the key of every later step. Gives one row per setting with mean scores
-    and summed issues.
+    All settings run side by side over one pass of the rows, which leaves each entry with
+    its neighbours beside it: timing, checks and counts need no further order. The setting is
+    part of the key of the report. Gives one row per setting with mean scores and summed issues.
     """
     chosen = resolve_settings(base, settings)
-    by = ["param_id", *keys]
-    merged = merging.run_settings(segments, keys, merging.FULL_CHAIN, chosen)
-    entries = timeline.finish_timing(merged, by, "pos", chosen)
-    previous = checks.with_segment_context(entries, by, "pos", base)
-    family = checks.alignment_family(base, standard)
-    report = scoring.alignment_report(previous, by, family, base)
+    merged = merging.run_settings_beside(segments, keys, merging.FULL_CHAIN, chosen)
+    entries = timeline.finish_beside(merged.withColumn("param_id", F.element_at("param_ids", 1)), chosen)
+    ready = entries.withColumn("body", F.when(F.col("gap_ms") < 0, txt.strip(F.col("text"))))
+    counts = scoring.alignment_counts(ready, ["param_ids", *keys], checks.alignment_checks(base, standard), base)
+    each = counts.withColumn("param_id", F.explode("param_ids")).drop("param_ids")
+    report = scoring.alignment_scores(each, ["param_id", *keys])
     return report.groupBy("param_id").agg(
         F.avg("alignment_score").alias("alignment_score"),
         F.sum("critical_count").alias("critical_count"),
