@@ -393,14 +393,25 @@ def _publishing(params: SubtitleParams) -> list[Check]:
     ]
 
 
-def interruption(params: SubtitleParams) -> Column:
-    """NULL without overlap, else whether and how surely it is an interruption."""
+def _interrupting(params: SubtitleParams) -> tuple[Column, Column]:
+    """Whether the previous text is incomplete, and whether this one begins with a connective."""
     before, now = strip(F.col("prev_text")), F.col("body")
     pause = char_class(params.clause_marks.translate({ord(c): None for c in params.sentence_end}) or "，、；：")
     incomplete = before.rlike(pause + r"\z") | (
         ~before.rlike(char_class(params.sentence_end) + r"\z") & (F.length(before) > 5)
     )
-    connective = now.rlike("^(?:" + "|".join(params.openers) + ")")
+    return incomplete, now.rlike("^(?:" + "|".join(params.openers) + ")")
+
+
+def is_interruption(params: SubtitleParams) -> Column:
+    """Whether a row overlaps the previous one as an interruption does; texts are looked at where it overlaps."""
+    incomplete, connective = _interrupting(params)
+    return F.coalesce((F.col("gap_ms") < 0) & (connective | incomplete), F.lit(False))
+
+
+def interruption(params: SubtitleParams) -> Column:
+    """NULL without overlap, else whether and how surely it is an interruption."""
+    incomplete, connective = _interrupting(params)
     return F.when(
         F.col("gap_ms") < 0,
         F.struct(
@@ -427,9 +438,10 @@ def interruption_issues(params: SubtitleParams) -> Column:
 
 
 def _interruption_issues(params: SubtitleParams) -> list[Check]:
-    found = interruption(params)
-    large = F.coalesce(~found["is_interruption"] & (found["overlap_ms"] > 500), F.lit(False))
-    return [(large, "large_overlap_not_interruption", "warning", found["overlap_ms"])]
+    overlap = -F.col("gap_ms")
+    incomplete, connective = _interrupting(params)
+    large = F.coalesce((overlap > 500) & ~(connective | incomplete), F.lit(False))
+    return [(large, "large_overlap_not_interruption", "warning", overlap)]
 
 
 def alignment_checks(params: SubtitleParams, standard: SubtitleParams = PUBLISHING) -> list[Check]:

@@ -11,8 +11,10 @@ from __future__ import annotations
 import copy
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -104,12 +106,29 @@ class Rows:
         self.start, self.end, self.text, self.place = (columns[c][first:stop] for c in ("start_ms", "end_ms", "text", pos))
         self.body = [text.strip() for text in self.text]
         self.chars = [limits.count(text) for text in self.text]
-        self._closing: dict[frozenset, list] = {}
+        self.sums = list(accumulate(self.chars, initial=0))
+        n = len(self.start)
+        self.pauses = [i for i in range(1, n) if self.start[i] - self.end[i - 1] > MAX_JOIN_GAP_MS] + [n]
+        """Rows that follow a pause too long to join, and the end."""
+        self._made: dict[tuple, list] = {}
+
+    def _once(self, key: tuple, make: Callable[[], list]) -> list:
+        if key not in self._made:
+            self._made[key] = make()
+        return self._made[key]
 
     def closing(self, limits: Limits) -> list[bool | None]:
-        if limits.ends not in self._closing:
-            self._closing[limits.ends] = limits.closing(self.body)
-        return self._closing[limits.ends]
+        return self._once(("closing", limits.ends), lambda: limits.closing(self.body))
+
+    def closers(self, limits: Limits) -> list[int]:
+        """Rows that end a sentence, and the end."""
+        return self._once(("closers", limits.ends), lambda: [i for i, shut in enumerate(self.closing(limits)) if shut] + [len(self.start)])
+
+    def haste(self, limits: Limits) -> list[float]:
+        """Characters up to a row less those readable until its end: rows from i on are slow enough up to
+        row j where this does not exceed the same figure of the start of i."""
+        per_ms, origin = limits.max_speed / 1000, self.start[0]
+        return self._once(("haste", per_ms), lambda: [n - per_ms * (end - origin) for n, end in zip(self.sums[1:], self.end)])
 
     def segments(self) -> Iterator[Seg]:
         return (Seg(start, end, text, (at,), n) for start, end, text, at, n in zip(self.start, self.end, self.text, self.place, self.chars))
@@ -122,10 +141,16 @@ class Step:
 
     def under(self, limits: Limits) -> "Step":
         """A copy in the same state that goes on under other limits."""
-        twin = copy.copy(self)
-        twin.__dict__ |= {k: v[:] for k, v in vars(self).items() if isinstance(v, list)} | {"limits": limits}
+        twin = object.__new__(type(self))
+        twin.__dict__ = {k: v[:] if type(v) is list else v for k, v in self.__dict__.items()}
+        twin.limits = limits
         return twin
 
+    def swap(self, seg: Seg, floor: float) -> Seg | None:
+        """As ``push`` where one segment comes in and one goes out, both as they are. None, and nothing
+        is changed, where there is more to do. No later segment starts before ``floor``."""
+        return None
+
     def push(self, seg: Seg) -> list[Seg]:
         raise NotImplementedError
 
@@ -175,42 +200,64 @@ class JoinShort(Step):
     def push_rows(self, rows: Rows) -> Iterator[Seg]:
         """Push rows one after another; what is released comes at once, when ``start`` is that of the row pushed.
 
-        Most rows only lengthen the running segment: their texts and places are taken from the columns on release."""
-        lim, bodies, places = self.limits, rows.body, rows.place
+        Where characters or a pause end a segment and everything before surely fits, its rows are joined in one go."""
+        lim, n = self.limits, len(rows.start)
+        starts, ends, counts, bodies, places, sums = rows.start, rows.end, rows.chars, rows.body, rows.place, rows.sums
         capacity, max_ms, min_ms, fastest = lim.capacity, lim.max_ms, lim.min_ms, lim.max_speed
-        since = 0  # from here on, the rows of the running segment are not in ``parts`` and ``rows`` yet
-        if not self.rows:
-            self.start, self.end, self.chars, self.parts = rows.start[0], rows.end[0], rows.chars[0], [bodies[0]]
-            self.rows, since = [places[0]], 1
-        start, end, chars, closes = self.start, self.end, self.chars, lim.closes_sentence("".join(self.parts))
-        columns = (rows.start, rows.end, rows.chars, rows.closing(lim))
-        for at, (begin, upto, n, shut) in enumerate(zip(*(c[since:] for c in columns)), since):
-            total = chars + n
-            if (
-                total <= capacity
-                and begin - end <= MAX_JOIN_GAP_MS
-                and (span := upto - start) <= max_ms
-                and (total / (span / 1000) if span > 0 else 0) <= fastest
-                and not (
-                    closes
-                    and chars >= 4
-                    and (length := end - start) >= min_ms
-                    and (chars / (length / 1000) if length > 0 else 0) <= fastest
+        shuts, closers, haste, per_ms, origin = rows.closing(lim), rows.closers(lim), rows.haste(lim), fastest / 1000, starts[0]
+        since = at = 0  # rows of the running segment from ``since`` on are not in ``parts`` and ``held`` yet
+        fresh, parts, held = not self.rows, [], []
+        if fresh:
+            start, end, chars, closes, at = starts[0], ends[0], counts[0], bool(shuts[0]), 1
+        else:
+            start, end, chars, parts, held = self.start, self.end, self.chars, self.parts, self.rows
+            closes = lim.closes_sentence("".join(parts))
+        while True:
+            whole = False
+            if fresh:
+                stop = bisect_right(sums, sums[since] + capacity, since + 1) - 1
+                stop = max(min(stop, rows.pauses[bisect_right(rows.pauses, since)]), since + 1)
+                whole = stop == since + 1 or (
+                    closers[bisect_left(closers, since)] >= stop - 1
+                    and max(ends[since + 1 : stop]) - start <= max_ms
+                    and max(haste[since + 1 : stop]) <= sums[since] - per_ms * (start - origin) - 1e-3
                 )
-            ):
-                end, chars = upto, total
-                if shut is not None:
-                    closes = shut
-                continue
-            if upto - start > max_ms and total <= capacity and begin - end <= MAX_JOIN_GAP_MS:
-                lim.over = True
-            done = Seg(start, end, "".join(self.parts + bodies[since:at]), (*self.rows, *places[since:at]), chars)
-            start, end, chars, closes, since = begin, upto, n, bool(shut), at + 1
-            self.start, self.parts, self.rows = begin, [bodies[at]], [places[at]]
+            if whole:
+                end, chars, at = ends[stop - 1], sums[stop] - sums[since], stop
+            else:
+                for at in range(at, n):
+                    begin, upto, total = starts[at], ends[at], chars + counts[at]
+                    span = upto - start
+                    if (
+                        total <= capacity
+                        and begin - end <= MAX_JOIN_GAP_MS
+                        and span <= max_ms
+                        and (total / (span / 1000) if span > 0 else 0) <= fastest
+                        and not (
+                            closes
+                            and chars >= 4
+                            and (length := end - start) >= min_ms
+                            and (chars / (length / 1000) if length > 0 else 0) <= fastest
+                        )
+                    ):
+                        end, chars = upto, total
+                        if shuts[at] is not None:
+                            closes = shuts[at]
+                        continue
+                    if span > max_ms and total <= capacity and begin - end <= MAX_JOIN_GAP_MS:
+                        lim.over = True
+                    break
+                else:
+                    at = n
+            if at == n:
+                break
+            done = Seg(start, end, "".join(parts + bodies[since:at]), (*held, *places[since:at]), chars)
+            since, fresh, parts, held = at, True, [], []
+            start, end, chars, closes, at = starts[at], ends[at], counts[at], bool(shuts[at]), at + 1
+            self.start, self.rows = start, places[since:at]
             yield done
-        self.end, self.chars = end, chars
-        self.parts += bodies[since:]
-        self.rows += places[since:]
+        self.start, self.end, self.chars = start, end, chars
+        self.parts, self.rows = parts + bodies[since:], held + places[since:]
 
     def _complete(self):
         lim, length = self.limits, self.end - self.start
@@ -241,6 +288,9 @@ class SplitLong(Step):
     def __init__(self, limits: Limits):
         self.limits = limits
 
+    def swap(self, seg, floor):
+        return seg if seg.chars <= self.limits.capacity and seg.end - seg.start <= self.limits.max_ms else None
+
     def push(self, seg):
         lim, text = self.limits, seg.text
         if seg.chars <= lim.capacity and lim.short_enough(seg.end - seg.start):
@@ -295,10 +345,13 @@ class _Pairing(Step):
             return True
         return False
 
+    def swap(self, seg, floor):
+        if self.waiting or not self.last or self.needs_care(seg):
+            return None
+        last, self.last = self.last, seg
+        return last
+
     def push(self, seg):
-        if not self.waiting and not self.needs_care(seg):
-            last, self.last = self.last, seg
-            return [last] if last else []
         released = []
         if self.waiting:
             held, self.waiting = self.waiting, None
@@ -359,15 +412,21 @@ class InStartOrder(Step):
         self.queue: list[Seg] = []
 
     def push(self, seg):
-        at = len(self.queue)
-        while at and self.queue[at - 1].start > seg.start:
+        queue = self.queue
+        at = len(queue)
+        while at and queue[at - 1].start > seg.start:
             at -= 1
-        self.queue.insert(at, seg)
+        queue.insert(at, seg)
         return []
 
+    def swap(self, seg, floor):
+        return seg if not self.queue and seg.start <= floor else None
+
     def release(self, floor: float) -> list[Seg]:
         n = 0
-        while n < len(self.queue) and self.queue[n].start <= floor:
+        for seg in self.queue:
+            if seg.start > floor:
+                break
             n += 1
         out, self.queue = self.queue[:n], self.queue[n:]
         return out
@@ -433,7 +492,7 @@ class SegmentChain(Fold):
         self.pos = pos
         self.newest = -math.inf
         self.ordering = {i for i, step in enumerate(self.steps) if isinstance(step, InStartOrder)}
-        self.first_orders = 0 in self.ordering
+        self.first_orders, self.last_ordering = 0 in self.ordering, max(self.ordering, default=-1)
 
     def under(self, limits: Limits) -> "SegmentChain":
         """A copy in the same state that goes on under other limits."""
@@ -466,18 +525,30 @@ class SegmentChain(Fold):
             return [made for seg in rows.segments() for made in self.take(seg)]
         for seg in entrance.push_rows(rows):
             self.newest = entrance.start
-            out += self._through([seg], 1)
+            out += self._swapped(seg)
         self.newest = rows.start[-1]
         return out
 
+    def _swapped(self, seg: Seg) -> list[tuple]:
+        """A segment of the first step through all others, which mostly just swap it."""
+        for i, step in enumerate(self.steps):
+            if i:
+                out = step.swap(seg, self._floor(i) if i in self.ordering else 0)
+                if out is None:
+                    return self._through([seg], i)
+                seg = out
+        return self._rows([seg])
+
     def _through(self, segs, first):
         for i in range(first, len(self.steps)):
             step = self.steps[i]
             if segs:
                 segs = step.push(segs[0]) if len(segs) == 1 else [out for seg in segs for out in step.push(seg)]
             if i in self.ordering and step.queue:
-                segs = segs + step.release(self._floor(i))
-        return self._rows(segs) if segs else []
+                segs = step.release(self._floor(i))
+            elif not segs and i > self.last_ordering:
+                return segs
+        return self._rows(segs) if segs else segs
 
     def _floor(self, at):
         """No segment still to come in front of step ``at`` starts before this."""

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueline.operators.checks import Check, how_many, interruption, severity_count, type_count
+from cueline.operators.checks import Check, how_many, is_interruption, severity_count, type_count
 from cueline.params import PUBLISHING, SubtitleParams
 
 # -- Fixed values: issue types and weights of the scores ------------------------------
@@ -202,7 +202,6 @@ def alignment_counts(
 ) -> DataFrame:
     """What one row adds to the alignment report."""
     gap = F.col("gap_ms")
-    valid = F.coalesce(interruption(params)["is_interruption"], F.lit(False))
     if isinstance(found, Column):
         df = df.withColumn("_found", found)
         counts = _counts(F.col("_found")) | {"_timing": type_count(F.col("_found"), TIMING_ERROR_TYPES)}
@@ -214,7 +213,7 @@ def alignment_counts(
         *[v.alias(k) for k, v in counts.items()],
         (gap < 0).cast("int").alias("_overlap"),
         (gap > 2000).cast("int").alias("_large"),
-        valid.cast("int").alias("_valid"),
+        is_interruption(params).cast("int").alias("_valid"),
     )
 
 

@@ -256,12 +256,11 @@ def trimmed_end(start: Column, end: Column, following: Column, params: SubtitleP
 
 
 def extended_end(
-    start: Column, end: Column, chars: Column, following: Column, params: SubtitleParams | Mapping[str, SubtitleParams], guard_ms: int = 67
+    start: Column, end: Column, chars: Column, following: Column, fastest: Column, shortest: Column, guard_ms: int = 67
 ) -> Column:
     """The end of an entry that is shown longer when it reads too fast."""
-    fastest = limit(params, "max_speed")
     fast = (chars > 0) & (speed(chars, end - start) > fastest)
-    needed = F.greatest((chars / fastest * 1000).cast("long"), limit(params, "min_display_ms"))
+    needed = F.greatest((chars / fastest * 1000).cast("long"), shortest)
     wanted = F.least(start + needed, following - guard_ms)
     return F.when(fast & (wanted > end), wanted).otherwise(end)
 
@@ -273,7 +272,8 @@ def _trimmed(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitlePara
 def _extended(rows: DataFrame, params: SubtitleParams | Mapping[str, SubtitleParams], guard_ms: int) -> DataFrame:
     count_class = (params if isinstance(params, SubtitleParams) else next(iter(params.values()))).count_class
     chars = counted(F.col("text"), count_class)
-    return rows.withColumn("end_ms", extended_end(F.col("start_ms"), F.col("end_ms"), chars, F.col("_next"), params, guard_ms))
+    limits = limit(params, "max_speed"), limit(params, "min_display_ms")
+    return rows.withColumn("end_ms", extended_end(F.col("start_ms"), F.col("end_ms"), chars, F.col("_next"), *limits, guard_ms))
 
 
 def insert_gaps(
@@ -317,19 +317,21 @@ def finish_beside(rows: DataFrame, params: SubtitleParams | Mapping[str, Subtitl
     """:func:`finish_timing` where each row has the previous one beside it (``prev_start_ms, prev_end_ms, prev_chars``),
     its own ``chars`` and ``next_start_ms``: both ends are finished in place. Adds the gap as :func:`with_previous` does."""
     start, before, following = F.col("start_ms"), F.col("prev_start_ms"), F.col("next_start_ms")
+    limits = F.col("_fastest"), limit(params, "min_display_ms")
     rows = rows.withColumns(
         {
+            "_fastest": limit(params, "max_speed"),
             "end_ms": trimmed_end(start, F.col("end_ms"), following, params),
             "prev_end_ms": trimmed_end(before, F.col("prev_end_ms"), start, params),
         }
     )
     rows = rows.withColumns(
         {
-            "end_ms": extended_end(start, F.col("end_ms"), F.col("chars"), following, params, guard_ms),
-            "prev_end_ms": extended_end(before, F.col("prev_end_ms"), F.col("prev_chars"), start, params, guard_ms),
+            "end_ms": extended_end(start, F.col("end_ms"), F.col("chars"), following, *limits, guard_ms),
+            "prev_end_ms": extended_end(before, F.col("prev_end_ms"), F.col("prev_chars"), start, *limits, guard_ms),
         }
     )
-    return rows.withColumn("gap_ms", start - F.col("prev_end_ms"))
+    return rows.withColumn("gap_ms", start - F.col("prev_end_ms")).drop("_fastest")
 
 
 # -- nearest silence ------------------------------------------------------------------
